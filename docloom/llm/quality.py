@@ -88,7 +88,8 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], *, prior: float = 0.85
 
     Expectation-maximisation over vote patterns and their counts, starting from good = no bad vote. Counts
     are smoothed. A rule that votes bad is held to be right at odds of exp(FLOOR) at least, since rules that fire together
-    could otherwise pass for the one kind of bad text there is; a good vote never counts against, and for little.
+    could otherwise pass for the one kind of bad text there is; a good vote never counts against,
+    and it and abstaining count for little.
     """
     k, total = len(patterns[0][0]) if patterns else 0, sum(n for _, n in patterns)
     if not total:
@@ -107,7 +108,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], *, prior: float = 0.85
                 good[v[j]] += n * b
                 bad[v[j]] += n * (1 - b)
             ratio = {x: math.log(good[x] / sum(good.values())) - math.log(bad[x] / sum(bad.values())) for x in (-1, 0, 1)}
-            ratios.append({-1: max(-8.0, min(-FLOOR, ratio[-1])), 0: 0.0, 1: min(0.3, max(0.0, ratio[1]))})
+            ratios.append({-1: max(-8.0, min(-FLOOR, ratio[-1])), 0: max(-0.3, min(0.3, ratio[0])), 1: min(0.3, max(0.0, ratio[1]))})
         fresh = [1 / (1 + math.exp(-max(-60.0, min(60.0, odds + sum(ratios[j][v[j]] for j in range(k)))))) for v, _ in patterns]
         moved, belief = max(abs(a - b) for a, b in zip(fresh, belief, strict=True)), fresh
         if moved < 1e-7:
