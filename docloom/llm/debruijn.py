@@ -7,22 +7,28 @@
 3. Nonbranching paths of links (one successor, whose one predecessor it is) are compacted by pointer doubling in Spark
    joins, so that a k-mer becomes a place on a path, and its occurrences in a document become spans: one for each path
    and diagonal instead of one for each k-mer.
-4. The source coordinates of the spans say where repeated windows can lie. Only these windows are hashed (128 bits) and
+4. The source coordinates of the spans say where repeated windows can lie. Only these windows are hashed (64 bits) and
    counted; those that start twice or more, anywhere, are the repeated windows. What they cover is removed.
+
+Texts are shuffled only for documents that may be concerned: a bitmap of fixed size, sent to every task, rules out most
+others. Where there are so many documents that the bitmap fills up, more texts are shuffled and the result is the same.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_batches, materialise, rolling, row_key, whole_text
+from .common import WordHashes, map_batches, materialise, mix, rolling, row_key, whole_text
 
 K = 11  #: words in a k-mer
+BITMAP = 1 << 26  #: bits
 
 
 def sample(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +93,7 @@ def kmers(docs: DataFrame, window: int) -> DataFrame:
 
 def repeated_kmers(docs: DataFrame, window: int) -> DataFrame:
     """key, marks: for each document with sampled k-mers that occur twice or more, these as (place, kmer) in order."""
-    every = kmers(docs, window)
+    every = materialise(kmers(docs, window), "kmers")
     often = every.groupBy("kmer").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("kmer")
     found = every.join(often, "kmer").select("key", "kmer", F.explode("places").alias("place"))
     return found.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("place", "kmer"))).alias("marks"))
@@ -141,59 +147,112 @@ def _candidates(ranges: list[dict], n: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(edges[:n]) > 0)
 
 
+def maybe_in(keys: DataFrame) -> Callable[[str], Column]:
+    """A test of a column of keys that holds for all in `keys` (key) and for few others.
+
+    It looks up a bitmap of BITMAP bits at the key's lowest bits: 8 MB at most, as BITMAP / 64 rows to the driver.
+    """
+    places = keys.select(F.pmod("key", F.lit(BITMAP)).alias("at"))
+    words = places.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    bitmap = np.zeros(BITMAP // 64, np.int64)
+    for word, bits in words.toLocalIterator():
+        bitmap[word] = bits
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def test(key: pd.Series) -> pd.Series:
+        at = key.to_numpy() & (BITMAP - 1)
+        return pd.Series((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    return test
+
+
 def windows(docs: DataFrame, window: int) -> DataFrame:
-    """a, b, key, starts: the 128-bit hash of every candidate window of `docs` (key, text, spans), and its starts in a document."""
+    """group, state, key, start: a row for every candidate window of `docs` (key, text, spans).
+
+    Windows that are alike within a batch are known to repeat: one of them stands for all (state 1) and the others (2)
+    go wherever their number sends them, so that a window of very many documents makes few rows of one group. State 0 is
+    a window met once so far.
+    """
 
     def make():
         hashes = WordHashes()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            first, second, keys, starts = [], [], [], []
+            groups, keys, starts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for key, text, ranges in zip(batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 h = hashes.of(_words(text))
                 at = _candidates(ranges, max(0, len(h) - window + 1))
                 if len(at):
-                    first.append(rolling(h, window)[at].view(np.int64))
-                    second.append(rolling(h, window, 0xD1342543DE82EF95)[at].view(np.int64))
+                    groups.append(rolling(h, window)[at])
                     keys.append(np.full(len(at), key))
                     starts.append(at)
-            join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
-            columns = [join(first, np.int64), join(second, np.int64), join(keys, np.int64), join(starts, np.int32)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "key", "start"])
+            group, key, start = np.concatenate(groups), np.concatenate(keys), np.concatenate(starts)
+            _, first, back, n = np.unique(group, return_index=True, return_inverse=True, return_counts=True)
+            state = (n > 1)[back].astype(np.int8)
+            other = np.ones(len(group), bool)
+            other[first] = False
+            state[other] = 2
+            group[other] = mix(group[other] ^ mix(key[other].view(np.uint64) * np.uint64(31) + start[other].astype(np.uint64)))
+            columns = [pa.array(group.view(np.int64)), pa.array(state), pa.array(key), pa.array(start.astype(np.int32))]
+            return pa.RecordBatch.from_arrays(columns, ["group", "state", "key", "start"])
+
+        return step
+
+    return map_batches(docs, make, "group long, state byte, key long, start int")
+
+
+def _runs(starts: DataFrame, window: int) -> DataFrame:
+    """key, runs: the word ranges [low, high) that the windows of a document cover, as low, high, low, high, ..."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            runs = []
+            for at in batch.column(1):
+                at = np.sort(at.values.to_numpy())
+                cut = np.flatnonzero(np.diff(at) > window)
+                low, high = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])] + window
+                runs.append(np.stack([low, high], 1).ravel())
+            return pa.RecordBatch.from_arrays([batch.column(0), _lists(runs, pa.int32())], ["key", "runs"])
 
         return step
 
-    return map_batches(docs, make, "a long, b long, key long, start int")
+    return map_batches(starts, make, "key long, runs array<int>")
 
 
-def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
-    """key, starts: the starts of all windows of `docs` (key, text) whose word sequence starts twice or more, by document."""
+def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
+    """key, runs: what the windows of `docs` (key, text) whose word sequence starts twice or more cover, by document."""
     marks = materialise(repeated_kmers(docs, window), "marks")
-    ranges = spans(marks, compact(links(marks, window)), window)
-    found = materialise(windows(docs.join(ranges, "key").select("key", "text", "spans"), window), "windows")
-    often = found.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    return found.join(often, ["a", "b"]).groupBy("key").agg(F.collect_set("start").alias("starts"))
+    ranges = materialise(spans(marks, compact(links(marks, window)), window), "spans")
+    concerned = docs.where(maybe_in(ranges)("key"))
+    found = windows(concerned.join(ranges, "key").select("key", "text", "spans"), window)
+    n = F.sum(F.when(F.col("state") < 2, 1).otherwise(0)).over(Window.partitionBy("group"))
+    often = found.withColumn("n", n).where("n > 1 or state > 0")
+    return materialise(_runs(often.groupBy("key").agg(F.collect_set("start").alias("starts")), window), "runs")
 
 
 def mark_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
-    """All columns of `docs` with `_text` (null as empty) and `_starts`: starts of repeated windows, null if there are none.
+    """All columns of `docs` with `_text` (null as empty) and `_runs`: the covered word ranges, null if there are none.
 
     Rows are known by a hash of doc_id and text. Rows alike in both share it: each of them counts as an occurrence, so
-    whatever windows they have are repeated, and all get the same starts.
+    whatever windows they have are repeated, and all get the same ranges.
     """
     keyed = docs.withColumn("_text", whole_text()).withColumn("_key", row_key(docs["doc_id"], F.col("_text")))
-    starts = repeated_windows(keyed.select(F.col("_key").alias("key"), F.col("_text").alias("text")), window)
-    return keyed.join(starts.select(F.col("key").alias("_key"), F.col("starts").alias("_starts")), "_key", "left").drop("_key")
+    runs = repeated_runs(keyed.select(F.col("_key").alias("key"), F.col("_text").alias("text")), window)
+    keyed = keyed.withColumn("_maybe", maybe_in(runs)("_key"))
+    clear = keyed.where(~F.col("_maybe")).withColumn("_runs", F.lit(None).cast("array<int>"))
+    joined = keyed.where("_maybe").join(runs.select(F.col("key").alias("_key"), F.col("runs").alias("_runs")), "_key", "left")
+    return clear.unionByName(joined).drop("_key", "_maybe")
 
 
-def _kept(words: list[bytes], starts: list[int] | None, window: int) -> list[bytes]:
-    if not starts:
+def _kept(words: list[bytes], runs: list[int] | None) -> list[bytes]:
+    if runs is None or not len(runs):
         return words
-    edges = np.zeros(len(words) + 1, np.int32)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, np.array(starts) + window, -1)
-    covered = np.cumsum(edges[:-1]) > 0
-    return [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
+    kept, at = [], 0
+    for low, high in zip(runs[::2], runs[1::2], strict=True):
+        kept += words[at:low]
+        at = high
+    return kept + words[at:]
 
 
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -202,14 +261,14 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     Null and empty texts have no words; a text of fewer than `window` words loses none. Repeated rows count as
     occurrences of each other. Other columns are not read; an empty table gives an empty result.
     """
-    marked = mark_repeats(docs.select("doc_id", "text"), window).select("doc_id", "_text", "_starts")
+    marked = mark_repeats(docs.select("doc_id", "text"), window).select("doc_id", "_text", "_runs")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             total, gone, hashes = [], [], []
-            for text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = _words(text)
-                kept = _kept(words, starts, window)
+                kept = _kept(words, runs)
                 total.append(len(words))
                 gone.append(len(words) - len(kept))
                 hashes.append(hashlib.sha256(b" ".join(kept)).hexdigest())
@@ -226,14 +285,14 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     A text that loses words becomes its kept words joined by one space, and may become empty; others are unchanged, null
     too. `n_chars`, if there is such a column, is counted anew for texts that lost words.
     """
-    marked = mark_repeats(docs, window).select(*docs.columns, "_text", "_starts")
+    marked = mark_repeats(docs, window).select(*docs.columns, "_text", "_runs")
 
     @F.pandas_udf("string")
-    def cut(texts, starts):
-        return texts.combine(starts, lambda text, at: b" ".join(_kept(_words(text), list(at) if at is not None else None, window)).decode())
+    def cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
+        return texts.combine(runs, lambda text, own: b" ".join(_kept(_words(text), own)).decode())
 
-    lost = F.col("_starts").isNotNull()
-    shorter = marked.withColumn("_kept", F.when(lost, cut("_text", "_starts")))
+    lost = F.col("_runs").isNotNull()
+    shorter = marked.withColumn("_kept", F.when(lost, cut("_text", "_runs")))
     columns = {"text": F.when(lost, F.col("_kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(lost, F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
