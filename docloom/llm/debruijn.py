@@ -17,18 +17,16 @@ others. Where there are so many documents that the bitmap fills up, more texts a
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_batches, materialise, mix, rolling, row_key, whole_text
+from .common import WordHashes, map_batches, materialise, maybe_in, mix, rolling, row_key, whole_text
 
 K = 11  #: words in a k-mer
-BITMAP = 1 << 26  #: bits
 
 
 def sample(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,26 +145,6 @@ def _candidates(ranges: list[dict], n: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(edges[:n]) > 0)
 
 
-def maybe_in(keys: DataFrame) -> Callable[[str], Column]:
-    """A test of a column of keys that holds for all in `keys` (key) and for few others.
-
-    It looks up a bitmap of BITMAP bits at the key's lowest bits: 8 MB at most, as BITMAP / 64 rows to the driver.
-    """
-    places = keys.select(F.pmod("key", F.lit(BITMAP)).alias("at"))
-    words = places.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-    bitmap = np.zeros(BITMAP // 64, np.int64)
-    for word, bits in words.toLocalIterator():
-        bitmap[word] = bits
-    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def test(key: pd.Series) -> pd.Series:
-        at = key.to_numpy() & (BITMAP - 1)
-        return pd.Series((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
-
-    return test
-
-
 def windows(docs: DataFrame, window: int) -> DataFrame:
     """group, state, key, start: a row for every candidate window of `docs` (key, text, spans).
 

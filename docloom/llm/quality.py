@@ -153,7 +153,13 @@ def judge(docs: DataFrame, *, threshold: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, *, threshold: float = 0.5) -> DataFrame:
-    """The rows and columns of `docs` that the verdict keeps, null keys and repeated rows included."""
-    voted = materialise(_voted(docs).select(*docs.columns, base_failed().alias("_failed"), "_votes"), "voted")
+    """The rows and columns of `docs` that the verdict keeps, null keys and repeated rows included.
+
+    The votes are worked out twice, for the estimate and for the verdict, which is cheaper than a copy of all texts.
+    """
+    voted = _voted(docs)
     odds, ratios = fit(voted)
-    return voted.where(~F.col("_failed") & (posterior(F.col("_votes"), odds, ratios) >= threshold)).select(*docs.columns)
+    verdict = ~base_failed() & (posterior(F.col("_votes"), odds, ratios) >= threshold)
+    # A filter that were pushed below the measures would repeat them many times over; a row number beside it stays above.
+    judged = voted.withColumn("_kept", verdict).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where("_kept and _row >= 0").select(*docs.columns)

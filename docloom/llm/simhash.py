@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, whole_text
+from .common import map_batches, materialise, maybe_in, whole_text
 
 BITS = 64
 
@@ -125,6 +125,11 @@ def keep_one(docs: DataFrame, *, shingle: int = 4, distance: int = 4) -> DataFra
     Rows with a null doc_id go if their component has any other; otherwise one of them stays.
     """
     found = group(docs.select("doc_id", "text"), shingle=shingle, distance=distance)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    # Most rows stay and are alone: only those that a bitmap of the others does not rule out are shuffled.
+    others = materialise(ids.where("n > 1 or not stays").select(F.xxhash64("doc_id").alias("key"), "doc_id", "stays"), "others")
+    marked = docs.withColumn("_key", F.xxhash64("doc_id"))
+    marked = marked.withColumn("_maybe", maybe_in(others)("_key"))
+    gone = others.where("not stays").select("key", F.lit(True).alias("_gone"))
+    concerned = marked.where("_maybe").join(gone.withColumnRenamed("key", "_key"), "_key", "left").where("_gone is null").dropDuplicates(["_key"])
+    return marked.where("not _maybe").select(*docs.columns).unionByName(concerned.select(*docs.columns))
