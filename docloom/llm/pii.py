@@ -140,7 +140,7 @@ def normalise(text: str) -> Mapped:
 
 
 def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans: those and the disguised ones that touch no base span; each by kind, then start."""
+    """Base spans, and all spans: those and the disguised ones that no base span holds; each by kind, then start."""
     base = find(text)
     if not SUSPECT.search(text):
         return base, base
@@ -148,7 +148,7 @@ def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
     if m.text != text:
         for kind, start, end in find(m.text):
             a, b = m.first[start], m.last[end - 1]
-            if not any(x < b and a < y for _, x, y in base) and not any(x < b and a < y for _, x, y in more):
+            if not any(x <= a and b <= y for _, x, y in base) and not any(x < b and a < y for _, x, y in more):
                 more.append((kind, a, b))
     return base, sorted(base + more)
 

@@ -130,7 +130,7 @@ def _voted(docs: DataFrame) -> DataFrame:
 def posterior(vote: Column, odds: float, ratios: list[dict[int, float]]) -> Column:
     """The probability of being good, from an array of votes."""
     parts = [F.when(vote[j] == -1, F.lit(r[-1])).when(vote[j] == 1, F.lit(r[1])).otherwise(F.lit(r[0])) for j, r in enumerate(ratios)]
-    return 1 / (1 + F.exp(-(F.lit(odds) + reduce(lambda a, b: a + b, parts))))
+    return 1 / (1 + F.exp(-(F.lit(odds) + reduce(lambda a, b: a + b, parts, F.lit(0.0)))))
 
 
 def fit(votes_table: DataFrame) -> tuple[float, list[dict[int, float]]]:
