@@ -89,7 +89,7 @@ def normalised(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """The text cut at sentence ends, trimmed, empty ones left out."""
-    return F.array_remove(F.transform(F.split(text, r"[.!?]+"), F.trim), "")
+    return F.array_remove(F.transform(F.split(text, r"[.!?]+"), lambda s: F.trim(s)), "")
 
 
 def truncated(text: Column, most: int) -> Column:
