@@ -1,0 +1,4 @@
+"""Queries by name. Importing the package registers all of them."""
+
+from docloom.plans import registry as registry  # isort: skip
+from docloom.plans import documents as documents  # isort: skip
