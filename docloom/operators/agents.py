@@ -78,3 +78,39 @@ def chat(question: Column, answer: Column, system: str | None = None) -> Column:
     """Messages of a training example: an optional system message, the user's and the assistant's."""
     said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
     return F.array(*([said("system", F.lit(system))] if system else []), said("user", question), said("assistant", answer))
+
+
+def reviewed(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, remarks, again: what to mend in each assistant message, and whether to try again.
+
+    A message is grounded if it has the first 20 characters of the one before; it is brief below 100 characters; confidence is
+    low where a check of `checked_responses` fails. A null text is an empty one.
+    """
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    told = messages.select("conv_id", "turn", "role", "text", before.alias("before")).where("role = 'assistant'")
+    grounded, length = F.coalesce(F.contains("text", F.left("before", F.lit(20))), F.lit(False)), F.length(F.coalesce("text", F.lit("")))
+    low = ~(grounded & (length > 50) & (length < 5000))
+    remarks = F.array_compact(F.array(F.when(~grounded, "ungrounded"), F.when(length < 100, "brief"), F.when(low, "low_confidence")))
+    return told.select("conv_id", "turn", F.array_join(remarks, ",").alias("remarks"), low.alias("again"))
+
+
+def prompt(messages: DataFrame, *, last: int = 10) -> DataFrame:
+    """conv_id, prompt: the `last` messages before the newest of each conversation as lines `Role: text`; none for a lone message."""
+    newest = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
+    line = F.concat(F.initcap("role"), F.lit(": "), F.coalesce("text", F.lit("")))
+    kept = messages.select("conv_id", "turn", line.alias("line"), F.row_number().over(newest).alias("r")).where(F.col("r").between(2, last + 1))
+    lines = F.sort_array(F.collect_list(F.struct("turn", "line")))
+    return kept.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("prompt"))
+
+
+def parsed_reply(reply: Column, fields: list[str], *, most: int = 200) -> list[Column]:
+    """`parsed`, the fields of a JSON reply as strings, and `fallback`: the reply's first characters where it is not JSON."""
+    good = F.coalesce(F.try_parse_json(reply).isNotNull(), F.lit(False))
+    return [good.alias("parsed"), *(F.when(good, F.get_json_object(reply, f"$.{f}")).alias(f) for f in fields), F.when(~good, F.left(reply, F.lit(most))).alias("fallback")]
+
+
+def topics(text: Column, most: int = 20) -> Column:
+    """Capitalised words of three letters or more without surrounding punctuation, and quoted phrases: the first `most` by order. Null for a null text."""
+    bare = F.transform(F.split(text, r"[ \t\n\r\f\x0B]+"), lambda w: F.btrim(w, F.lit(".,!?;:()\"'")))
+    names = F.filter(bare, lambda w: (F.length(w) > 2) & w.rlike(r"^\p{Lu}"))
+    return F.slice(F.sort_array(F.array_distinct(F.concat(names, F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1))))), 1, most)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,3 +74,76 @@ def retrieval_by_label(hits: DataFrame, labelled: DataFrame) -> DataFrame:
         "query_id", *(F.round(F.col(f"h{k}") / k, 6).alias(f"p{k}") for k in (1, 3, 5)),
         F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("reciprocal_rank"), F.round(F.when(others > 0, F.col("h5") / others), 6).alias("recall5"),
     )
+
+
+def longest_common(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence. One bit for each word of `b`: additions of whole rows instead of a table."""
+    places: dict[str, int] = {}
+    for i, word in enumerate(b):
+        places[word] = places.get(word, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    row = full
+    for word in a:
+        met = row & places.get(word, 0)
+        row = ((row + met) | (row - met)) & full
+    return len(b) - row.bit_count()
+
+
+def rouge_of(reference: str | None, hypothesis: str | None) -> float:
+    """F1 of the longest common subsequence of lower-cased words; 0 if a side is null or has no words."""
+    a, b = (reference or "").lower().split(), (hypothesis or "").lower().split()
+    return 2 * longest_common(a, b) / (len(a) + len(b)) if a and b else 0.0
+
+
+def rouge_l(reference: Column, hypothesis: Column) -> Column:
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([rouge_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return score(reference, hypothesis)
+
+
+def judged(query: Column, expected: Column, answer: Column) -> list[Column]:
+    """relevance, accuracy, completeness and coherence by rule, for use where no model judges.
+
+    Accuracy is 0.5 if an answer is missing, completeness counts words up to 50, coherence is taken to be 0.8.
+    """
+    given = (F.coalesce(expected, F.lit("")) != "") & (F.coalesce(answer, F.lit("")) != "")
+    return [
+        relevancy(query, answer).alias("relevance"),
+        F.when(given, rouge_l(expected, answer)).otherwise(F.lit(0.5)).alias("accuracy"),
+        F.least(F.lit(1.0), F.size(tokens(answer)) / 50).alias("completeness"),
+        F.lit(0.8).alias("coherence"),
+    ]
+
+
+def cost(texts: DataFrame, label: str, *, per_thousand: float = 0.002) -> DataFrame:
+    """`label`, n, mean_tokens (1.3 for each word) and mean_cost; null texts have no words."""
+    n = 1.3 * F.size(tokens(F.col("text")))
+    return texts.groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(n), 6).alias("mean_tokens"), F.round(F.avg(n) / 1000 * per_thousand, 9).alias("mean_cost"))
+
+
+def compared(before: DataFrame, after: DataFrame, *, margin: float = 5.0) -> DataFrame:
+    """metric, baseline, enhanced, change (percent; null unless the baseline is above 0) and verdict of two tables (metric, value)."""
+    change = F.when(F.col("baseline") > 0, F.round((F.col("enhanced") - F.col("baseline")) / F.col("baseline") * 100, 6))
+    both = before.select("metric", F.col("value").alias("baseline")).join(after.select("metric", F.col("value").alias("enhanced")), "metric")
+    verdict = F.when(F.col("change") > margin, "better").when(F.col("change") < -margin, "worse").otherwise("same")
+    return both.withColumn("change", change).withColumn("verdict", verdict)
+
+
+def dataset_quality(rows: DataFrame, *, split: str, category: str, question: Column, text: Column) -> DataFrame:
+    """For each split: n, completeness, diversity of words, balance of categories, share of different questions, overall.
+
+    Words, categories and questions are counted by (split, value) first, so that no split is gathered in one task.
+    """
+    each = rows.select(F.col(split).alias("split"), F.col(category).alias("category"), question.alias("question"), text.alias("text"))
+    seen = each.select("split", F.explode(tokens(F.col("text"))).alias("word")).groupBy("split", "word").agg(F.count("*").alias("k")).groupBy("split")
+    words = seen.agg(F.least(F.lit(1.0), 2 * F.count("*") / F.sum("k")).alias("diversity"))
+    kinds = each.groupBy("split", "category").agg(F.count("*").alias("k")).groupBy("split")
+    balance = F.when(F.count("*") <= 1, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.stddev_pop("k") / F.avg("k")))
+    asked = each.groupBy("split", "question").agg(F.count("*").alias("k"), F.count_if(F.trim("text") != "").alias("full")).groupBy("split")
+    base = asked.agg(F.sum("k").alias("n"), (F.sum("full") / F.sum("k")).alias("completeness"), (F.count("question") / F.sum("k")).alias("unique_ratio"))
+    found = base.join(words, "split", "left").join(kinds.agg(balance.alias("balance")), "split").fillna(0.0, ["diversity"])
+    parts = ["completeness", "diversity", "balance", "unique_ratio"]
+    overall = sum(w * F.col(c) for w, c in zip((0.3, 0.25, 0.25, 0.2), parts, strict=True))
+    return found.select("split", "n", *(F.round(c, 6).alias(c) for c in parts), F.round(overall, 6).alias("overall"))

@@ -62,3 +62,9 @@ def kmeans(vectors: DataFrame, centroids: Sequence[Sequence[float]], *, most: in
             return after
         now = after
     return now
+
+
+def neighbours(nodes: DataFrame, node: str) -> DataFrame:
+    """direction, node: the parent (out) and the children (in) of one node of a tree (node, parent)."""
+    out = nodes.where((F.col("node") == node) & F.col("parent").isNotNull()).select(F.lit("out").alias("direction"), F.col("parent").alias("node"))
+    return out.unionByName(nodes.where(F.col("parent") == node).select(F.lit("in").alias("direction"), "node"))
