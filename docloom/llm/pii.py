@@ -8,9 +8,11 @@ match maps back to the source span from its first to its last character.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,16 +40,16 @@ DIGITS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _WORD = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
-#: At least four spelled digits in a row, with or without plain digits among them.
-SPELLED = re.compile(rf"(?<![^\W_])(?:{_WORD}(?![^\W_])|[0-9])(?:[\x20,.-]{{1,2}}(?:{_WORD}(?![^\W_])|[0-9]))*?(?:[\x20,.-]{{1,2}}{_WORD}(?![^\W_])){{3}}(?:[\x20,.-]{{1,2}}(?:{_WORD}(?![^\W_])|[0-9]))*", re.I)
-ONE_SPELLED = re.compile(rf"{_WORD}(?![^\W_])", re.I)
+ONE_SPELLED = re.compile(rf"(?<![^\W_]){_WORD}(?![^\W_])", re.I)
+#: Spelled and plain digits in a row.
+RUN = re.compile(rf"(?<![^\W_])(?:{_WORD}(?![^\W_])|[0-9]+)(?:[\x20,.-]{{1,2}}(?:{_WORD}(?![^\W_])|[0-9]+))*", re.I)
+DIGIT_TOKEN = re.compile(rf"({_WORD})(?![^\W_])|[0-9]+", re.I)
 PLUS = re.compile(r"(?<![^\W_])plus\x20+(?=[0-9])", re.I)
 BRACKETED = re.compile(r"\x20?[\[({<]\x20?(?:(at|arroba)|(dot|punkt|point|punto)|(@)|(\.))\x20?[\])}>]\x20?", re.I)
-#: name at host dot domain, with spaces.
-SPACED = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+)(\x20(?:at|arroba)\x20)([A-Za-z0-9-]+(?:(?:\x20(?:dot|punkt|point|punto)\x20|\.)[A-Za-z0-9-]+)*?\x20(?:dot|punkt|point|punto)\x20[A-Za-z]{2,}(?![A-Za-z0-9-]))", re.I)
-SPACED_DOT = re.compile(r"\x20(?:dot|punkt|point|punto)\x20", re.I)
-#: Nothing is disguised in a text without any of these.
-SUSPECT = re.compile(r"[^\x00-ɏ‐-›€]|[\[({<]\x20?(?:at|arroba|dot|punkt|point|punto|@|\.)\x20?[\])}>]|\x20(?:dot|punkt|point|punto)\x20[a-z]{2}|(?<![^\W_])(?:" + "|".join(DIGITS) + r")[\x20,.-]{1,2}(?:(?:[0-9][\x20,.-]{1,2})*)(?:" + "|".join(DIGITS) + r")(?![^\W_])", re.I)
+SPACED_DOT = re.compile(r"(?<=[A-Za-z0-9_%+-])\x20(?:dot|punkt|point|punto)\x20(?=[A-Za-z0-9])", re.I)
+SPACED_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])\x20(?:(at)|arroba)\x20(?=[A-Za-z0-9-])", re.I)
+#: A host that ends in letters.
+HOST = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])")
 
 
 def luhn(digits: str) -> bool:
@@ -103,6 +105,7 @@ class Mapped:
 _LOOKS = dict(zip(LOOKALIKES, IMITATED, strict=True))
 
 
+@functools.cache
 def plain(character: str) -> str:
     """The ASCII characters that a character imitates; itself if it imitates none."""
     if character in _LOOKS:
@@ -115,41 +118,113 @@ def plain(character: str) -> str:
     return folded if folded.isascii() and len(folded) == 1 else character
 
 
-def normalise(text: str) -> Mapped:
-    """Homoglyphs, then spelled digits, then disguised signs."""
+def folded(text: str) -> str:
+    """The text in lower case, as `re.I` sees it."""
+    return text.replace("İ", "i").replace("ı", "i").replace("ſ", "s").lower()
+
+
+def disguised(text: str) -> bool:
+    """Whether any step of `normalise` has something to undo in the text as it is; if none has, none ever will."""
+    if not text.isascii() and any(c >= "ɐ" and plain(c) != c for c in set(text)):
+        return True
+    low = folded(text)
+    return (
+        (" dot " in low or " punkt " in low or " point " in low or " punto " in low) and SPACED_DOT.search(text) is not None
+        or ("plus " in low and PLUS.search(text) is not None)
+        or ((" at " in low or " arroba " in low) and bool(_at_edits(text)))
+        or BRACKETED.search(text) is not None
+        or (any(w in low for w in DIGITS) and ONE_SPELLED.search(text) is not None)
+    )
+
+
+def _digit_edits(text: str, fuse: bool) -> tuple[list[tuple[int, int, str]], bool]:
+    """Edits that write spelled digits as digits, and whether any two stay apart that `fuse` would join.
+
+    Digits spelled one after the other are joined in runs that hold three after another digit, or everywhere by `fuse`.
+    Other separators in a run become one space if they are none that a number may have.
+    """
+    edits, apart = [], False
+    for run in RUN.finditer(text):
+        tokens = list(DIGIT_TOKEN.finditer(text, *run.span()))
+        spelled = [t[1] is not None for t in tokens]
+        if not any(spelled):
+            continue
+        join = fuse or any(all(spelled[k : k + 3]) for k in range(1, len(tokens) - 2))
+        for k, t in enumerate(tokens):
+            if spelled[k]:
+                edits.append((*t.span(), DIGITS[folded(t[0])]))
+            if k + 1 < len(tokens) and (spelled[k] or spelled[k + 1]):
+                start, end = t.end(), tokens[k + 1].start()
+                between = text[start:end]
+                if "." in between:
+                    continue
+                both = spelled[k] and spelled[k + 1]
+                if both and join:
+                    edits.append((start, end, ""))
+                    continue
+                apart |= both
+                if between not in (" ", "-"):
+                    edits.append((start, end, " "))
+    return edits, apart
+
+
+def _at_edits(text: str, undone: Callable[[int], bool] = lambda i: False) -> list[tuple[int, int, str]]:
+    """Edits that write a spaced "at" before a host as its sign.
+
+    Prose says "look at example.com" too: an "at" counts if a dot of the host was disguised in any way, which
+    `undone` says of a place, or if the name before it is more than a word.
+    """
+    edits = []
+    for s in SPACED_AT.finditer(text):
+        host = HOST.match(text, s.end())
+        if host is None:
+            continue
+        if s[1]:
+            start = s.start()
+            while start and text[start - 1] in LOCAL_CHARACTERS:
+                start -= 1
+            name = text[start : s.start()].strip(".")
+            dots = (i for i in range(*host.span()) if text[i] == ".")
+            if not any(map(undone, dots)) and (name.isalpha() or not any(c.isalpha() for c in name)):
+                continue
+        edits.append((*s.span(), "@"))
+    return edits
+
+
+def normalise(text: str, *, fuse: bool = False) -> tuple[Mapped, bool]:
+    """Homoglyphs, then spelled digits, then disguised signs; and whether `fuse` would join more digits."""
     m = Mapped(text)
     m.rewrite([(i, i + 1, p) for i, c in enumerate(m.text) if c >= "ɐ" and (p := plain(c)) != c])
-    edits = []
-    for run in SPELLED.finditer(m.text):
-        at = run.start()
-        found = list(ONE_SPELLED.finditer(m.text, at, run.end()))
-        for k, w in enumerate(found):
-            edits.append((*w.span(), DIGITS[w[0].lower()]))
-            after = re.compile(r"[\x20,.-]{1,2}").match(m.text, w.end(), run.end())
-            if after and k + 1 < len(found) and after.end() == found[k + 1].start() and "." not in after[0]:
-                edits.append((*after.span(), ""))
+    edits, apart = _digit_edits(m.text, fuse)
     m.rewrite(edits)
     m.rewrite([(*p.span(), "+") for p in PLUS.finditer(m.text)])
     m.rewrite([(*b.span(), "@" if b[1] or b[3] else ".") for b in BRACKETED.finditer(m.text)])
-    edits = []
-    for s in SPACED.finditer(m.text):
-        edits.append((*s.span(2), "@"))
-        edits += [(*d.span(), ".") for d in SPACED_DOT.finditer(m.text, s.start(3), s.end(3))]
-    m.rewrite(edits)
-    return m
+    m.rewrite([(*d.span(), ".") for d in SPACED_DOT.finditer(m.text)])
+    m.rewrite(_at_edits(m.text, lambda i: text[m.first[i] : m.last[i]] != "."))
+    return m, apart
 
 
 def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans: those and the disguised ones that no base span holds; each by kind, then start."""
+    """Base spans, and all spans: those and the disguised ones that no base span holds; each by kind, then start.
+
+    Where digits were left apart, numbers are looked for with all spelled digits joined first: "one nine two dot ..." is
+    a number, while "five six@..." is no name of both words.
+    """
     base = find(text)
-    if not SUSPECT.search(text):
+    if not disguised(text):
         return base, base
-    m, more = normalise(text), []
-    if m.text != text:
-        for kind, start, end in find(m.text):
+    more: list[tuple[int, int, int]] = []
+
+    def add(m: Mapped, kinds: tuple[int, ...]) -> None:
+        for kind, start, end in find(m.text) if m.text != text else ():
             a, b = m.first[start], m.last[end - 1]
-            if not any(x <= a and b <= y for _, x, y in base) and not any(x < b and a < y for _, x, y in more):
+            if kind in kinds and not any(x <= a and b <= y for _, x, y in base) and not any(x < b and a < y for _, x, y in more):
                 more.append((kind, a, b))
+
+    m, apart = normalise(text)
+    if apart:
+        add(normalise(text, fuse=True)[0], (1, 2, 3))
+    add(m, (0, 1, 2, 3))
     return base, sorted(base + more)
 
 

@@ -154,6 +154,27 @@ def test_pii(docs, rows, empty):
     assert pii.scan(empty).count() == 0
 
 
+def test_pii_disguises_alone():
+    for text, spot in (
+        ("call plus 1 555 010 4477 now", "plus 1 555 010 4477"),
+        ("see john@mail\u2024example ok", "john@mail\u2024example"),
+        ("write bob (at) mail dot com!", "bob (at) mail dot com"),
+        ("write bob@mail dot com!", "bob@mail dot com"),
+        ("write bob at mail [dot] com!", "bob at mail [dot] com"),
+        ("write j.doe at mail.example!", "j.doe at mail.example"),
+        ("write john dot doe arroba mail.example!", "john dot doe arroba mail.example"),
+        ("host 192 dot 168 dot 0 dot 1 up", "192 dot 168 dot 0 dot 1"),
+        ("host one nine two dot 168 dot zero.one up", "one nine two dot 168 dot zero.one"),
+        ("card 4 one 1 one 1111, one 11 1 111 one!", "4 one 1 one 1111, one 11 1 111 one"),
+        ("call +1 555 oh 10 44 seven seven now", "+1 555 oh 10 44 seven seven"),
+    ):
+        base, every = pii.find_all(text)
+        assert not base and [text[a:b] for _, a, b in every] == [spot], text
+    for text in ("look at example.com", "one two three at 5 point 2", "stay at home.", "no one, plus 3 dots", "ſix dot two", "e fİve at noon"):
+        assert pii.find_all(text) == ([], []), text
+    assert pii.find_all("take five six@mail.com") == ([(0, 10, 22)],) * 2
+
+
 def test_multiset(spark, docs, rows, empty):
     of = multiset.Fingerprinter().of
     a, b = of("one two three\nfour five six"), of("four five six\none two three")
