@@ -11,10 +11,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, maybe_in, whole_text
+from .common import map_batches, materialise, maybe_in, row_key, whole_text
 
 BITS = 64
 
@@ -98,6 +98,15 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("v").alias("print"), F.col("u").alias("root"))
 
 
+def least_by_component(prints: DataFrame, value: Column, distance: int) -> DataFrame:
+    """print, least: for each fingerprint in `prints` (print), the least `value` of all rows that links reach."""
+    each = materialise(prints.groupBy("print").agg(F.min(value).alias("first")), "distinct")
+    roots = components(links(each.select("print"), distance))
+    rooted = each.join(roots, "print", "left").select("print", "first", F.coalesce("root", "print").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    return rooted.join(least, "root").select("print", "least")
+
+
 def group(docs: DataFrame, *, shingle: int = 4, distance: int = 4) -> DataFrame:
     """The columns of `docs` but text, with print and component_id: the least doc_id that links reach, itself included.
 
@@ -105,12 +114,8 @@ def group(docs: DataFrame, *, shingle: int = 4, distance: int = 4) -> DataFrame:
     for the least; a component of nothing else has component_id null. Repeated rows each give a row.
     """
     prints = materialise(with_fingerprints(docs, shingle), "prints")
-    each = materialise(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(each.select("print"), distance))
-    rooted = each.join(roots, "print", "left").select("print", "first", F.coalesce("root", "print").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("print", "component_id")
-    return prints.join(named, "print")
+    named = least_by_component(prints, F.col("doc_id"), distance)
+    return prints.join(named.withColumnRenamed("least", "component_id"), "print")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -120,16 +125,20 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, distance: int = 4) ->
 
 
 def keep_one(docs: DataFrame, *, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """The rows and columns of `docs` that have their component's least doc_id; one row where it is repeated.
+    """One row, with all columns of `docs`, of each component: the one with the least doc_id, then the least content key.
 
-    Rows with a null doc_id go if their component has any other; otherwise one of them stays.
+    Rows are known by a hash of doc_id and text, so rows of one doc_id, or of none, are told apart; of rows alike in both
+    any one stands for all. Null doc_ids come last: such a row stays if its component has no other.
     """
-    found = group(docs.select("doc_id", "text"), shingle=shingle, distance=distance)
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    key = row_key(docs["doc_id"], docs["text"])
+    prints = materialise(with_fingerprints(docs.select("doc_id", "text", key.alias("key")), shingle), "prints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    named = least_by_component(prints, order, distance).select("print", F.col("least.key").alias("least"))
+    keys = prints.join(named, "print").groupBy("key").agg(F.count("*").alias("n"), F.bool_or(F.col("key") == F.col("least")).alias("stays"))
     # Most rows stay and are alone: only those that a bitmap of the others does not rule out are shuffled.
-    others = materialise(ids.where("n > 1 or not stays").select(F.xxhash64("doc_id").alias("key"), "doc_id", "stays"), "others")
-    marked = docs.withColumn("_key", F.xxhash64("doc_id"))
+    others = materialise(keys.where("n > 1 or not stays"), "others")
+    marked = docs.withColumn("_key", key)
     marked = marked.withColumn("_maybe", maybe_in(others)("_key"))
-    gone = others.where("not stays").select("key", F.lit(True).alias("_gone"))
-    concerned = marked.where("_maybe").join(gone.withColumnRenamed("key", "_key"), "_key", "left").where("_gone is null").dropDuplicates(["_key"])
+    gone = others.where("not stays").select(F.col("key").alias("_key"), F.lit(True).alias("_gone"))
+    concerned = marked.where("_maybe").join(gone, "_key", "left").where("_gone is null").dropDuplicates(["_key"])
     return marked.where("not _maybe").select(*docs.columns).unionByName(concerned.select(*docs.columns))

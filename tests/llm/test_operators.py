@@ -273,6 +273,14 @@ def test_simhash_links(spark):
     assert {tuple(r) for r in simhash.links(table).collect()} == near
 
 
+def test_keep_one_by_row(spark):
+    texts = [" ".join(f"t{k}n{i}" for i in range(40)) for k in range(6)]
+    given = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (3, texts[3]), (None, texts[2]), (None, texts[4]), (None, texts[4]), (9, texts[5]), (9, texts[5]), (5, None), (5, "")]
+    table = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.text or "") for r in simhash.keep_one(table).collect())
+    assert got == Counter([(None, texts[0]), (None, texts[1]), (7, texts[2]), (3, texts[3]), (None, texts[4]), (9, texts[5]), (5, "")])
+
+
 def test_packing(docs, rows, empty):
     got = packing.pack_documents(docs, lengths=(64, 256, 1024), shard=20).collect()
     sizes = Counter((i, len((t or "").encode())) for i, t in rows)
