@@ -84,7 +84,8 @@ def randomness(text: Column, ratios: list[float]) -> Column:
 def scan(docs: DataFrame, ratios: list[float], *, threshold: float = 0.6) -> DataFrame:
     """All columns of `docs`, with `_text` (null as empty), `_base` and `_spans` (arrays of spans by start, then kind).
 
-    Spans of the models that touch a base span are left out. Texts of any length are scanned whole; repeated rows and
+    Spans of the models that base spans hold wholly, but for the "x" or "0x" of a hexadecimal number, are left out; others
+    stand beside the base spans that they touch. Texts of any length are scanned whole; repeated rows and
     null keys give a row each; an empty table gives an empty result.
     """
     text = F.col("_text")
@@ -92,7 +93,9 @@ def scan(docs: DataFrame, ratios: list[float], *, threshold: float = 0.6) -> Dat
     assign = F.filter(spans.find(text, ASSIGN, 0), lambda s: F.length(group2(s["hit"])) >= 6)
     found = docs.withColumn("_text", whole_text()).withColumn("_base", spans.together(assign, spans.find(text, ACCESS, 1), spans.find(text, HEX, 2)))
     wide = F.filter(spans.find(text, CANDIDATE, 3), lambda s: s["hit"].rlike("[0-9]") & s["hit"].rlike("[A-Za-z]") & (randomness(s["hit"], ratios) > threshold))
-    extra = F.filter(wide, lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    begin = lambda s: s["start"] + F.length(F.regexp_extract(s["hit"], rf"^0?x(?={HEX})", 0))
+    held = lambda s: F.aggregate(F.col("_base"), begin(s), lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["stop"])).otherwise(at))
+    extra = F.filter(wide, lambda s: held(s) < s["stop"])
     return found.withColumn("_spans", spans.together(F.col("_base"), extra))
 
 

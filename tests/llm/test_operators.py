@@ -106,6 +106,13 @@ def test_secrets(docs, rows, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_secrets_beside_base_spans(spark):
+    text = "see Q7zR2mXp9f3b2a1c4d5e6f708192a3b4 and 0x9f3b2a1c4d5e6f708192a3b4c5 here"
+    table = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.find_secrets(table).first().spans == "markov:4:36,hex:12:36,hex:43:69"
+    assert secrets.mask_secrets(table).first().text == "see [SECRET] and 0x[SECRET] here"
+
+
 def test_markov_model(spark):
     ratios = secrets.train(secrets.default_samples(spark, 800))
     fresh = spark.createDataFrame([("kD82hsQ0xPz91LmVbT4rWq7y",), ("get_user_name_from_table_12",), ("createOrderListHandler2",), ("9aK3jd82Hsk29sLqPw83nZx1",)], "text string")
