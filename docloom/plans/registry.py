@@ -108,6 +108,12 @@ _query("xref_entity_links", "documents", f"""
     SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, round(count(*) / min(least(a.n, b.n)), 6) AS confidence FROM x a JOIN x b ON a.entity = b.entity AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 2""")(
     lambda d: search.shared_entity_links(text.entity_rows(d))
 )
+_query("xref_entity_members", "documents", f"""
+    WITH e AS (SELECT DISTINCT doc_id, entity FROM ({_entity_sql})), s AS (SELECT doc_id, list_sort(list(entity)) AS l FROM e GROUP BY doc_id HAVING count(*) >= 2),
+    p AS (SELECT a.doc_id AS doc_id, b.doc_id AS other FROM e a JOIN e b ON a.entity = b.entity AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING count(*) >= 2)
+    SELECT doc_id, min(doc_id) OVER (PARTITION BY l) AS representative, coalesce(n, 0) AS links FROM s LEFT JOIN (SELECT doc_id, count(*) AS n FROM p GROUP BY 1) USING (doc_id)""")(
+    lambda d: search.entity_members(text.entity_rows(d))
+)
 _query("vector_topk", "embeddings", """
     WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) + 1e-10), 6) AS score
         FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
