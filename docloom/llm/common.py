@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,22 +19,41 @@ SPACE = r"\x20\x09-\x0D"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share, `spark.checkpoint.dir`.
+
+    Where it is unset, a run in one process (tests) gets a folder of its own; a cluster gets an error, since its machines
+    share no temporary folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it again: lineage ends there, so a lost executor costs no recomputation."""
+def materialise(df: DataFrame, name: str, used: list[str] | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it again: lineage ends there, so a lost executor costs no recomputation.
+
+    The path is appended to `used`, so that `discard` can delete the table when all that reads it has been written.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if used is not None:
+        used.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, used: list[str]) -> None:
+    """Delete tables that `materialise` wrote."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while used:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(used.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -58,28 +78,64 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 
 
 BITMAP = 1 << 26  #: bits
+PAGE = 1 << 15  #: bits of the bitmap that one row carries to the driver
 
 
-def maybe_in(keys: DataFrame) -> Callable[[str], Column]:
-    """A test of a column of keys that holds for all in `keys` (key) and for few others.
+def bitmap_of(keys: DataFrame) -> Broadcast:
+    """A bitmap of BITMAP bits, sent to every task, that has the lowest bits of every key in `keys` (key) set.
 
-    It looks up a bitmap of BITMAP bits at the key's lowest bits: 8 MB at most, as BITMAP / 64 rows to the driver.
+    Its pages are made in the tasks: 8 MB in at most BITMAP / PAGE rows come to the driver, however many keys there are.
     """
-    places = keys.select(F.pmod("key", F.lit(BITMAP)).alias("at"))
-    words = places.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-    bitmap = np.zeros(BITMAP // 64, np.int64)
-    for word, bits in words.toLocalIterator():
-        bitmap[word] = bits
-    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy() & (BITMAP - 1)
+            at.sort()
+            first = np.flatnonzero(np.diff(at // PAGE, prepend=-1))
+            for page, own in zip((at[first] // PAGE).tolist(), np.split(at % PAGE, first[1:]), strict=True):
+                np.bitwise_or.at(bits.setdefault(page, np.zeros(PAGE // 8, np.uint8)), own >> 3, np.left_shift(1, own & 7).astype(np.uint8))
+        if bits:
+            yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array([x.tobytes() for x in bits.values()], pa.binary())], ["page", "bits"])
+
+    spark = keys.sparkSession
+    page = F.shiftright(F.col("key").bitwiseAND(F.lit(BITMAP - 1)), PAGE.bit_length() - 1)
+    bitmap = np.zeros((BITMAP // PAGE, PAGE // 8), np.uint8)
+    for number, bits in keys.select("key").repartition(page).mapInArrow(pages, "page int, bits binary").collect():
+        bitmap[number] = np.frombuffer(bits, np.uint8)
+    return spark.sparkContext.broadcast(bitmap.reshape(-1))
+
+
+def looked_up(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & (BITMAP - 1)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def maybe_in(keys: DataFrame) -> Callable[[str], Column]:
+    """A test of a column of keys that holds for all in `keys` (key) and, while these are few, for few others."""
+    shared = bitmap_of(keys)
 
     @F.pandas_udf("boolean")
     def test(key: pd.Series) -> pd.Series:
-        at = key.to_numpy() & (BITMAP - 1)
-        return pd.Series((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
+        return pd.Series(looked_up(shared.value, key.to_numpy()))
 
     return test
 
 
+ROW = "_row"
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """`docs` as one struct column, so that no column of the caller's can clash with a work column; `released` undoes it."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(ROW))
+
+
+def released(rows: DataFrame, **changed: Column) -> DataFrame:
+    """The caller's columns, with the `changed` ones in their places."""
+    fields = rows.schema[ROW].dataType.names
+    return rows.select(*(changed[c].alias(c) if c in changed else F.col(ROW).getField(c).alias(c) for c in fields))
+
+
 class WordHashes(dict):
     """Word (bytes) to 64-bit hash, remembered up to a bound."""
 
