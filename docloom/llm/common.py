@@ -136,6 +136,23 @@ def released(rows: DataFrame, **changed: Column) -> DataFrame:
     return rows.select(*(changed[c].alias(c) if c in changed else F.col(ROW).getField(c).alias(c) for c in fields))
 
 
+HOT = 1000
+
+
+def join_spread(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """`rows` joined to `table`, which has one row for each key, so that no key's rows gather in one task.
+
+    Keys of more than 1 / HOT of all rows, fewer than HOT of them, are broadcast with their rows of `table`; the rest is
+    shuffled. `rows` is read three times: it should be a written table.
+    """
+    counts = rows.groupBy(*on).agg(F.count("*").alias("_n"))
+    total = rows.count()
+    hot = F.broadcast(counts.where(F.col("_n") > total / HOT).drop("_n").withColumn("_hot", F.lit(True)))
+    told = rows.join(hot, on, "left")
+    few = F.broadcast(hot.join(table, on, how))
+    return told.where("_hot").drop("_hot").join(few.drop("_hot"), on).unionByName(told.where("_hot is null").drop("_hot").join(table, on, how))
+
+
 class WordHashes(dict):
     """Word (bytes) to 64-bit hash, remembered up to a bound."""
 

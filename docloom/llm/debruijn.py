@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, WordHashes, bitmap_of, carried, discard, looked_up, map_batches, materialise, maybe_in, mix, released, row_key, whole_text
+from .common import ROW, WordHashes, bitmap_of, carried, discard, join_spread, looked_up, map_batches, materialise, maybe_in, mix, released, row_key, whole_text
 
 K = 11  #: words in a k-mer
 CHUNK = 60_000  #: words that are hashed together, or one longer text
@@ -244,19 +244,11 @@ def doubled(glue: DataFrame, used: list[str]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, ends, circles)
 
 
-HOT = 1000  #: a piece at more than 1 / HOT of all corners is joined by broadcast; so there are fewer than HOT of them
-
-
 def spans(parts: DataFrame, paths: DataFrame, window: int, used: list[str]) -> DataFrame:
     """key, low, high: the word ranges of documents that lie on a path."""
     at = placed(parts, "piece", bitmap_of(paths.where("corner").select(F.col("piece").alias("key"))), corners=True)
     at = materialise(at.select("piece", "checked", "key", "start", "width"), "corners", used)
-    counts = at.groupBy("piece", "checked").agg(F.count("*").alias("n"))
-    share = counts.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(counts.where(F.col("n") > share / HOT).select("piece", "checked", F.lit(True).alias("hot")))
-    told = at.join(hot, ["piece", "checked"], "left")
-    often = F.broadcast(paths.join(hot, ["piece", "checked"]).drop("hot", "corner"))
-    on = told.where("hot").join(often, ["piece", "checked"]).unionByName(told.where("hot is null").join(paths.drop("corner"), ["piece", "checked"]))
+    on = join_spread(at, paths.drop("corner"), ["piece", "checked"])
     sides = on.groupBy("key", "path", (F.col("start") - F.col("offset")).alias("diagonal"))
     return sides.agg(F.min("start").alias("low"), (F.max(F.col("start") + F.col("width")) + (window - 1)).alias("high")).select("key", "low", "high")
 

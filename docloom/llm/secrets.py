@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import whole_text
+from .common import ROW, carried, released, whole_text
 
 # Fixed patterns of the base kinds. The last two hold their least length, which changes no match: a shorter run of the
 # same characters cannot hide a longer one.
@@ -24,35 +24,66 @@ KINDS = ["assign", "access", "hex", "markov"]
 
 #: A string that the models judge: key-like characters with a digit and a letter among them.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+THRESHOLD = 0.6  #: mean log-likelihood ratio above which a string is random
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
-# Fixed list of words of which ordinary identifiers are made (labelled samples).
-WORDS = (
-    "get set is has to from user name index count value list item data file path size type key map node tree row column table field "
-    "text line word page host port code error message request response client server config option default input output buffer stream "
-    "start end first last next previous min max sum average time date year month day hour minute second create update delete insert "
-    "select where order group join left right top bottom width height color image button label title header footer content parent child "
-    "test case model view controller service manager handler factory builder parser reader writer iterator version release build number"
-).split()
-
-
-def default_samples(spark: SparkSession, random_strings: int = 3000) -> DataFrame:
-    """Labelled samples (text, is_random): random hex, base-64 and alphanumeric strings from hashes of numbers, and
-    identifiers of two to four words in the usual spellings, some with a short number."""
-    n = spark.range(random_strings)
+# Fixed lists of words of which ordinary identifiers and compounds are made (labelled samples): of programs, and of texts
+# in English, German, French and Spanish without their accents.
+CODE = [
+    "get", "set", "is", "has", "to", "from", "user", "name", "index", "count", "value", "list", "item", "data", "file", "path", "size", "type", "key", "map",
+    "node", "tree", "row", "column", "table", "field", "text", "line", "page", "host", "port", "code", "error", "message", "request", "response", "client",
+    "server", "config", "option", "default", "input", "output", "buffer", "stream", "start", "end", "next", "previous", "min", "max", "time", "date", "year",
+    "create", "update", "delete", "select", "where", "order", "group", "join", "left", "right", "width", "height", "image", "button", "label", "header",
+    "parent", "child", "test", "model", "view", "controller", "service", "manager", "handler", "factory", "builder", "parser", "version", "build", "number",
+]
+ENGLISH = [
+    "house", "water", "people", "through", "world", "school", "country", "between", "thought", "night", "children", "government", "company", "system",
+    "question", "business", "research", "development", "information", "international", "knowledge", "university", "community", "experience", "political",
+    "weather", "morning", "kingdom", "freshly", "strength", "blackbird", "overview", "network", "language", "together", "exchange", "highway", "judgement",
+]
+GERMAN = [
+    "schiff", "fahrt", "gesellschaft", "dampf", "donau", "versicherung", "arbeit", "geschichte", "zeitung", "krankenhaus", "bundes", "regierung", "schule",
+    "wissenschaft", "entwicklung", "strasse", "bahnhof", "freund", "zwischen", "jahrhundert", "sprache", "wirtschaft", "stadt", "landschaft", "haupt",
+    "verkehr", "gemeinde", "rechts", "anwalt", "pflicht", "kraft", "werk", "grund", "gesetz", "lehrer", "buch", "handlung", "herbst", "quelle", "jungfrau",
+]
+FRENCH = [
+    "maison", "travail", "histoire", "gouvernement", "politique", "question", "heureux", "beaucoup", "toujours", "enfant", "aujourdhui", "developpement",
+    "entreprise", "environnement", "quelque", "pourquoi", "lumiere", "chambre", "premiere", "monsieur", "voyage", "pouvoir", "jeunesse", "republique",
+    "anticonstitutionnellement", "naturellement", "bibliotheque", "francaise", "systeme", "eau", "oiseau", "feuille", "vieux", "douze", "chaque",
+]
+SPANISH = [
+    "trabajo", "gobierno", "historia", "desarrollo", "empresa", "ciudad", "pueblo", "siempre", "familia", "escuela", "corazon", "palabra", "pregunta",
+    "informacion", "conocimiento", "universidad", "internacional", "izquierda", "derecha", "mujer", "hombre", "guerra", "noche", "llamada", "quizas",
+    "ayuntamiento", "ferrocarril", "lluvia", "jardin", "juventud", "zapato", "queso", "viaje", "carretera", "calle", "naturaleza", "sencillo", "mejor",
+]
+#: Rows of characters that people type in order.
+ROWS = ["abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba", "01234567890123456789", "98765432109876543210", "qwertyuiopasdfghjklzxcvbnm", "qwertzuiopasdfghjklyxcvbnm", "azertyuiopqsdfghjklmwxcvbn"]
+
+
+def default_samples(spark: SparkSession, strings: int = 1500) -> DataFrame:
+    """Labelled samples (text, is_random): random base-64, alphanumeric, upper-case and hexadecimal strings from hashes of
+    numbers; identifiers of two to four words of a language in the usual spellings, compounds of such words, both partly
+    with a short number; dates, rows of characters in order, and one character repeated."""
+    n = spark.range(strings)
     digest = F.sha2(F.col("id").cast("string"), 256)
     coded = F.base64(F.unhex(digest))
     plain = F.translate(coded, "+/=", "")
     hexes = F.substring(F.sha2(F.concat(F.lit("h"), F.col("id").cast("string")), 256), 1, 40)
-    randoms = n.select(F.explode(F.array(coded, plain, F.upper(plain), hexes)).alias("text"), F.lit(True).alias("is_random"))
-    words = F.array(*map(F.lit, WORDS))
-    pick = lambda salt: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(WORDS))) + 1).cast("int"))
-    parts = F.slice(F.array(*map(pick, range(4))), 1, (F.pmod(F.xxhash64("id", F.lit(9)), F.lit(3)) + 2).cast("int"))
-    number = F.when(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(3)) == 0, F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2030)).cast("string")).otherwise("")
-    camel = F.array_join(F.transform(parts, F.initcap), "")
-    styles = F.array(F.concat(F.array_join(parts, "_"), number), F.concat(F.array_join(parts, "-"), number), F.concat(camel, number), F.concat(F.upper(F.array_join(parts, "_")), number), F.concat(F.array_join(parts, "/"), number))
-    names = n.select(F.explode(styles).alias("text"), F.lit(False).alias("is_random"))
-    return randoms.unionByName(names)
+    randoms = n.select(F.explode(F.array(coded, plain, F.translate(coded, "+/=", "-_"), F.upper(plain), hexes)).alias("text"), F.lit(True).alias("is_random"))
+    languages = F.array(*(F.array(*map(F.lit, words)) for words in (CODE, CODE, ENGLISH, GERMAN, FRENCH, SPANISH)))
+    hashed = lambda salt, most: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(most) if isinstance(most, int) else most).cast("int")
+    own = F.element_at(languages, hashed(10, 6) + 1)
+    drawn = n.select("id", own.alias("words"))
+    pick = lambda salt: F.element_at("words", hashed(salt, F.size("words")) + 1)
+    parts = F.slice(F.array(*map(pick, range(4))), 1, hashed(9, 3) + 2)
+    named = drawn.select("id", parts.alias("parts"), F.when(hashed(8, 2) == 0, hashed(7, 2030).cast("string")).otherwise("").alias("number"))
+    title = F.transform("parts", F.initcap)
+    joined = [F.array_join("parts", "_"), F.array_join("parts", "-"), F.array_join("parts", "/"), F.array_join(title, ""), F.upper(F.array_join("parts", "_")), F.array_join("parts", ""), F.initcap(F.array_join("parts", ""))]
+    names = named.select(F.explode(F.array(*(F.concat(x, "number") for x in joined))).alias("text"), F.lit(False).alias("is_random"))
+    rows = [*ROWS, *map(str.upper, ROWS), *(c * 24 for c in ALPHABET)]
+    stamp = F.date_format(F.timestamp_seconds(F.col("id") * 7_654_321), "yyyy-MM-dd'T'HH-mm-ss")
+    typed = spark.range(max(1, strings // 10)).select(F.explode(F.array(stamp, *map(F.lit, rows))).alias("text"), F.lit(False).alias("is_random"))
+    return randoms.unionByName(names).unionByName(typed)
 
 
 def train(samples: DataFrame, *, smoothing: float = 0.5) -> list[float]:
@@ -62,7 +93,7 @@ def train(samples: DataFrame, *, smoothing: float = 0.5) -> list[float]:
     """
     codes = F.transform(F.split("text", ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     pairs = F.expr("transform(sequence(1, size(codes) - 1), i -> struct(codes[i - 1] as a, codes[i] as b))")
-    rows = samples.where(F.length("text") > 1).select("is_random", codes.alias("codes")).select("is_random", F.explode(pairs).alias("p")).where("p.a >= 0 and p.b >= 0")
+    rows = samples.where((F.length("text") > 1) & F.col("is_random").isNotNull()).select("is_random", codes.alias("codes")).select("is_random", F.explode(pairs).alias("p")).where("p.a >= 0 and p.b >= 0")
     found = {(r[0], r[1], r[2]): r[3] for r in rows.groupBy("is_random", "p.a", "p.b").count().collect()}
     n = len(ALPHABET)
     ratios = []
@@ -81,42 +112,49 @@ def randomness(text: Column, ratios: list[float]) -> Column:
     return total / (F.length(text) - 1)
 
 
-def scan(docs: DataFrame, ratios: list[float], *, threshold: float = 0.6) -> DataFrame:
-    """All columns of `docs`, with `_text` (null as empty), `_base` and `_spans` (arrays of spans by start, then kind).
+def scan(rows: DataFrame, ratios: list[float], *, threshold: float = THRESHOLD) -> DataFrame:
+    """`rows` (text, not null), with `base` and `spans` (arrays of spans by start, then kind).
 
     Spans of the models that base spans hold wholly, but for the "x" or "0x" of a hexadecimal number, are left out; others
-    stand beside the base spans that they touch. Texts of any length are scanned whole; repeated rows and
-    null keys give a row each; an empty table gives an empty result.
+    stand beside the base spans that they touch. Texts of any length are scanned whole; repeated rows give a row each; an
+    empty table gives an empty result.
     """
-    text = F.col("_text")
+    text = F.col("text")
     group2 = lambda hit: F.regexp_extract(hit, r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$""", 1)
     assign = F.filter(spans.find(text, ASSIGN, 0), lambda s: F.length(group2(s["hit"])) >= 6)
-    found = docs.withColumn("_text", whole_text()).withColumn("_base", spans.together(assign, spans.find(text, ACCESS, 1), spans.find(text, HEX, 2)))
+    found = rows.withColumn("base", spans.together(assign, spans.find(text, ACCESS, 1), spans.find(text, HEX, 2)))
     wide = F.filter(spans.find(text, CANDIDATE, 3), lambda s: s["hit"].rlike("[0-9]") & s["hit"].rlike("[A-Za-z]") & (randomness(s["hit"], ratios) > threshold))
     begin = lambda s: s["start"] + F.length(F.regexp_extract(s["hit"], rf"^0?x(?={HEX})", 0))
-    held = lambda s: F.aggregate(F.col("_base"), begin(s), lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["stop"])).otherwise(at))
+    held = lambda s: F.aggregate(F.col("base"), begin(s), lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["stop"])).otherwise(at))
     extra = F.filter(wide, lambda s: held(s) < s["stop"])
-    return found.withColumn("_spans", spans.together(F.col("_base"), extra))
+    return found.withColumn("spans", spans.together(F.col("base"), extra))
+
 
+def find_secrets(docs: DataFrame, samples: DataFrame | None = None, *, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row of `docs` (doc_id, text).
 
-def find_secrets(docs: DataFrame, samples: DataFrame | None = None, *, threshold: float = 0.6) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row of `docs` (doc_id, text)."""
+    Null and empty texts have no spans; null doc_ids and repeated rows give a row each; other columns are not read; an
+    empty table gives an empty result.
+    """
     ratios = train(default_samples(docs.sparkSession) if samples is None else samples)
-    found = scan(docs.select("doc_id", "text"), ratios, threshold=threshold)
+    found = scan(docs.select("doc_id", whole_text().alias("text")), ratios, threshold=threshold)
     return found.select(
         "doc_id",
-        *(spans.count(F.col("_base"), k).alias(f"n_{KINDS[k]}") for k in range(3)),
-        F.sha2(spans.written(F.col("_base"), KINDS).cast("binary"), 256).alias("base_sha256"),
-        spans.written(F.col("_spans"), KINDS).alias("spans"),
+        *(spans.count(F.col("base"), k).alias(f"n_{KINDS[k]}") for k in range(3)),
+        F.sha2(spans.written(F.col("base"), KINDS).cast("binary"), 256).alias("base_sha256"),
+        spans.written(F.col("spans"), KINDS).alias("spans"),
     )
 
 
-def mask_secrets(docs: DataFrame, samples: DataFrame | None = None, *, threshold: float = 0.6, mask: str = "[SECRET]") -> DataFrame:
-    """The rows and columns of `docs` with every secret in `text` replaced by `mask`; other rows are unchanged, null text too."""
+def mask_secrets(docs: DataFrame, samples: DataFrame | None = None, *, threshold: float = THRESHOLD, mask: str = "[SECRET]") -> DataFrame:
+    """The rows and columns of `docs` with every secret in `text` replaced by `mask`; other rows are unchanged, null text too.
+
+    `n_chars`, if there is such a column, is counted anew for changed texts; columns of any other names keep their values.
+    """
     ratios = train(default_samples(docs.sparkSession) if samples is None else samples)
-    found = scan(docs, ratios, threshold=threshold)
-    text = F.when(F.size("_spans") > 0, spans.masked(F.col("_text"), F.col("_spans"), mask)).otherwise(F.col("text"))
-    changed = {"text": text}
+    found = scan(carried(docs).withColumn("text", whole_text(f"{ROW}.text")), ratios, threshold=threshold)
+    hit = F.size("spans") > 0
+    changed = {"text": F.when(hit, spans.masked(F.col("text"), F.col("spans"), mask)).otherwise(F.col(f"{ROW}.text"))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.size("_spans") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumns(changed).select(*docs.columns)
+        changed["n_chars"] = F.when(hit, F.length(changed["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(f"{ROW}.n_chars"))
+    return released(found, **changed)

@@ -1,20 +1,23 @@
 """Near duplicates by SimHash fingerprints and multi-index hashing.
 
-The 64 bits are cut into three segments. Fingerprints that differ in at most four bits differ in at most one bit of some
-segment, so each fingerprint looks up, for every segment, the segment's value and all values one bit away in a table of
-segment values, and the whole distance of what it finds is verified. Different fingerprints are linked, not documents:
+The 64 bits are cut into n segments. Fingerprints that differ in at most four bits differ in at most 4 // n bits of some
+segment, so each fingerprint looks up, for every segment, all values of that small Hamming ball in a table of segment
+values, and the whole distance of what it finds is verified. Three segments with one bit need few probes; two with two
+bits keep the candidates few for very many fingerprints. Different fingerprints are linked, not documents:
 copies share a fingerprint and cost nothing. Components come from alternating star contraction of the links.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, maybe_in, row_key, whole_text
+from .common import ROW, carried, discard, join_spread, map_batches, materialise, maybe_in, released, row_key, whole_text
 
 BITS = 64
 
@@ -56,41 +59,63 @@ def with_fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return map_batches(docs.select("doc_id", whole_text().alias("text"), *rest), make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, print long{kinds}")
 
 
-def segments(distance: int) -> list[tuple[int, int]]:
-    """(lowest bit, bits) of each segment: as many as leave at most one differing bit to one of them."""
-    n = distance // 2 + 1
+def segments(n: int) -> list[tuple[int, int]]:
+    """(lowest bit, bits) of each of `n` segments."""
     edges = [BITS * k // n for k in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def links(prints: DataFrame, distance: int = 4) -> DataFrame:
+def flips(bits: int, radius: int) -> list[int]:
+    """All values of `bits` bits with at most `radius` of them set: the Hamming ball around zero."""
+    return [sum(1 << b for b in chosen) for r in range(radius + 1) for chosen in combinations(range(bits), r)]
+
+
+def cheapest(prints: int, distance: int) -> int:
+    """How many segments need the fewest probes and candidates for so many fingerprints. It changes the cost only.
+
+    Fingerprints that differ in at most `distance` bits differ in at most distance // n bits of one of n segments.
+    """
+
+    def cost(n: int) -> float:
+        return sum(len(flips(bits, distance // n)) * (1 + prints / 2**bits) for _, bits in segments(n))
+
+    return min([n for n in range(2, distance + 1) if distance // n <= 2] or [distance + 1], key=cost)
+
+
+def links(prints: DataFrame, distance: int = 4, parts: int | None = None) -> DataFrame:
     """a, b (a < b): all pairs of different fingerprints in `prints` (print) that differ in at most `distance` bits."""
-    parts = segments(distance)
+    n_parts = parts or cheapest(prints.count(), distance)
+    cut = segments(n_parts)
     value = lambda a, n: F.shiftrightunsigned("print", a).bitwiseAND(F.lit((1 << n) - 1))
     key = lambda s, v: F.shiftleft(F.lit(s).cast("long"), 58).bitwiseOR(v)
-    table = prints.select(F.col("print").alias("b"), F.explode(F.array(*(key(s, value(a, n)) for s, (a, n) in enumerate(parts)))).alias("key"))
-    balls = [key(s, value(a, n).bitwiseXOR(F.lit(flip))) for s, (a, n) in enumerate(parts) for flip in [0, *(1 << i for i in range(n))]]
-    probes = prints.select(F.col("print").alias("a"), F.explode(F.array(*balls)).alias("key"))
+    table = prints.select(F.col("print").alias("b"), F.explode(F.array(*(key(s, value(a, n)) for s, (a, n) in enumerate(cut)))).alias("key"))
+    ball = lambda n: F.array(*(F.lit(x).cast("long") for x in flips(n, distance // n_parts)))
+
+    def around(s: int, a: int, n: int) -> Column:
+        return F.transform(ball(n), lambda x: key(s, value(a, n).bitwiseXOR(x)))
+
+    probes = prints.select(F.col("print").alias("a"), F.explode(F.concat(*(around(s, a, n) for s, (a, n) in enumerate(cut)))).alias("key"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
     return probes.join(table, "key").where(near).select("a", "b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, used: list[str]) -> DataFrame:
     """print, root: the least fingerprint reachable from each one that has an edge (a, b).
 
-    Large-star and small-star rounds, each written to the shared folder, until the edges no longer change.
+    Large-star and small-star rounds, each written to the shared folder, until the edges no longer change. The rows of a
+    fingerprint with very many edges are spread over the tasks.
     """
-    stars = materialise(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), "stars")
+    stars = materialise(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), "stars", used)
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = state(stars)
-    while True:
+    while before[0]:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
-        down = large.select(F.col("v").alias("top"), F.col("u").alias("low"))  # each v with its lower neighbours
+        large = join_spread(stars, least, ["u"]).select(F.col("m").alias("u"), "v").where("u < v").distinct()
+        down = materialise(large.select(F.col("v").alias("top"), F.col("u").alias("low")), "stars", used)  # each v with its lower neighbours
         lowest = down.groupBy("top").agg(F.min("low").alias("m"))
-        small = down.join(lowest, "top").select(F.explode(F.array(F.struct("m", F.col("low").alias("x")), F.struct("m", F.col("top").alias("x")))).alias("e")).select(F.col("e.m").alias("u"), F.col("e.x").alias("v"))
-        stars = materialise(small.where("u < v").distinct(), "stars")
+        small = join_spread(down, lowest, ["top"]).select(F.explode(F.array(F.struct("m", F.col("low").alias("x")), F.struct("m", F.col("top").alias("x")))).alias("e")).select(F.col("e.m").alias("u"), F.col("e.x").alias("v"))
+        stars = materialise(small.where("u < v").distinct(), "stars", used)
         now = state(stars)
         if now == before:
             break
@@ -98,24 +123,25 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("v").alias("print"), F.col("u").alias("root"))
 
 
-def least_by_component(prints: DataFrame, value: Column, distance: int) -> DataFrame:
-    """print, least: for each fingerprint in `prints` (print), the least `value` of all rows that links reach."""
-    each = materialise(prints.groupBy("print").agg(F.min(value).alias("first")), "distinct")
-    roots = components(links(each.select("print"), distance))
-    rooted = each.join(roots, "print", "left").select("print", "first", F.coalesce("root", "print").alias("root"))
+def least_by_component(prints: DataFrame, value: Column, distance: int, used: list[str]) -> DataFrame:
+    """print, least: for each fingerprint in `prints` (print), the least `value` of all rows that links reach; a written table."""
+    each = materialise(prints.groupBy("print").agg(F.min(value).alias("first")), "distinct", used)
+    roots = components(links(each.select("print"), distance), used)
+    rooted = materialise(each.join(roots, "print", "left").select("print", "first", F.coalesce("root", "print").alias("root")), "rooted", used)
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    return rooted.join(least, "root").select("print", "least")
+    return materialise(join_spread(rooted, least, ["root"]).select("print", "least"), "least", used)
 
 
 def group(docs: DataFrame, *, shingle: int = 4, distance: int = 4) -> DataFrame:
     """The columns of `docs` but text, with print and component_id: the least doc_id that links reach, itself included.
 
     Null text counts as empty and gets fingerprint zero, which is linked like any other. Null doc_ids are passed over
-    for the least; a component of nothing else has component_id null. Repeated rows each give a row.
+    for the least; a component of nothing else has component_id null. Repeated rows each give a row. Columns of `docs`
+    may not be called print or component_id.
     """
     prints = materialise(with_fingerprints(docs, shingle), "prints")
-    named = least_by_component(prints, F.col("doc_id"), distance)
-    return prints.join(named.withColumnRenamed("least", "component_id"), "print")
+    named = least_by_component(prints, F.col("doc_id"), distance, [])
+    return join_spread(prints, named.withColumnRenamed("least", "component_id"), ["print"])
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -128,17 +154,20 @@ def keep_one(docs: DataFrame, *, shingle: int = 4, distance: int = 4) -> DataFra
     """One row, with all columns of `docs`, of each component: the one with the least doc_id, then the least content key.
 
     Rows are known by a hash of doc_id and text, so rows of one doc_id, or of none, are told apart; of rows alike in both
-    any one stands for all. Null doc_ids come last: such a row stays if its component has no other.
+    any one stands for all. Null doc_ids come last: such a row stays if its component has no other. Columns of any other
+    names keep their values. An empty table gives an empty result.
     """
+    used: list[str] = []
     key = row_key(docs["doc_id"], docs["text"])
-    prints = materialise(with_fingerprints(docs.select("doc_id", "text", key.alias("key")), shingle), "prints")
+    prints = materialise(with_fingerprints(docs.select("doc_id", "text", key.alias("key")), shingle), "prints", used)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    named = least_by_component(prints, order, distance).select("print", F.col("least.key").alias("least"))
-    keys = prints.join(named, "print").groupBy("key").agg(F.count("*").alias("n"), F.bool_or(F.col("key") == F.col("least")).alias("stays"))
+    named = least_by_component(prints, order, distance, used).select("print", F.col("least.key").alias("least"))
+    keys = join_spread(prints, named, ["print"]).groupBy("key").agg(F.count("*").alias("n"), F.bool_or(F.col("key") == F.col("least")).alias("stays"))
     # Most rows stay and are alone: only those that a bitmap of the others does not rule out are shuffled.
     others = materialise(keys.where("n > 1 or not stays"), "others")
-    marked = docs.withColumn("_key", key)
-    marked = marked.withColumn("_maybe", maybe_in(others)("_key"))
-    gone = others.where("not stays").select(F.col("key").alias("_key"), F.lit(True).alias("_gone"))
-    concerned = marked.where("_maybe").join(gone, "_key", "left").where("_gone is null").dropDuplicates(["_key"])
-    return marked.where("not _maybe").select(*docs.columns).unionByName(concerned.select(*docs.columns))
+    discard(docs.sparkSession, used)
+    marked = carried(docs).withColumn("key", row_key(F.col(f"{ROW}.doc_id"), F.col(f"{ROW}.text")))
+    marked = marked.withColumn("maybe", maybe_in(others)("key"))
+    gone = others.where("not stays").select("key")
+    concerned = marked.where("maybe").join(gone, "key", "left_anti").dropDuplicates(["key"])
+    return released(marked.where("not maybe").select(ROW).unionByName(concerned.select(ROW)))

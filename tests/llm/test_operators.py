@@ -106,6 +106,55 @@ def test_secrets(docs, rows, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+BASE = [
+    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+    ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+]
+
+
+def plain_secrets(text):
+    found = [(m.start(), k, m.end()) for k, (_, pattern, good) in enumerate(BASE) for m in pattern.finditer(text) if good(m)]
+    return ",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in sorted(found)), Counter(k for _, k, _ in found)
+
+
+def test_base_secrets_by_plain_patterns(spark, docs, rows):
+    """Every base span of a table and of texts full of near misses."""
+    import random
+
+    rng = random.Random(8)
+    parts = ["password", "PassWd", "api_key", "APIKEY", "token", "secret", '"', "'", " ", "  ", ":", "=", "abc", "abcdef", "x.y/z=", "AKIA", "AKIAB3", "0" * 23, "0" * 24, "a1" * 12, "ABCDEFGH1234567890", "é", "\n", "😀", "ſecret", "toKen"]
+    odd = [(1000 + i, "".join(rng.choice(parts) for _ in range(rng.randint(1, 40)))) for i in range(400)]
+    kept = [r for r in rows if r[0] is not None and r[1] is not None] + odd
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    got = {r.doc_id: r for r in secrets.find_secrets(table).collect()}
+    for i, text in kept:
+        written, counts = plain_secrets(text)
+        r = got[i]
+        assert (r.base_sha256, r.n_assign, r.n_access, r.n_hex) == (sha(written), counts[0], counts[1], counts[2]), text
+
+
+def test_secret_model_recall_and_precision(spark):
+    import random
+    import string
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    alphabets = [string.ascii_letters + string.digits + more for more in ("", "+/", "-_")] + [string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits]
+    keys = ["".join(rng.choice(a) for _ in range(rng.randint(20, 44))) + "7q" for a in alphabets for _ in range(100)]
+    plain = (
+        "abcdefghijklmnopqrstuvwxyz123 Donaudampfschifffahrtsgesellschaft1 Rindfleischetikettierungsueberwachung2 getElementsByClassName2Handler INTERNATIONAL_STANDARD_BOOK_NUMBER_13 "
+        "anticonstitutionnellement2 desarrollo-sostenible-2030-agenda test_find_secret_spans_in_text_01 AbstractSingletonProxyFactoryBean3 department_of_health_2019_report qwertyuiopasdfghjkl123 "
+        "Lebensversicherungsgesellschaft2020 backpropagation_through_time_v2 aaaaaaaaaaaaaaaaaaaaaaaa1 com/google/common/collect/ImmutableList2 2024-05-17T12-30-00-log Geschwindigkeitsbegrenzung120"
+    ).split()
+    table = spark.createDataFrame([(k, True) for k in keys] + [(w, False) for w in plain], "text string, planted boolean")
+    found = secrets.find_secrets(table.select(F.struct("text", "planted").alias("doc_id"), F.concat(F.lit("see "), "text", F.lit(" here")).alias("text")))
+    r = found.select("doc_id.planted", F.col("spans").contains("markov").alias("hit")).groupBy("planted").agg(F.avg(F.col("hit").cast("int")).alias("share")).collect()
+    share = {x.planted: x.share for x in r}
+    assert share[True] >= 0.99 and share[False] == 0
+
+
 def test_secrets_beside_base_spans(spark):
     text = "see Q7zR2mXp9f3b2a1c4d5e6f708192a3b4 and 0x9f3b2a1c4d5e6f708192a3b4c5 here"
     table = spark.createDataFrame([(1, text)], "doc_id long, text string")
@@ -142,6 +191,51 @@ def test_quality(docs, rows, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} - {None} == {i for i, r in got.items() if r.kept and i is not None}
 
 
+def plain_expectation_maximisation(votes, prior=0.85):
+    """One document after another, without patterns, from the same start; what `estimate` does before it drops rules."""
+    import math
+
+    belief = [0.95 if sum(x > 0 for x in v) > 3 * sum(x < 0 for x in v) else 0.05 for v in votes]
+    for _ in range(200):
+        odds = math.log((sum(belief) + 10 * prior) / (sum(1 - b for b in belief) + 10 * (1 - prior)))
+        ratio = []
+        for j in range(len(votes[0])):
+            a = {x: s + sum(b for v, b in zip(votes, belief) if v[j] == x) for x, s in ((-1, 0.5), (0, 1), (1, 1.5))}
+            z = {x: s + sum(1 - b for v, b in zip(votes, belief) if v[j] == x) for x, s in ((-1, 1.5), (0, 1), (1, 0.5))}
+            ratio.append({x: math.log(a[x] / sum(a.values()) / z[x] * sum(z.values())) for x in a})
+        belief = [1 / (1 + math.exp(-odds - sum(r[x] for r, x in zip(ratio, v)))) for v in votes]
+    return belief
+
+
+def test_estimate(monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    right = [0.95, 0.9, 0.8, 0.9, 0.7]
+    truth = [rng.random() < 0.8 for _ in range(3000)]
+    votes = [tuple(0 if rng.random() < 0.2 else (1 if good else -1) * (1 if rng.random() < p else -1) for p in right) for good in truth]
+    patterns = sorted(Counter(votes).items())
+    odds, ratios = quality.estimate(patterns)
+    belief = dict(zip([v for v, _ in patterns], quality.expectation(patterns, odds, ratios)))
+    for v, b in zip(votes, plain_expectation_maximisation(votes)):
+        assert abs(belief[v] - b) < 1e-4
+    assert sum((belief[v] > 0.5) == t for v, t in zip(votes, truth)) / 3000 > 0.95
+    copied = sorted(Counter((*v, v[0]) for v in votes).items())
+    again = dict(zip([v for v, _ in copied], quality.expectation(copied, *quality.estimate(copied))))
+    assert all(abs(again[(*v, v[0])] - belief[v]) < 1e-6 for v in votes)  # a copy of a rule changes nothing
+    assert quality.estimate([])[1] == []
+
+
+def test_quality_decides(spark):
+    """What the base limits let pass is held against labels that the rules never see."""
+    for sf, least in (("sf0.001", 4), ("sf0.01", 20)):
+        d, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        got = quality.judge(d).join(labels, "doc_id").toPandas()
+        passed = got[~got.base_failed]
+        good, bad = passed[passed.quality == 1], passed[passed.quality == 0]
+        assert len(bad) >= least and bad.kept.mean() <= 0.05 and good.kept.mean() >= 0.97
+
+
 def test_pii(docs, rows, empty):
     plain = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"]
     for _, text in rows:
@@ -277,7 +371,9 @@ def test_simhash_links(spark):
     values = sorted({v - (1 << 64) if v >> 63 else v for v in values})
     table = spark.createDataFrame([(v,) for v in values], "print long")
     near = {(a, b) for k, b in enumerate(values) for a in values[:k] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
-    assert {tuple(r) for r in simhash.links(table).collect()} == near
+    for parts in (None, 2, 3, 4, 5):
+        assert {tuple(r) for r in simhash.links(table, parts=parts).collect()} == near
+    assert [simhash.cheapest(n, 4) for n in (10**5, 10**10)] == [3, 2] and simhash.cheapest(10, 1) == 2
 
 
 def test_keep_one_by_row(spark):
