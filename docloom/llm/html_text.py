@@ -1,20 +1,22 @@
 """Main text of web pages, with site templates removed.
 
-First pass: every block element's subtree (its tags and normalised text, without attributes that vary) is hashed, and
-(host, hash) pairs are counted over pages in Spark. A subtree on many pages of one host is part of that site's template.
-Second pass: template subtrees are deleted together with elements whose tag, role or class says what they are (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments), and the rest becomes text.
-Inside an `article` or `main` element a repeated heading or paragraph is prose that several pages carry, so only
-non-prose subtrees are deleted there.
+First pass: the subtree of every block element, whatever its tag or class says, is hashed (its tags and normalised text,
+without attributes that vary), and Spark counts on how many pages of one host, alike pages once, each hash stands. A
+subtree on many pages of one host is part of that site's template. Second pass: template subtrees are deleted. What is
+left and occurs on few pages is judged by what its tag, role or class says (menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles, reader comments), and the rest becomes text: that of all articles of the page, or of the
+whole page where no element says that it is one. Inside an `article` or `main` element a repeated heading or paragraph is
+prose that several pages carry, so only non-prose subtrees are deleted there.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -110,43 +112,43 @@ def _marked(name: str, attributes: str) -> bool:
     return False
 
 
-def subtree_hashes(root: Node) -> dict[int, int]:
-    """id(node) to a hash of its subtree, for block elements with text that no `out` element holds."""
+def subtree_hashes(root: Node, host: str = "") -> tuple[dict[int, int], int]:
+    """id(node) to a hash of its host and subtree, for all block elements with text; and the hash of the whole page."""
     found: dict[int, int] = {}
-
-    def walk(top: Node) -> None:
-        order, todo = [], [top]
-        while todo:
-            node = todo.pop()
-            if not node.out:
-                order.append(node)
-                todo += [c for c in node.children if type(c) is Node]
-        text: dict[int, str] = {}
-        for node in reversed(order):  # children before parents
-            parts = [text.get(id(c), "") if type(c) is Node else " ".join(c.split()) for c in node.children]
-            inner = " ".join([p for p in parts if p])
-            digest = inner if len(inner) <= 64 else f"#{xxhash.xxh3_128_hexdigest(inner)}"
-            text[id(node)] = f"<{node.name}>{digest}" if inner else ""
-            if inner and node.name and node.name not in INLINE and node.name not in ("html", "body", "article", "main"):
-                found[id(node)] = xxhash.xxh64_intdigest(text[id(node)])
-
-    walk(root)
-    return found
-
-
-def content_root(root: Node) -> tuple[Node, bool]:
-    """The largest article or main element outside what is left out, and whether there is one; else the whole page."""
-    best, most, todo = root, 0, [root]
+    order, todo = [], [root]
     while todo:
         node = todo.pop()
-        if node.out:
-            continue
-        if node.name in ("article", "main"):
-            size = sum(len(t) for t in _strings(node, frozenset(), {}))
-            if size > most or best is root:
-                best, most = node, size
+        order.append(node)
         todo += [c for c in node.children if type(c) is Node]
-    return best, best is not root
+    text: dict[int, str] = {}
+    for node in reversed(order):  # children before parents
+        parts = [text.get(id(c), "") if type(c) is Node else " ".join(c.split()) for c in node.children]
+        inner = " ".join([p for p in parts if p])
+        digest = inner if len(inner) <= 64 else f"#{xxhash.xxh3_128_hexdigest(inner)}"
+        text[id(node)] = f"<{node.name}>{digest}" if inner else ""
+        if inner and node.name and node.name not in INLINE and node.name not in ("html", "head", "body", "article", "main"):
+            found[id(node)] = signed(xxhash.xxh64_intdigest(f"{host} {text[id(node)]}"))
+    return found, signed(xxhash.xxh64_intdigest(text[id(root)]))
+
+
+def content_roots(root: Node) -> list[Node]:
+    """The outermost articles outside what is left out; the outermost `main` elements if there are none, or if the
+    articles hold less than half of their text; the whole page if there is neither."""
+    found: dict[str, list[Node]] = {"article": [], "main": []}
+    for name, tops in found.items():
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            if node.out:
+                continue
+            if node.name == name:
+                tops.append(node)
+            else:
+                todo += [c for c in reversed(node.children) if type(c) is Node]
+    size = {name: sum(len(t) for top in tops for t in _strings(top, frozenset(), {}, True)) for name, tops in found.items()}
+    if found["article"] and 2 * size["article"] >= size["main"]:
+        return found["article"]
+    return found["main"] or [root]
 
 
 def _strings(top: Node, template: frozenset[int] | set[int], hashes: dict[int, int], article: bool = False) -> Iterator[str]:
@@ -159,7 +161,7 @@ def _strings(top: Node, template: frozenset[int] | set[int], hashes: dict[int, i
             continue
         if x.out and x is not top or x.name == "header" and not article and x is not top:
             continue
-        if x is not top and hashes.get(id(x)) in template and not (article and x.name in PROSE):
+        if x is not top and template and hashes.get(id(x)) in template and not (article and x.name in PROSE):
             continue
         if x.name == "br":
             yield " "
@@ -173,8 +175,10 @@ def _strings(top: Node, template: frozenset[int] | set[int], hashes: dict[int, i
 
 def main_text(root: Node, template: set[int] | frozenset[int] = frozenset(), hashes: dict[int, int] | None = None) -> str:
     """Text of the page: character references decoded, white space inside a block one space, blocks joined by one space."""
-    top, article = content_root(root)
-    raw = "".join([s if s in ("\n", " ") else html.unescape(s) for s in _strings(top, template, hashes or {}, article)])
+    pieces = []
+    for top in content_roots(root):
+        pieces += ["\n", *_strings(top, template, hashes or {}, top is not root)]
+    raw = "".join([s if s in ("\n", " ") else html.unescape(s) for s in pieces])
     return " ".join(raw.split())
 
 
@@ -182,71 +186,79 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def extract(pages: DataFrame, *, min_pages: int = 20, min_share: float = 0.2, broadcast_limit: int = 500_000) -> DataFrame:
+def extract(pages: DataFrame, *, min_pages: int = 5, least_pages: int = 3, min_share: float = 0.2, broadcast_limit: int = 500_000) -> DataFrame:
     """page_id, url, text, n_chars for each row of `pages` (page_id, url, html).
 
-    A subtree is template if it is on at least `min_pages` pages and `min_share` of the pages of its host. Null or empty
-    html gives '' and 0; a null url counts as a host of its own (''). Repeated rows each give a row; other columns are
-    not read. The template table goes to the tasks whole while it has at most `broadcast_limit` rows (16 bytes each);
-    beyond that each page's hashes are joined to it and the pages follow by a shuffle on their content key.
+    A subtree is template if it is on `min_pages` pages of its host, alike pages counted once, or, on smaller hosts, on
+    `least_pages` pages and `min_share` of all. Null or empty html gives '' and 0; a null url counts as a host of its own
+    (''). Repeated rows each give a row; other columns are not read; an empty table gives an empty result. The template
+    table goes to the tasks whole, as 8 bytes a row, while it has at most `broadcast_limit` rows; beyond that each page's
+    hashes are joined to it and the pages follow by a shuffle on their content key.
     """
     spark = pages.sparkSession
     given = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    template = template_table(given, min_pages, min_share)
+    template = template_table(given, min_pages, least_pages, min_share)
     page_type, url_type = (given.schema[c].dataType.simpleString() for c in ("page_id", "url"))
     schema = f"page_id {page_type}, url {url_type}, text string, n_chars long"
     if template.count() <= broadcast_limit:
-        known = spark.sparkContext.broadcast(frozenset((r[0], r[1]) for r in template.select("host", "hash").toLocalIterator()))
+        known = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in template.select("hash").toLocalIterator()], np.int64)))
 
-        def make_known():
-            return lambda batch: _extracted(batch, lambda host, hashes: {h for h in hashes if (host, signed(h)) in known.value})
+        def chosen(hashes: list[int]) -> set[int]:
+            at = np.searchsorted(known.value, hashes)
+            return {h for h, i in zip(hashes, at.tolist(), strict=True) if i < len(known.value) and known.value[i] == h}
 
-        return map_batches(given, make_known, schema)
+        return map_batches(given, lambda: lambda batch: _extracted(batch, lambda _, hashes: chosen(list(hashes))), schema)
     key = F.xxhash64("page_id", "url", "html")
-    hits = subtree_rows(given.withColumn("key", key)).join(template.select("host", "hash"), ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("hits"))
+    hits = subtree_rows(given.withColumn("key", key)).join(template.select("hash"), "hash").groupBy("key").agg(F.collect_set("hash").alias("hits"))
     joined = given.withColumn("key", key).join(hits, "key", "left").select("page_id", "url", "html", "hits")
 
     def make_joined():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            own = iter([set(x or ()) for x in batch.column(3).to_pylist()])
-            return _extracted(batch, lambda _, hashes: (lambda mine: {h for h in hashes if signed(h) in mine})(next(own)))
+            own = [set(x or ()) for x in batch.column(3).to_pylist()]
+            return _extracted(batch, lambda i, hashes: own[i])
 
         return step
 
     return map_batches(joined, make_joined, schema)
 
 
-def _extracted(batch: pa.RecordBatch, template_of) -> pa.RecordBatch:
+def _extracted(batch: pa.RecordBatch, template_of: Callable[[int, set[int]], set[int]]) -> pa.RecordBatch:
     texts = []
-    for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+    for i, (url, page) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
         root = parse(page)
-        hashes = subtree_hashes(root)
-        texts.append(main_text(root, template_of(host_of(url), set(hashes.values())), hashes))
+        hashes, _ = subtree_hashes(root, host_of(url))
+        texts.append(main_text(root, template_of(i, set(hashes.values())), hashes))
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def subtree_rows(pages: DataFrame) -> DataFrame:
-    """host, hash, key: one row for each different block subtree of a page; hash 0 stands for the page itself."""
+    """host, hash, page, key: one row for each different block subtree of a page (url, html, key), with the hash of the
+    whole page; hash null stands for the page itself."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            hosts, hashes, keys = [], [], []
+            hosts, hashes, whole, keys = [], [], [], []
             for url, page, key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                mine = {0, *subtree_hashes(parse(page)).values()}
-                hosts += [host_of(url)] * len(mine)
-                hashes += map(signed, mine)
+                host = host_of(url)
+                found, own = subtree_hashes(parse(page), host)
+                mine = [None, *set(found.values())]
+                hosts += [signed(xxhash.xxh64_intdigest(host))] * len(mine)
+                hashes += mine
+                whole += [own] * len(mine)
                 keys += [key] * len(mine)
-            return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(keys, pa.int64())], ["host", "hash", "key"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (hosts, hashes, whole, keys)], ["host", "hash", "page", "key"])
 
         return step
 
-    return map_batches(pages.select("url", "html", "key"), make, "host string, hash long, key long")
+    return map_batches(pages.select("url", "html", "key"), make, "host long, hash long, page long, key long")
 
 
-def template_table(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """host, hash, n: the subtrees that recur across the pages of a host."""
-    counts = subtree_rows(pages.withColumn("key", F.lit(0).cast("long"))).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+def template_table(pages: DataFrame, min_pages: int, least_pages: int, min_share: float) -> DataFrame:
+    """host, hash, n: the subtrees that recur across the different pages of a host."""
+    rows = subtree_rows(pages.withColumn("key", F.lit(0).cast("long")))
+    # Alike pages first become one: each sum is by parts, so no host or subtree gathers in one task.
+    counts = rows.select("host", "hash", "page").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where((F.col("n") >= least_pages) | F.col("hash").isNull())
     counts = materialise(counts, "subtrees")
-    of_host = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    share: Column = F.col("n") >= min_share * F.col("pages")
-    return counts.where("hash <> 0").join(of_host, "host").where(share).select("host", "hash", "n")
+    of_host = counts.where("hash is null").select("host", F.col("n").alias("pages"))
+    enough: Column = (F.col("n") >= min_pages) | (F.col("n") >= min_share * F.col("pages"))
+    return counts.where("hash is not null").join(of_host, "host").where(enough).select("host", "hash", "n")

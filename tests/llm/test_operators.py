@@ -83,6 +83,66 @@ def test_html(spark):
     assert html_text.extract(table.limit(0)).count() == 0
 
 
+def soup(i, host, n, side):
+    """A page whose markup says nothing of what is what, and the text that is its own."""
+    own = f"Page {i} of {host} tells of matter {i * 7919 % 1000}. It has words of its own {i}."
+    menu = "".join(f"<li>Part {k}</li>" for k in range(4))
+    aside = f"<div class='c9'><p>Seen on few pages of {host}</p></div>" if side else ""
+    body = f"<div class='c1'><ul>{menu}</ul><b>{host}</b></div><div class='c2'><p>{own.split('. ')[0]}.<p>{own.split('. ')[1]}</div>{aside}<div class='c3'>Rights of {host} are kept</div>"
+    return (i, f"http://{host}/{i}", f"<html><body>{body}</body></html>"), own
+
+
+def test_html_templates_decide(spark, monkeypatch):
+    made = [soup(i, "big.example", 200, i % 8 == 0) for i in range(200)] + [soup(300 + i, "small.example", 9, i < 2) for i in range(9)] + [soup(400 + i, "tiny.example", 2, False) for i in range(2)]
+    pages = [p for p, _ in made]
+    copies = [(500 + i, "http://small.example/copy", pages[205][2]) for i in range(30)]  # alike pages count once
+    table = spark.createDataFrame(pages + copies, "page_id long, url string, html string").repartition(5)
+    own = {p[0]: text for p, text in made} | {500 + i: made[205][1] for i in range(30)}
+    for limit in (500_000, -1):
+        got = {r.page_id: r.text for r in html_text.extract(table, broadcast_limit=limit).collect()}
+        for i, text in own.items():
+            if i >= 400 and i < 500:  # too few pages to tell
+                assert text in got[i] and "Rights of tiny.example" in got[i]
+            elif 300 <= i < 302:  # on 2 of 9 pages
+                assert got[i] == f"{text} Seen on few pages of small.example"
+            else:
+                assert got[i] == text
+    # Without the template table every page keeps its menu: the table decides.
+    monkeypatch.setattr(html_text, "template_table", lambda pages, *_: spark.createDataFrame([], "host long, hash long, n long"))
+    bare = {r.page_id: r.text for r in html_text.extract(table).collect()}
+    assert all(bare[i] != got[i] for i in own if not 400 <= i < 500)
+
+
+def test_html_template_counts(spark):
+    """Counts of subtrees, and texts, against loops over all pages."""
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = table.collect()
+    seen, hosts = {}, {}
+    for r in rows:
+        host = html_text.host_of(r.url)
+        found, page = html_text.subtree_hashes(html_text.parse(r.html or ""), host)
+        hosts.setdefault(host, set()).add(page)
+        for h in set(found.values()):
+            seen.setdefault((host, h), set()).add(page)
+    known = {h: len(p) for (host, h), p in seen.items() if len(p) >= 3 and (len(p) >= 5 or len(p) >= 0.2 * len(hosts[host]))}
+    assert len(known) >= 10 and {r["hash"]: r.n for r in html_text.template_table(table, 5, 3, 0.2).collect()} == known
+    got = {r.page_id: r.text for r in html_text.extract(table).collect()}
+    for r in rows:
+        root = html_text.parse(r.html or "")
+        hashes, _ = html_text.subtree_hashes(root, html_text.host_of(r.url))
+        assert got[r.page_id] == html_text.main_text(root, set(known), hashes)
+        article = re.search("<article>(.*)</article>", r.html, re.S)[1]  # the pages of this table have one article, whole
+        plain = re.sub("<(script|style).*?</\\1>", "", article, flags=re.S)
+        assert got[r.page_id] == " ".join(html_text.html.unescape(re.sub("<[^>]*>", " ", plain)).split()) or "<b>" in article
+
+
+def test_html_articles():
+    text = html_text.main_text(html_text.parse("<main><article><p>One</article><div class=ads>x</div><article><p>Two</article></main><p>out"))
+    assert text == "One Two"
+    long = "word " * 50
+    assert html_text.main_text(html_text.parse(f"<main><p>{long}</p><article>teaser</article></main>")) == long + "teaser"
+
+
 def test_classifier(spark, docs, rows, empty):
     d, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     small = classifier.Settings(rounds=8)
