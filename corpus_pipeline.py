@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import common, debruijn, packing, quality, secrets, simhash
+from docloom.llm import common, debruijn, packing, quality, queries, secrets, simhash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +29,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their training sequence and place in it."""
-    return packing.pack_documents(docs)
+    """Pieces of documents, by tokens, with their training sequence and place in it."""
+    return packing.pack_documents(queries.token_counts(docs), F.col("n_tokens"))
 
 
 STAGES = [

@@ -86,6 +86,7 @@ class ByteBpe:
         self.names = list(map(str, range(len(self.tokens))))
         self.by_name = dict(zip(self.names, self.tokens, strict=True))
         self.seen: dict[str, str] = {}
+        self.sizes: dict[str, int] = {}
 
     def _learn(self, parts: list[str], split: list[list[str]]) -> None:
         """Remember the ids of parts, given their pre-tokens. What is no token itself is merged, all in one call."""
@@ -139,6 +140,28 @@ class ByteBpe:
             head += [rank] if rank is not None else self.model.encode(raw.decode("latin-1").translate(self.table))
         return ",".join([*map(str, head), *out])
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """How many tokens each text has."""
+        sizes = self.sizes
+        if len(self.seen) > self.REMEMBERED:
+            sizes.clear()
+        out = []
+        for text in texts:
+            parts = text.split(" ")
+            try:
+                n = sum(map(sizes.__getitem__, parts[1:]))
+            except KeyError:
+                out.append(-1)
+                continue
+            out.append(n + sum(1 if w.encode() in self.ranks else len(self.encode(w)) for w in self.split(parts[0])))
+        new = [i for i, n in enumerate(out) if n < 0]
+        for i, joined in zip(new, self.joined_all([texts[i] for i in new]), strict=True):
+            out[i] = joined.count(",") + 1 if joined else 0
+            for part in texts[i].split(" ")[1:]:
+                if part in self.seen and part not in sizes:
+                    sizes[part] = self.seen[part].count(",") + 1
+        return out
+
     def joined(self, text: str) -> str:
         return self.joined_all([text])[0]
 
@@ -188,6 +211,23 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, with_ids: bool
     return map_batches(docs.select("doc_id", whole_text().alias("text")), make, schema)
 
 
+def count_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id and n_tokens for each row of `docs` (doc_id, text); null text has none. Other columns are not read."""
+
+    def make():
+        bpe = ByteBpe(path, pattern)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column(1).to_pylist()
+            counts = list(chain.from_iterable(bpe.counts(texts[at : at + 256]) for at in range(0, len(texts), 256)))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
+
+        return step
+
+    doc_type = docs.schema["doc_id"].dataType.simpleString()
+    return map_batches(docs.select("doc_id", whole_text().alias("text")), make, f"doc_id {doc_type}, n_tokens long")
+
+
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """The inverse of `encode_documents(..., with_ids=True)`: doc_id and text (bytes that are no UTF-8 become U+FFFD; null ids give '')."""
 

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, classifier, debruijn, html_text, multiset, packing, pii, quality, secrets, simhash
+from . import bpe, classifier, common, debruijn, html_text, multiset, packing, pii, quality, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents")
 
 
+def token_counts(docs: DataFrame) -> DataFrame:
+    """doc_id and n_tokens of the texts, by the vocabulary of op1. The table is written, as packing reads it twice."""
+    return common.materialise(bpe.count_tokens(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN), "tokens")
+
+
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -55,7 +61,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_documents(spark, sf_dir))
+    return packing.pack_documents(token_counts(_documents(spark, sf_dir)), F.col("n_tokens"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

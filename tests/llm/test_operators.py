@@ -444,8 +444,48 @@ def test_keep_one_by_row(spark):
     assert got == Counter([(None, texts[0]), (None, texts[1]), (7, texts[2]), (3, texts[3]), (None, texts[4]), (9, texts[5]), (5, "")])
 
 
+BYTES = "octet_length(coalesce(text, ''))"
+
+
+def plain_packing(pieces, lengths, cost):
+    """Best fit over lists, for pieces by falling length: every bin is looked at for every piece."""
+    bins, places = [], []
+    for i, size in enumerate(pieces):
+        fitting = [b for b in range(len(bins)) if bins[b][0] - bins[b][1] >= size > 0 or size == 0 and bins[b][0] > bins[b][1]]
+        if fitting:
+            room = min(bins[b][0] - bins[b][1] for b in fitting)
+            options = [b for b in fitting if bins[b][0] - bins[b][1] == room]
+        else:
+            price = {}
+            for c in lengths:
+                if c >= size:
+                    price[c] = (c + cost) / max(1, size + min(c - size, sum(p for p in pieces[i + 1 :] if p <= c - size)))
+            bins.append([min(price, key=lambda c: (price[c], c)), 0])
+            options = [len(bins) - 1]
+        places.append(options)
+        yield i, options, bins
+        # the caller says which of the bins of equal room was taken
+
+
+def test_packing_by_plain_best_fit():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(60):
+        lengths = sorted(rng.sample([8, 16, 32, 64, 128, 256], 3))
+        pieces = sorted((rng.randint(0, lengths[-1]) for _ in range(rng.randint(1, 60))), reverse=True)
+        taken, offsets, capacity = packing.pack(pieces, lengths, 4.0)
+        for i, options, bins in plain_packing(pieces, lengths, 4.0):
+            assert taken[i] in options and offsets[i] == bins[taken[i]][1]
+            bins[taken[i]][1] += pieces[i]
+        assert capacity == [min(c for c in lengths if c >= used) for _, used in bins]
+
+
 def test_packing(docs, rows, empty):
-    got = packing.pack_documents(docs, lengths=(64, 256, 1024), shard=20).collect()
+    from pyspark.sql import functions as F
+
+    pack = lambda d: packing.pack_documents(d, F.expr(BYTES), lengths=(64, 256, 1024), shard=20, alike=3)
+    got = pack(docs).collect()
     sizes = Counter((i, len((t or "").encode())) for i, t in rows)
     whole, bins = Counter(), {}
     for r in got:
@@ -459,7 +499,18 @@ def test_packing(docs, rows, empty):
             assert r.bin_offset == used
             used += r.piece_length
         assert {r.bin_length for r in held} == {next(c for c in (64, 256, 1024) if c >= used)}
-    assert packing.pack_documents(empty).count() == 0
+    assert pack(empty).count() == 0
+    for n in (1, 7):  # neither order nor parts of the table matter
+        assert Counter(pack(docs.repartition(n)).collect()) == Counter(got)
+    many = docs.sparkSession.range(50).select(F.lit(1).cast("long").alias("doc_id"), F.lit("alike").alias("text"))
+    assert pack(many).count() == 50
+
+
+def test_token_counts(docs, rows):
+    import public_tokenizers as P
+
+    encoded = bpe.encode_documents(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).select("doc_id", "n_tokens").collect()
+    assert Counter(encoded) == Counter(queries.token_counts(docs).collect())
 
 
 def test_packing_wastes_little():
