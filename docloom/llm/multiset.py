@@ -1,7 +1,7 @@
 """Homomorphic multiset hash of a document's paragraphs.
 
-Every paragraph (line) is hashed to a wide vector of 16-bit numbers, and a document is the sum of its paragraphs'
-vectors modulo 2 ** 16. The order of paragraphs is of no matter; adding or subtracting a paragraph's vector inserts or
+Every paragraph (line) is hashed to a wide vector of 32-bit numbers, and a document is the sum of its paragraphs'
+vectors modulo 2 ** 32. The order of paragraphs is of no matter; adding or subtracting a paragraph's vector inserts or
 deletes it. The first numbers are uniform (collision resistance); the others sum small signed steps hashed from the
 paragraph's word triples, so that the inner product of two fingerprints estimates how much text they share.
 """
@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, map_batches, mix, whole_text
 
-UNIFORM, SKETCH = 32, 224  #: numbers of each kind in a fingerprint
+UNIFORM, SKETCH = 16, 224  #: numbers of each kind in a fingerprint
 SHINGLE = 3
 
 
 class Fingerprinter:
-    """Fingerprints of texts, as arrays of UNIFORM + SKETCH 16-bit numbers."""
+    """Fingerprints of texts, as arrays of UNIFORM + SKETCH 32-bit numbers."""
 
     def __init__(self) -> None:
         self.hashes = WordHashes()
@@ -32,9 +32,9 @@ class Fingerprinter:
         """The sum over paragraphs; zeros for a text without any."""
         paragraphs = [p for p in text.encode().split(b"\n") if p]
         if not paragraphs:
-            return np.zeros(UNIFORM + SKETCH, np.uint16)
-        digests = np.frombuffer(b"".join([hashlib.blake2b(p, digest_size=2 * UNIFORM).digest() for p in paragraphs]), np.uint16)
-        uniform = digests.reshape(-1, UNIFORM).sum(0, dtype=np.uint64).astype(np.uint16)
+            return np.zeros(UNIFORM + SKETCH, np.uint32)
+        digests = np.frombuffer(b"".join([hashlib.blake2b(p, digest_size=4 * UNIFORM).digest() for p in paragraphs]), np.uint32)
+        uniform = digests.reshape(-1, UNIFORM).sum(0, dtype=np.uint64).astype(np.uint32)
         words = [p.split() for p in paragraphs]
         sizes = np.array([len(w) for w in words])
         h = self.hashes.of([w for ws in words for w in ws])
@@ -46,15 +46,15 @@ class Fingerprinter:
         all_of = np.concatenate([triples, np.array(short, np.uint64)]) if short else triples
         sign = np.where(all_of >> np.uint64(63), 1.0, -1.0)
         sketch = np.bincount((all_of % np.uint64(SKETCH)).astype(np.int64), weights=sign, minlength=SKETCH)
-        return np.concatenate([uniform, sketch.astype(np.int64).astype(np.uint16)])
+        return np.concatenate([uniform, sketch.astype(np.int64).astype(np.uint32)])
 
 
 def written(fingerprint: np.ndarray) -> str:
-    return fingerprint.astype(">u2").tobytes().hex()
+    return fingerprint.astype(">u4").tobytes().hex()
 
 
 def read(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint), ">u2").astype(np.uint16)
+    return np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(np.uint32)
 
 
 def insert(fingerprint: np.ndarray, paragraph: np.ndarray) -> np.ndarray:
@@ -70,59 +70,63 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """1 for equal fingerprints; else the estimated shared text over the larger text, from 0 to 1."""
     if np.array_equal(a, b):
         return 1.0
-    x, y = (v[UNIFORM:].astype(np.int16).astype(np.float64) for v in (a, b))
+    x, y = (v[UNIFORM:].astype(np.int32).astype(np.float64) for v in (a, b))
     most = max(x @ x, y @ y)
     return float(min(1.0, max(0.0, x @ y / most))) if most else 0.0
 
 
-def _bucket(doc_id: Column, bounds: list) -> Column:
-    """How many bounds are at most doc_id, by a balanced tree of comparisons; -1 for null."""
+SPLIT = 16  #: parts, by a hash of the text, of the rows of one bound (or of no doc_id)
 
-    def tree(lo: int, hi: int) -> Column:
+
+def _bucket(doc_id: Column, bounds: list, order: Column) -> Column:
+    """The place of a row's range: rising with doc_id, null first, and for ids that are bounds with `order`.
+
+    Ids between two bounds are one range. An id so frequent that its rows would fill a range by themselves is a bound.
+    """
+
+    def tree(lo: int, hi: int) -> Column:  # twice the bounds below doc_id, and one more if it is a bound
         if lo == hi:
-            return F.lit(lo)
+            return F.lit(2 * lo)
         mid = (lo + hi) // 2
-        return F.when(doc_id < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return F.when(doc_id < F.lit(bounds[mid]), tree(lo, mid)).when(doc_id == F.lit(bounds[mid]), F.lit(2 * mid + 1)).otherwise(tree(mid + 1, hi))
 
-    return F.when(doc_id.isNull(), F.lit(-1)).otherwise(tree(0, len(bounds)))
+    place = F.when(doc_id.isNull(), F.lit(-1)).otherwise(tree(0, len(bounds)))
+    part = F.when(place % 2 != 0, (F.shiftright(order, 60) + 8).cast("int")).otherwise(F.lit(0))
+    return place * SPLIT + part
 
 
 def fingerprints(docs: DataFrame, *, buckets: int | None = None) -> DataFrame:
     """For each row of `docs` (doc_id, text) its fingerprint, and how like it are its edited text and the next document.
 
-    Documents are taken by descending doc_id; equal ids by text, descending; null ids last. The next after the last is
-    the first. The edited text has the last floor(n / 2) code points replaced by the first as many of the next text (all
-    of a shorter one). A single row is its own next. Null text counts as empty. Other columns are not read.
+    Documents are taken by descending doc_id; equal ids by a hash of the text, descending, then by text; null ids last.
+    The next after the last is the first. The edited text has the last floor(n / 2) code points replaced by the first as
+    many of the next text (all of a shorter one). A single row is its own next. Null text counts as empty. Other columns
+    are not read; an empty table gives an empty result.
 
-    The order is cut into `buckets` ranges of doc_id at approximate quantiles. Each range gets a copy of the row that
+    The order is cut into some `buckets` ranges at approximate quantiles of doc_id. Each range gets a copy of the row that
     comes after it, is sorted by Spark, and passes once through a task, two texts at a time.
     """
     spark = docs.sparkSession
     given = docs.select("doc_id", whole_text().alias("text"))
+    given = given.withColumn("order", F.xxhash64("text"))
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = F.array(*(F.lit((k + 1) / buckets) for k in range(buckets - 1)))
     bounds = sorted({b for b in given.agg(F.percentile_approx("doc_id", shares, 20_000)).first()[0] or () if b is not None}) if buckets > 1 else []
-    bucket = _bucket(F.col("doc_id"), bounds)
-    # At most one number for each bucket: the greatest doc_id, which comes first in it.
-    heads = dict(given.groupBy(bucket.alias("bucket")).agg(F.max("doc_id")).collect())
-    order = sorted(heads, reverse=True)  # the order in which buckets come; nulls (-1) last
-    before = {b: order[k - 1] for k, b in enumerate(order)}
-    is_head = [(F.col("bucket") == b) & F.col("doc_id").eqNullSafe(F.lit(heads[b])) for b in order]
-    extra = F.lit(None).cast("int")
-    for b, test in zip(order, is_head, strict=True):
-        extra = F.when(test, F.lit(before[b])).otherwise(extra) if len(order) <= 200 else extra
-    if len(order) > 200:
-        bounds_of = sorted(heads[b] for b in order if b >= 0)
-        previous = F.element_at(F.array(*(F.lit(before[b]) for b in sorted(b for b in order if b >= 0))), F.array_position(F.array(*map(F.lit, bounds_of)), F.col("doc_id")).cast("int"))
-        extra = F.when(F.col("doc_id").isin(bounds_of), previous).when(F.col("doc_id").isNull(), F.lit(before.get(-1)))
-    rows = given.withColumn("bucket", bucket).withColumn("ahead", extra)
+    rows = given.withColumn("bucket", _bucket(F.col("doc_id"), bounds, F.col("order")))
+    # The row that comes first in each range, by its id and hash: at most SPLIT + 1 for each bound come to the driver.
+    heads = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "order")).alias("head")).collect()
+    heads.sort(key=lambda r: -r.bucket)
+    ahead = [(r.bucket, heads[k - 1].bucket, r.head.doc_id, r.head.order) for k, r in enumerate(heads)]
+    doc_type = docs.schema["doc_id"].dataType.simpleString()
+    table = F.broadcast(spark.createDataFrame(ahead, f"bucket int, before int, head_id {doc_type}, head_order long"))
+    is_head = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("order") == F.col("head_order"))
+    rows = rows.join(table, "bucket").withColumn("ahead", F.when(is_head, F.col("before")))
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("ahead"))
     copy = F.struct(F.col("ahead").alias("bucket"), F.lit(1).alias("ahead"))
-    placed = rows.select("doc_id", "text", F.explode(F.when(F.col("ahead").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("p"))
-    placed = placed.select("doc_id", "text", F.col("p.bucket").alias("bucket"), F.col("p.ahead").alias("ahead"))
+    placed = rows.select("doc_id", "text", "order", F.explode(F.when(F.col("ahead").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("p"))
+    placed = placed.select("doc_id", "text", F.col("p.bucket").alias("bucket"), F.col("p.ahead").alias("ahead"), "order")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = placed.repartition(n, "bucket").sortWithinPartitions("bucket", "ahead", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    doc_type = docs.schema["doc_id"].dataType.simpleString()
+    sorted_rows = placed.repartition(n, "bucket").sortWithinPartitions("bucket", "ahead", F.col("doc_id").desc_nulls_last(), F.col("order").desc(), F.col("text").desc()).drop("order")
     schema = f"doc_id {doc_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def make():

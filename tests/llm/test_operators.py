@@ -341,15 +341,29 @@ def test_multiset(spark, docs, rows, empty):
     a, b = of("one two three\nfour five six"), of("four five six\none two three")
     assert (a == b).all() and (multiset.delete(a, of("four five six")) == of("one two three")).all()
     assert (multiset.insert(of("one two three"), of("four five six")) == a).all()
-    ordered = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1] or ""), reverse=True)
+    import xxhash
+
+    def place(row):
+        order = xxhash.xxh64_intdigest((row[1] or "").encode(), 42)
+        return -1 if row[0] is None else row[0], order - (order >> 63 << 64), row[1] or ""
+
+    more = [*rows, *((4, f"same id {i}") for i in range(40)), *((None, f"no id {i}") for i in range(40))]
+    ordered = sorted(more, key=place, reverse=True)
     expected = Counter()
     for k, (i, text) in enumerate(ordered):
         text, after = text or "", ordered[(k + 1) % len(ordered)][1] or ""
         half = len(text) // 2
-        expected[i, len(text), sha(text[: len(text) - half] + after[:half])] += 1
+        edited = text[: len(text) - half] + after[:half]
+        own, its, next_own = of(text), of(edited), of(after)
+        near = [round(multiset.likeness(own, x), 9) for x in (its, next_own)]
+        expected[i, len(text), sha(edited), multiset.written(own), multiset.written(its), *near] += 1
+    table = spark.createDataFrame([(i, t, 1) for i, t in more], "doc_id long, text string, bucket int").repartition(4)
     for buckets in (1, 3, 300):
-        got = multiset.fingerprints(docs, buckets=buckets).collect()
-        assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == expected
+        got = multiset.fingerprints(table, buckets=buckets).collect()
+        assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == expected
+    for n in (30_000, 40_000, 60_000):  # sums of long repeats do not wrap
+        assert abs(multiset.likeness(of("the " * n), of("the " * (n // 2) + "a b " * (n // 4))) - 0.5) < 0.05
+    assert multiset.likeness(multiset.read(multiset.written(a)), b) == 1.0
     d = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 500")
     near = multiset.fingerprints(d).toPandas()
     assert near.near_edited.mean() > 0.3 > 0.1 > near.near_next.mean()
