@@ -48,6 +48,11 @@ PLUS = re.compile(r"(?<![^\W_])plus\x20+(?=[0-9])", re.I)
 BRACKETED = re.compile(r"\x20?[\[({<]\x20?(?:(at|arroba)|(dot|punkt|point|punto)|(@)|(\.))\x20?[\])}>]\x20?", re.I)
 SPACED_DOT = re.compile(r"(?<=[A-Za-z0-9_%+-])\x20(?:dot|punkt|point|punto)\x20(?=[A-Za-z0-9])", re.I)
 SPACED_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])\x20(?:(at)|arroba)\x20(?=[A-Za-z0-9-])", re.I)
+# Fixed list of words that stand before "at" and a site's name in prose.
+BEFORE_AT = frozenset(
+    "look see find us me them now here it more available online visit work works working page out sold buy is are was be him her you read learn meet sign up arrive hosted "
+    "live found only also site shop order register call write stay stop start begin located based aimed arrived looking looked seen listed posted published and or just still".split()
+)
 #: A host that ends in letters.
 HOST = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])")
 
@@ -172,7 +177,7 @@ def _at_edits(text: str, undone: Callable[[int], bool] = lambda i: False) -> lis
     """Edits that write a spaced "at" before a host as its sign.
 
     Prose says "look at example.com" too: an "at" counts if a dot of the host was disguised in any way, which
-    `undone` says of a place, or if the name before it is more than a word.
+    `undone` says of a place, or if the name before it is no word that prose has there and the host no "www." site.
     """
     edits = []
     for s in SPACED_AT.finditer(text):
@@ -185,7 +190,8 @@ def _at_edits(text: str, undone: Callable[[int], bool] = lambda i: False) -> lis
                 start -= 1
             name = text[start : s.start()].strip(".")
             dots = (i for i in range(*host.span()) if text[i] == ".")
-            if not any(map(undone, dots)) and (name.isalpha() or not any(c.isalpha() for c in name)):
+            prose = name.lower() in BEFORE_AT or host[0].lower().startswith("www.") or not any(c.isalpha() for c in name)
+            if prose and not any(map(undone, dots)):
                 continue
         edits.append((*s.span(), "@"))
     return edits
@@ -205,7 +211,8 @@ def normalise(text: str, *, fuse: bool = False) -> tuple[Mapped, bool]:
 
 
 def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans: those and the disguised ones that no base span holds; each by kind, then start.
+    """Base spans, and all spans: those and the disguised ones that no base span holds, where each kind's do not overlap; each
+    by kind, then start.
 
     Where digits were left apart, numbers are looked for with all spelled digits joined first: "one nine two dot ..." is
     a number, while "five six@..." is no name of both words.
@@ -218,7 +225,7 @@ def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
     def add(m: Mapped, kinds: tuple[int, ...]) -> None:
         for kind, start, end in find(m.text) if m.text != text else ():
             a, b = m.first[start], m.last[end - 1]
-            if kind in kinds and not any(x <= a and b <= y for _, x, y in base) and not any(x < b and a < y for _, x, y in more):
+            if kind in kinds and not any(x <= a and b <= y for _, x, y in base) and not any(k == kind and x < b and a < y for k, x, y in more):
                 more.append((kind, a, b))
 
     m, apart = normalise(text)

@@ -336,6 +336,71 @@ def test_pii_disguises_alone():
     assert pii.find_all("take five six@mail.com") == ([(0, 10, 22)],) * 2
 
 
+PLAIN = [
+    (0, re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda t: True),
+    (1, re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda t: all(int(p) <= 255 for p in t.split("."))),
+    (2, re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda t: 16 <= len(d := re.sub("[ -]", "", t)) <= 19 and pii.luhn(d)),
+    (3, re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda t: 8 <= len(re.sub("[^0-9]", "", t)) <= 15),
+]
+
+
+def test_pii_base_spans_by_plain_patterns(spark, docs, rows):
+    import random
+
+    rng = random.Random(6)
+    parts = ["bob", "@", "mail", ".", "-", "4", "11", "255", "256", "0192", "+", " ", "(", ")", "4111111111111111", "4111 1111 1111 1111", "é", "_%", "\n", "5555-5555-5555-4444"]
+    odd = [(1000 + i, "".join(rng.choice(parts) for _ in range(rng.randint(1, 30)))) for i in range(2000)]
+    got = {r.doc_id: r for r in pii.scan(docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))).collect()}
+    for i, text in [r for r in rows if r[0] is not None] + odd:
+        found = [(k, *m.span()) for k, pattern, good in PLAIN for m in pattern.finditer(text or "") if good(m[0])]
+        counts = Counter(k for k, *_ in found)
+        r = got[i]
+        assert r.base_sha256 == sha(",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in found))
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(counts[k] for k in range(4))
+
+
+def test_pii_gate_is_no_loss(monkeypatch):
+    """Texts that the gate lets go without normalising have nothing that normalising would find."""
+    import random
+
+    rng = random.Random(9)
+    parts = [" ", " ", "bob", "at", "dot", "@", ".", "mail", "com", "one", "five", "oh", "plus", "+", "1", "55", "(at)", "[dot]", "{at}", "arroba", "punto", "а", "о", "＠", "．", "\u200b", "192", "168", ",", "-", "ſix", "zwei", "look", "www"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(2, 25))) for _ in range(20_000)]
+    gated = [pii.find_all(t) for t in texts]
+    monkeypatch.setattr(pii, "disguised", lambda text: True)
+    assert [pii.find_all(t) for t in texts] == gated
+
+
+def test_pii_recall_of_disguises():
+    import random
+
+    rng = random.Random(12)
+    names = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+    looks = {"a": "а", "e": "е", "o": "о", "p": "р", "c": "с", "x": "х"}
+    spell = lambda digits: " ".join(names[int(c)] for c in digits)
+    at = lambda: rng.choice([" at ", " (at) ", "[at]", " {at} ", " arroba "])
+    dot = lambda: rng.choice([" dot ", " (dot) ", "[dot]", " [.] "])
+    hidden = 0
+    for k in range(1000):
+        name, host = rng.choice(["bob.roe", "jane", "m_smith7", "carol"]), rng.choice(["mail.example.com", "example.org", "post.example.net"])
+        number = [str(rng.randint(1, 255)) for _ in range(4)]
+        phone = "".join(str(rng.randint(0, 9)) for _ in range(11))
+        text = [
+            lambda: name.replace(".", dot()) + at() + host.replace(".", dot()),
+            lambda: "".join(looks.get(c, c) for c in name) + "@" + host,
+            lambda: name + at() + host,
+            lambda: dot().join(number),
+            lambda: " dot ".join(spell(p) for p in number),
+            lambda: "plus " + spell(phone),
+            lambda: "+" + phone[:1] + " " + spell(phone[1:]),
+        ][k % 7]()
+        full = f"please write {text}, thanks"
+        base, every = pii.find_all(full)
+        a = full.index(text)
+        hidden += any(x <= a and a + len(text) <= y for _, x, y in every)
+    assert hidden >= 950
+
+
 def test_multiset(spark, docs, rows, empty):
     of = multiset.Fingerprinter().of
     a, b = of("one two three\nfour five six"), of("four five six\none two three")
