@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_batches, mix, whole_text
+from .common import map_batches, mix, whole_text
 
 
 @dataclass(frozen=True)
@@ -31,47 +31,119 @@ class Settings:
     seed: int = 11
 
 
-class Features:
-    """Rows of the vector table that a text uses, with how often."""
-
-    REMEMBERED = 100_000
+class Vocabulary(dict):
+    """Numbers of the words met, with each word's hash and the table rows of the word and its character n-grams."""
 
     def __init__(self, settings: Settings):
-        self.settings, self.hashes = settings, WordHashes()
-        self.parts: dict[bytes, tuple[int, ...]] = {}
-
-    def of_word(self, word: bytes) -> tuple[int, ...]:
-        """Rows of the word and of its character n-grams."""
-        if (known := self.parts.get(word)) is not None:
-            return known
-        if len(self.parts) >= self.REMEMBERED:
-            self.parts.clear()
-        s = self.settings
-        marked = f"<{word.decode('utf-8', 'replace')}>"
-        grams = [marked] + [marked[i : i + n] for n in range(s.shortest, s.longest + 1) for i in range(len(marked) - n + 1)]
-        rows = self.parts[word] = tuple([xxhash.xxh64_intdigest(g, 7) % s.buckets for g in grams])
-        return rows
-
-    def pairs(self, words: list[bytes]) -> np.ndarray:
-        """Rows of the pairs of successive words."""
-        h = self.hashes.of(words)
+        super().__init__()
+        self.settings, self.new = settings, []
+        self.hashes = np.empty(0, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def learn(self) -> tuple[np.ndarray, np.ndarray]:
+        """The table rows of the words met since the last call, one word after the other, and how many each has."""
+        s, new = self.settings, self.new
+        self.new = []
+        own = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in new), np.uint64, len(new))
+        self.hashes = np.concatenate([self.hashes, own])
+        marked = [f"<{w.decode('utf-8', 'replace')}>" for w in new]
+        sizes = np.array([len(m) for m in marked], np.int64)
+        letters = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
+        word = np.repeat(np.arange(len(new)), sizes)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(letters))  # letters from here to the word's end
+        rows, of_word = [own], [np.arange(len(new))]
+        for n in range(s.shortest, s.longest + 1):
+            at = np.flatnonzero(left >= n)
+            total = np.full(len(at), n, np.uint64)
+            for k in range(n):
+                total = total * np.uint64(0x100000001B3) + letters[at + k]
+            rows.append(mix(total))
+            of_word.append(word[at])
+        order = np.argsort(np.concatenate(of_word), kind="stable")
+        counts = np.bincount(np.concatenate(of_word), minlength=len(new))
+        return (np.concatenate(rows) % np.uint64(s.buckets)).astype(np.int64)[order], counts
+
+    def pairs(self, numbers: np.ndarray) -> np.ndarray:
+        """Table rows of the pairs of successive words."""
+        h = self.hashes[numbers]
         return (mix(h[:-1] * np.uint64(3) + h[1:]) % np.uint64(self.settings.buckets)).astype(np.int64)
 
-    def of_text(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = text.encode().split()
-        rows: list[int] = []
-        for word in words:
-            rows += self.of_word(word)
-        both = np.concatenate([np.array(rows, np.int64), self.pairs(words)]) if words else np.empty(0, np.int64)
-        return np.unique(both, return_counts=True)
+
+def text_rows(texts: list[str], settings: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the table rows that it uses, and how often."""
+    known = Vocabulary(settings)
+    numbers = [known.numbers(t.encode().split()) for t in texts]
+    rows, counts = known.learn()
+    ends = np.cumsum(counts)
+    of_word = np.split(rows, ends[:-1]) if len(counts) else []
+    found = []
+    for own in numbers:
+        every = [of_word[i] for i in own] + [known.pairs(own)]
+        found.append(np.unique(np.concatenate(every), return_counts=True))
+    return found
+
+
+class Scorer:
+    """Scores of texts, from one number for each row of the table."""
+
+    REMEMBERED = 400_000
+    CHUNK = 50_000  #: words
+
+    def __init__(self, weight: np.ndarray, base: float, prior: float, settings: Settings):
+        self.weight, self.base, self.prior, self.settings = weight, base, prior, settings
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = Vocabulary(self.settings)
+        self.sums, self.counts = np.empty(0), np.empty(0, np.int64)
+
+    def of(self, texts: list[str]) -> np.ndarray:
+        out, words, sizes = [], [], []
+        for text in texts:
+            own = text.encode().split()
+            words += own
+            sizes.append(len(own))
+            if len(words) > self.CHUNK:
+                out.append(self._of(words, np.array(sizes)))
+                words, sizes = [], []
+        out.append(self._of(words, np.array(sizes, np.int64)))
+        return np.concatenate(out)
+
+    def _of(self, words: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        if len(self.known) > self.REMEMBERED:
+            self.forget()
+        numbers = self.known.numbers(words)
+        if self.known.new:
+            rows, counts = self.known.learn()
+            ends = np.cumsum(counts)
+            running = np.concatenate([[0.0], np.cumsum(self.weight[rows])])
+            self.sums = np.concatenate([self.sums, running[ends] - running[ends - counts]])
+            self.counts = np.concatenate([self.counts, counts])
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        total = np.bincount(text, self.sums[numbers], len(sizes))
+        n = np.bincount(text, self.counts[numbers], len(sizes))
+        if len(numbers) > 1:
+            inside = text[1:] == text[:-1]
+            pairs = self.weight[self.known.pairs(numbers)[inside]]
+            total += np.bincount(text[1:][inside], pairs, len(sizes))
+            n += np.bincount(text[1:][inside], minlength=len(sizes))
+        score = 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + self.base, -60, 60)))
+        return np.where(sizes > 0, score, self.prior)
 
 
 def train(texts: list[str], labels: list[int], settings: Settings = Settings()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The vector table, the output matrix and its offsets, by gradient descent over one text after another."""
-    rng, features = np.random.default_rng(settings.seed), Features(settings)
+    rng = np.random.default_rng(settings.seed)
     table = rng.uniform(-1 / settings.width, 1 / settings.width, (settings.buckets, settings.width)).astype(np.float32)
     out, offset = np.zeros((settings.width, 2), np.float32), np.zeros(2, np.float32)
-    seen = [features.of_text(t) for t in texts]
+    seen = text_rows(texts, settings)
     steps, total = 0, max(1, settings.rounds * len(texts))
     for _ in range(settings.rounds):
         for i in rng.permutation(len(texts)):
@@ -95,15 +167,16 @@ def train(texts: list[str], labels: list[int], settings: Settings = Settings())
 def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column, settings: Settings) -> tuple[list[str], list[int], float]:
     """Texts and labels of at most `sample` rows of each class, chosen by a hash of doc_id, and the share of label 1.
 
-    Only rows outside `held_out` with a label 0 or 1 count; a doc_id with several labels takes the least.
+    Only rows outside `held_out` with a label 0 or 1 count; a doc_id with several labels takes the least, and one with
+    several texts the first in order. So at most 2 * `sample` rows come to the driver.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out).groupBy("doc_id").agg(F.min("quality").alias("label"))
     share = known.agg(F.avg("label")).first()[0]
     chosen = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id", F.lit(settings.seed)), "doc_id").limit(settings.sample) for y in (0, 1)]
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * sample rows of two numbers
-    rows = docs.select("doc_id", whole_text().alias("text")).join(picked, "doc_id").select("doc_id", "label", "text").collect()
-    rows.sort(key=lambda r: (r[0], r[2]))
-    return [r[2] for r in rows][: 4 * settings.sample], [int(r[1]) for r in rows][: 4 * settings.sample], share if share is not None else 0.5
+    rows = docs.select("doc_id", whole_text().alias("text")).join(picked, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r[0])
+    return [r[2] for r in rows], [int(r[1]) for r in rows], share if share is not None else 0.5
 
 
 def score(docs: DataFrame, labels: DataFrame, *, folds: int = 5, threshold: float = 0.3, settings: Settings = Settings()) -> DataFrame:
@@ -111,7 +184,7 @@ def score(docs: DataFrame, labels: DataFrame, *, folds: int = 5, threshold: floa
 
     Rows whose crc32(doc_id as text) mod `folds` is 0 are held out of training. Without any usable label, or for a text
     without words, the score is the share of label 1 among the labels (0.5 if there are none). A null doc_id is not held
-    out. Repeated rows each give a row; other columns are never read.
+    out; null labels count for nothing. Repeated rows each give a row; other columns are never read.
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
     texts, y, share = training_rows(docs, labels, held_out, settings)
@@ -127,33 +200,12 @@ def score(docs: DataFrame, labels: DataFrame, *, folds: int = 5, threshold: floa
     model = docs.sparkSession.sparkContext.broadcast(weight.astype(np.float32))
 
     def make():
-        weight, features = model.value.astype(np.float64), Features(settings)
-        features.hashes.LIMIT = 200_000
-
-        class Sums(dict):
-            def __missing__(self, word: bytes) -> tuple[float, int]:
-                if len(self) > 400_000:
-                    self.clear()
-                rows = features.of_word(word)
-                value = self[word] = complex(weight[list(rows)].sum(), len(rows))
-                return value
-
-        sums = Sums()
+        scorer = Scorer(model.value.astype(np.float64), base, prior, settings)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            scores = []
-            for text in batch.column(2).to_pylist():
-                words = text.encode().split()
-                if not words:
-                    scores.append(prior)
-                    continue
-                own = sum(map(sums.__getitem__, words))
-                pairs = features.pairs(words)
-                z = (own.real + weight[pairs].sum()) / (own.imag + len(pairs)) + base
-                scores.append(1 / (1 + float(np.exp(-np.clip(z, -60, 60)))))
-            score = pa.array(scores, pa.float64())
-            predicted = pa.array([int(s >= threshold) for s in scores], pa.int32())
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), score, predicted], ["doc_id", "held_out", "score", "predicted"])
+            scores = scorer.of(batch.column(2).to_pylist())
+            predicted = pa.array((scores >= threshold).astype(np.int32))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), predicted], ["doc_id", "held_out", "score", "predicted"])
 
         return step
 
