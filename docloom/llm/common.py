@@ -133,7 +133,10 @@ def carried(docs: DataFrame) -> DataFrame:
 def released(rows: DataFrame, **changed: Column) -> DataFrame:
     """The caller's columns, with the `changed` ones in their places."""
     fields = rows.schema[ROW].dataType.names
-    return rows.select(*(changed[c].alias(c) if c in changed else F.col(ROW).getField(c).alias(c) for c in fields))
+    # Two steps, so that no changed column can take another's new value for the old one of the same name.
+    made = rows.select(ROW, *(value.alias(f"{ROW}_{i}") for i, value in enumerate(changed.values())))
+    place = {c: F.col(f"{ROW}_{i}") for i, c in enumerate(changed)}
+    return made.select(*((place[c] if c in changed else F.col(ROW).getField(c)).alias(c) for c in fields))
 
 
 HOT = 1000

@@ -643,6 +643,105 @@ def test_pipeline(spark):
     assert {(r.doc_id, sha(" ".join(WORD.findall(r.text)))) for r in cut.collect()} == {(i, h) for i, _, _, h in plain_removal(kept)}
     masked = corpus_pipeline.secret_scan(spark, cut, SF)
     assert masked.columns == docs.columns and masked.count() == len(kept)
-    assert not secrets.find_secrets(masked).where("n_assign + n_access + n_hex > 0").count()
-    packed = corpus_pipeline.best_fit_packing(spark, masked, SF)
-    assert packed.select("doc_id").distinct().count() == len(kept)
+    texts, hidden = {r.doc_id: r.text for r in cut.collect()}, {r.doc_id: r for r in masked.collect()}
+    for i, found in by_text(secrets.find_secrets(cut), kept, "spans").items():
+        assert set(filter(None, plain_secrets(texts[i])[0].split(","))) <= set(found.split(","))
+        out, at, end = [], 0, -1
+        for start, stop in sorted(tuple(map(int, s.split(":")[1:])) for s in filter(None, found.split(","))):
+            if start > end:
+                out += [texts[i][at:start], "[SECRET]"]
+            at = end = max(end, stop)
+        assert hidden[i].text == "".join(out) + texts[i][at:] and hidden[i].n_chars == len(hidden[i].text)
+    packed = corpus_pipeline.best_fit_packing(spark, masked, SF).collect()
+    import public_tokenizers as P
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(bpe.read_ranks(path))}, special_tokens={})
+    held, fill = Counter(), Counter()
+    for r in packed:
+        held[r.doc_id] += r.piece_length
+        fill[r.bin, r.bin_length] += r.piece_length
+    assert held == {i: len(plain.encode_ordinary(r.text)) for i, r in hidden.items()} | Counter()
+    assert all(size == min(c for c in packing.LENGTHS if c >= used) for (_, size), used in fill.items())
+
+
+CLASHING = "_words _text _key _runs _votes _kept _maybe _gone _row _base _spans _hot _n key text_ words runs votes kept maybe base spans print n_words lines ranges hit part state bucket order".split()
+
+
+def test_stages_keep_the_callers_columns(spark, rows):
+    """Every stage gives back the values and types of columns whose names are those of work columns."""
+    given = [(i, t, "mine", *(f"{c} of {i}" if k % 2 else (None if i is None else i * 100 + k) for k, c in enumerate(CLASHING)), len(t or "")) for i, t in rows]
+    kinds = ", ".join(f"`{c}` {'string' if k % 2 else 'long'}" for k, c in enumerate(CLASHING))
+    docs = spark.createDataFrame(given, f"doc_id long, text string, lang string, {kinds}, n_chars int").repartition(3)
+    mine = lambda r: (r["doc_id"], r["lang"], *(r[c] for c in CLASHING))
+    known = {mine(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        got = out.collect()
+        assert got and {mine(r) for r in got} <= known and all(r.n_chars == len(r.text or "") for r in got), name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.columns == "doc_id piece piece_start piece_length bin bin_offset bin_length".split() and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
+
+
+def test_join_spread(spark):
+    from docloom.llm import common
+
+    rows = spark.createDataFrame([(i % 3 if i < 3000 else i, i) for i in range(4000)], "k long, v long")
+    table = spark.createDataFrame([(k, str(k)) for k in range(3500) if k != 1], "k long, w string")
+    for how in ("inner", "left"):
+        assert Counter(common.join_spread(rows, table, ["k"], how).collect()) == Counter(rows.join(table, "k", how).collect())
+
+
+def test_bitmap(spark):
+    from pyspark.sql import functions as F
+
+    from docloom.llm import common
+
+    keys = spark.createDataFrame([(k,) for k in (0, 1, -1, 2**63 - 1, -(2**63), 123456789012)], "key long")
+    test = common.maybe_in(keys)
+    assert keys.where(test("key")).count() == 6
+    assert spark.range(2, 40).select(F.col("id").alias("key")).where(test("key")).count() == 0
+    assert keys.where(common.maybe_in(keys.limit(0))("key")).count() == 0
+
+
+def test_substring_dedup_needs_paths(docs, rows, monkeypatch):
+    """Paths decide: without them, only windows at the edges of passages would be found."""
+    monkeypatch.setattr(debruijn, "compact", lambda distinct, used: compacted(distinct, used).limit(0))
+    assert Counter(tuple(r) for r in debruijn.remove_repeats(docs).collect()) != Counter(plain_removal(rows))
+
+
+compacted = debruijn.compact
+
+
+def test_substring_dedup_of_odd_repeats(spark):
+    """Circles, texts of few words, passages just long enough, edits, and paths that start and end inside texts."""
+    import random
+
+    rng = random.Random(11)
+    source = [f"b{rng.randrange(2000)}" for _ in range(1500)]
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(rng.randrange(n))]
+
+    def text(kind):
+        if kind < 4:
+            a = rng.randrange(1400)
+            own = source[a : a + rng.randrange(30, 400)]
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**9)}"
+            return fresh(30) + own + fresh(30)
+        if kind == 4:
+            return ["a", "b"] * rng.randrange(10, 60)
+        if kind == 5:
+            return ["the"] * rng.randrange(10, 90)
+        if kind == 6:
+            own = [f"p{j}" for j in range(rng.choice([3, 7, 40, 50, 120]))]
+            return (own * 9)[rng.randrange(len(own)) : rng.randrange(130, 400)]
+        if kind == 7:
+            return [w for a in rng.sample(range(1400), 5) for w in source[a : a + rng.randrange(33, 40)]]
+        return source[:] if kind == 8 else [rng.choice("abc") for _ in range(rng.randrange(300))]
+
+    given = [(i, " ".join(text(rng.randrange(10)))) for i in range(200)]
+    table = spark.createDataFrame(given, "doc_id long, text string").repartition(5)
+    assert Counter(tuple(r) for r in debruijn.remove_repeats(table).collect()) == Counter(plain_removal(given))
