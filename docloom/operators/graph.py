@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,16 +38,19 @@ def reachable(edges: DataFrame, start: str, *, hops: int = 2) -> DataFrame:
     return known
 
 
+def nearest(centroids: Sequence[Sequence[float]]) -> Column:
+    """The number of the centroid nearest to `embedding`, the least of equal ones. The centroids are literals of the plan."""
+    at = lambda c: F.array(*map(F.lit, map(float, c)))
+    squared = lambda c: F.aggregate(F.zip_with("embedding", at(c), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+    return F.array_min(F.array(*(F.struct(squared(c).alias("d"), F.lit(i).alias("cluster")) for i, c in enumerate(centroids))))["cluster"]
+
+
 def kmeans_step(vectors: DataFrame, centroids: Sequence[Sequence[float]]) -> DataFrame:
     """cluster, n, centroid: one Lloyd step of `vectors` (embedding) from given centroids; clusters left empty are not returned.
 
-    The centroids are literals of the plan, k of them, and every coordinate is one partial sum, so that only k rows for each
-    partition are shuffled.
+    Every coordinate is one partial sum, so that only k rows for each partition are shuffled.
     """
-    at = lambda c: F.array(*map(F.lit, map(float, c)))
-    squared = lambda c: F.aggregate(F.zip_with("embedding", at(c), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
-    nearest = F.array_min(F.array(*(F.struct(squared(c).alias("d"), F.lit(i).alias("cluster")) for i, c in enumerate(centroids))))["cluster"]
-    assigned = vectors.select(nearest.alias("cluster"), "embedding")
+    assigned = vectors.select(nearest(centroids).alias("cluster"), "embedding")
     means = [F.avg(F.col("embedding")[i].cast("double")) for i in range(len(centroids[0]))]
     return assigned.groupBy("cluster").agg(F.count("*").alias("n"), F.array(*means).alias("centroid"))
 
@@ -64,6 +67,17 @@ def kmeans(vectors: DataFrame, centroids: Sequence[Sequence[float]], *, most: in
     return now
 
 
+def clusters(vectors: DataFrame, topics: DataFrame, start: Sequence[Sequence[float]], *, keywords: int = 5) -> DataFrame:
+    """cluster, n, keyword, n_keyword, rank: k-means clusters of `vectors` (doc_id, embedding) from given centroids, and the
+    most frequent of `topics` (doc_id, topic) in each; a cluster without topics has one row with keyword null."""
+    assigned = vectors.select("doc_id", nearest(kmeans(vectors, start)).alias("cluster"))
+    sizes = assigned.groupBy("cluster").agg(F.count("*").alias("n"))
+    counts = assigned.join(topics, "doc_id").groupBy("cluster", "topic").agg(F.count("*").alias("n_keyword"))
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("n_keyword").desc(), "topic"))
+    top = counts.withColumn("rank", rank).where(F.col("rank") <= keywords).withColumnRenamed("topic", "keyword")
+    return sizes.join(top, "cluster", "left").select("cluster", "n", "keyword", "n_keyword", "rank")
+
+
 def neighbours(nodes: DataFrame, node: str) -> DataFrame:
     """direction, node: the parent (out) and the children (in) of one node of a tree (node, parent)."""
     out = nodes.where((F.col("node") == node) & F.col("parent").isNotNull()).select(F.lit("out").alias("direction"), F.col("parent").alias("node"))

@@ -29,43 +29,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
 
 
-def entity_sets(entities: DataFrame, least: int = 2) -> DataFrame:
-    """doc_id, entities (sorted): the documents with at least `least` different entities."""
-    each = entities.select("doc_id", "entity").distinct()
-    return each.groupBy("doc_id").agg(F.sort_array(F.collect_set("entity")).alias("entities")).where(F.size("entities") >= least)
-
-
-def shared_entity_links(entities: DataFrame, least: int = 2) -> DataFrame:
-    """a, b (a < b), shared, confidence: documents with at least `least` entities in common; shared / smaller set.
-
-    Documents alike in their whole entity set are one class, so copies of a document are not paired with each other: the
-    links are those of the class's least doc_id, and `entity_members` says which documents they stand for.
-    """
-    classes = entity_sets(entities, least).groupBy("entities").agg(F.min("doc_id").alias("doc_id"))
-    long = classes.select("doc_id", F.size("entities").alias("n"), F.explode("entities").alias("entity"))
-    a, b = (long.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), "entity") for x in "ab")
-    shared = a.join(b, "entity").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("n_a", "n_b")).alias("smaller"))
-    return shared.where(F.col("shared") >= least).select("a", "b", "shared", F.round(F.col("shared") / F.col("smaller"), 6).alias("confidence"))
-
-
-def entity_members(entities: DataFrame, least: int = 2, salts: int = 16) -> DataFrame:
-    """doc_id, representative, links: for each document with at least `least` entities, its class's least doc_id and the
-    number of documents that share `least` entities with it, those of its own class (confidence 1) included.
-
-    Two documents are linked if their representatives are equal or linked in `shared_entity_links`, with that confidence.
-    The members of a large class are dealt over `salts` tasks.
-    """
-    sets = entity_sets(entities, least)
-    classes = sets.groupBy("entities").agg(F.min("doc_id").alias("representative"), F.count("*").alias("size"))
-    pairs = shared_entity_links(entities, least).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
-    sizes = classes.select(F.col("representative").alias("other"), "size")
-    reached = pairs.select(F.col("p.a").alias("representative"), F.col("p.b").alias("other")).join(sizes, "other").groupBy("representative").agg(F.sum("size").alias("others"))
-    counted = classes.join(reached, "representative", "left").select("entities", "representative", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
-    spread = counted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    return dealt.join(spread, ["entities", "salt"]).select("doc_id", "representative", "links")
-
-
 def leakage(held_out: DataFrame, train: DataFrame) -> DataFrame:
     """Rows of `held_out` (item_id, text) whose lower-cased, trimmed text is that of a row of `train` (doc_id, text), and the last such."""
     digest = lambda: F.md5(F.lower(F.trim("text")))

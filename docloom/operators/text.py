@@ -45,31 +45,6 @@ def _longest_run(acc: Column, word: Column) -> Column:
     return F.struct(word.alias("w"), n.alias("n"), F.greatest(acc["most"], n).alias("most"))
 
 
-def guard_input(docs: DataFrame, *, longest: int = 10_000) -> DataFrame:
-    """doc_id and verdict: the first of too long (spam), blank, injection, spam, personal data, safe."""
-    text = F.coalesce("text", F.lit(""))
-    verdict = (
-        F.when(F.length(text) > longest, "spam")
-        .when(F.trim(text) == "", "blank")
-        .when(first_injection(text).isNotNull(), "injection")
-        .when(is_spam(text), "spam")
-        .when(text.rlike(EMAIL) | text.rlike(IP) | text.rlike(CARD), "pii")
-        .otherwise("safe")
-    )
-    return docs.select("doc_id", verdict.alias("verdict"))
-
-
-def entity_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, type, entity: different addresses, networks and card numbers of every document."""
-    kinds = [("EMAIL", EMAIL), ("IP", IP), ("CARD", CARD)]
-
-    def found_as(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda x: F.struct(F.lit(kind).alias("type"), F.lower(x).alias("entity")))
-
-    found = [found_as(*k) for k in kinds]
-    return docs.select("doc_id", F.explode(F.array_distinct(reduce(lambda a, b: F.concat(a, b), found))).alias("e")).select("doc_id", "e.type", "e.entity")
-
-
 def luhn_cards(docs: DataFrame) -> DataFrame:
     """doc_id, n_cards, n_valid: 16-digit numbers of a document, and those whose check digit is right."""
     cards = F.regexp_extract_all("text", F.lit(CARD), F.lit(0))

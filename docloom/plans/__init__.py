@@ -3,3 +3,4 @@
 from docloom.plans import registry as registry  # isort: skip
 from docloom.plans import documents as documents  # isort: skip
 from docloom.plans import reports as reports  # isort: skip
+from docloom.plans import links as links  # isort: skip

@@ -85,35 +85,10 @@ _query("embed_mock", "documents", "SELECT doc_id, round((CAST('0x' || substr(sha
 _query("guardrail_injection", "conversations", "SELECT conv_id, turn, " + "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN {i}" for i, p in enumerate(text.INJECTION, 1)) + " END AS pattern FROM conversations")(
     lambda c: c.select("conv_id", "turn", text.first_injection(F.col("text")).alias("pattern"))
 )
-_query("guardrail_input", "documents", r"""
-    WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents),
-    m AS (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM w) GROUP BY 1, 2) GROUP BY 1)
-    SELECT doc_id, CASE WHEN length(text) > 10000 THEN 'spam' WHEN trim(text) = '' THEN 'blank' WHEN """ + " OR ".join(f"regexp_matches(text, '(?i){p}')" for p in text.INJECTION) + r""" THEN 'injection'
-        WHEN (len(w) > 10 AND most > 0.5 * len(w)) OR (length(text) > 20 AND length(regexp_replace(text, '[^A-Z]', '', 'g')) / length(text) > 0.7) THEN 'spam'
-        WHEN regexp_matches(text, '""" + text.EMAIL + "') OR regexp_matches(text, '" + text.IP + "') OR regexp_matches(text, '" + text.CARD + r"""') THEN 'pii' ELSE 'safe' END AS verdict
-    FROM w LEFT JOIN m USING (doc_id)""")(text.guard_input)
-_entities = "SELECT doc_id, '{0}' AS type, lower(unnest(regexp_extract_all(text, '{1}'))) AS entity FROM documents"
-_entity_sql = "SELECT DISTINCT * FROM (" + " UNION ALL ".join(_entities.format(k, p) for k, p in (("EMAIL", text.EMAIL), ("IP", text.IP), ("CARD", text.CARD))) + ")"
-_query("entities_pattern", "documents", _entity_sql)(text.entity_rows)
-_query("entity_summary", "documents", f"SELECT type, count(*) AS n, count(DISTINCT entity) AS n_different FROM ({_entity_sql}) GROUP BY type")(
-    lambda d: text.entity_rows(d).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("entity").alias("n_different"))
-)
 _query("pii_luhn", "documents", r"""
     WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{16}')) AS c FROM documents),
     s AS (SELECT doc_id, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN (CAST(c[i] AS INT) * 2) % 10 + (CAST(c[i] AS INT) * 2) // 10 ELSE CAST(c[i] AS INT) END)) AS s FROM c)
     SELECT doc_id, count(*) AS n_cards, count(*) FILTER (s % 10 = 0) AS n_valid FROM s GROUP BY doc_id""")(text.luhn_cards)
-_query("xref_entity_links", "documents", f"""
-    WITH e AS (SELECT DISTINCT doc_id, entity FROM ({_entity_sql})), s AS (SELECT doc_id, list_sort(list(entity)) AS l FROM e GROUP BY doc_id HAVING count(*) >= 2),
-    c AS (SELECT min(doc_id) AS doc_id, l FROM s GROUP BY l), x AS (SELECT doc_id, len(l) AS n, unnest(l) AS entity FROM c)
-    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, round(count(*) / min(least(a.n, b.n)), 6) AS confidence FROM x a JOIN x b ON a.entity = b.entity AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 2""")(
-    lambda d: search.shared_entity_links(text.entity_rows(d))
-)
-_query("xref_entity_members", "documents", f"""
-    WITH e AS (SELECT DISTINCT doc_id, entity FROM ({_entity_sql})), s AS (SELECT doc_id, list_sort(list(entity)) AS l FROM e GROUP BY doc_id HAVING count(*) >= 2),
-    p AS (SELECT a.doc_id AS doc_id, b.doc_id AS other FROM e a JOIN e b ON a.entity = b.entity AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING count(*) >= 2)
-    SELECT doc_id, min(doc_id) OVER (PARTITION BY l) AS representative, coalesce(n, 0) AS links FROM s LEFT JOIN (SELECT doc_id, count(*) AS n FROM p GROUP BY 1) USING (doc_id)""")(
-    lambda d: search.entity_members(text.entity_rows(d))
-)
 _query("vector_topk", "embeddings", """
     WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) + 1e-10), 6) AS score
         FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)

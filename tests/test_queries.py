@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pandas import isna
 
-from docloom.operators import search
+from docloom.operators import entities
 from docloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -43,5 +43,5 @@ def test_entity_members(spark):
     sets = {1: "ab", 2: "ab", 3: "abc", 4: "cd", 5: "ab", 6: "a", 7: "cd", 8: "xy"}
     table = spark.createDataFrame([(i, e) for i, es in sets.items() for e in es], "doc_id long, entity string")
     linked = {i: sum(j != i and len(set(es) & set(other)) >= 2 for j, other in sets.items()) for i, es in sets.items()}
-    got = {r.doc_id: (r.representative, r.links) for r in search.entity_members(table).collect()}
+    got = {r.doc_id: (r.representative, r.links) for r in entities.members(table, 2).collect()}
     assert got == {i: (min(j for j in sets if sets[j] == es), linked[i]) for i, es in sets.items() if len(es) >= 2}
