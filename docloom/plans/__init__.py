@@ -5,3 +5,4 @@ from docloom.plans import documents as documents  # isort: skip
 from docloom.plans import reports as reports  # isort: skip
 from docloom.plans import links as links  # isort: skip
 from docloom.plans import guards as guards  # isort: skip
+from docloom.plans import profiles as profiles  # isort: skip

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from docloom.operators import agents, chunking, evaluation, graph, redaction, search
 from docloom.plans.registry import ORACLE_SQL, QUERIES, _query, _query2
-from docloom.sources import files
 from docloom.streaming import events
 
 _read = lambda spark, sf_dir, table: spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -66,7 +65,6 @@ _query("kmeans_step", "embeddings", """
     SELECT cluster, count(*) AS n, round(avg(e[1]::DOUBLE), 6) AS c0, round(avg(e[64]::DOUBLE), 6) AS c63 FROM a GROUP BY cluster""")(
     lambda e: graph.kmeans_step(e, [r.embedding for r in e.where("vec_id < 4").orderBy("vec_id").collect()]).select("cluster", "n", F.round(F.col("centroid")[0], 6).alias("c0"), F.round(F.col("centroid")[63], 6).alias("c63"))
 )
-_query("catalog_format", "pages", "SELECT page_id, CASE WHEN regexp_matches(lower(url), '[.]html?$') THEN 'html' WHEN regexp_matches(lower(url), '[.]pdf$') THEN 'pdf' END AS format FROM pages")(lambda p: p.select("page_id", files.file_format(F.col("url")).alias("format")))
 _query("stream_metric_rate", "events", "SELECT event_type, unnest(generate_series(time_bucket(INTERVAL 1 MINUTE, ts) - INTERVAL 4 MINUTE, time_bucket(INTERVAL 1 MINUTE, ts), INTERVAL 1 MINUTE)) AS window_start, count(*) AS n FROM events GROUP BY 1, 2")(events.rates)
 _query("stream_sessions", "events", """
     WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
