@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,22 +17,46 @@ def cosine(a: Column, b: Column, eps: float = 1e-10) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + F.lit(eps))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, vec_id, score, rank: the k most similar of `vectors` (vec_id, embedding) for each of `queries`, others only.
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, same: str | None = None, block: int = 4096, eps: float = 1e-10) -> DataFrame:
+    """query_id, vec_id, score, rank: the k most similar of `vectors` (vec_id, embedding) for each of `queries`, others only;
+    with `same`, only those alike in that column.
 
-    The stated query set is broadcast against all rows. Every partition keeps k rows for each query before the shuffle
-    through a ranking on the partition, so k * partitions rows for each query are shuffled and not all scores.
+    The queries are a stated set. They are counted, and go to the tasks in blocks of about `block`, each against all
+    vectors; every partition keeps k rows for each query before the shuffle (Spark's window group limit). Norms are
+    worked out once for each row.
     """
-    asked = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")))
-    pairs = vectors.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("query"), F.col("embedding")), 6).alias("score"))
-    best = [F.col("score").desc(), F.col("vec_id")]
-    local = pairs.withColumn("part", F.spark_partition_id())
-    kept = local.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*best))).where(F.col("r") <= k)
-    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
+    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
+    kept = [] if same is None else [same]
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), norm.alias("q_norm"), *kept)
+    given = vectors.select("vec_id", "embedding", norm.alias("norm"), *kept)
+    blocks = max(1, -(-queries.count() // block))
+    score = F.round(dot(F.col("query"), F.col("embedding")) / (F.col("q_norm") * F.col("norm") + F.lit(eps)), 6)
+
+    def scored(i: int) -> DataFrame:
+        some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        if same is None:
+            return given.join(F.broadcast(some), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", score.alias("score"))
+        return given.join(F.broadcast(some), same).where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", score.alias("score"))
+
+    pairs = reduce(DataFrame.unionByName, map(scored, range(blocks)))
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def leakage(held_out: DataFrame, train: DataFrame) -> DataFrame:
-    """Rows of `held_out` (item_id, text) whose lower-cased, trimmed text is that of a row of `train` (doc_id, text), and the last such."""
-    digest = lambda: F.md5(F.lower(F.trim("text")))
-    build = train.select(digest().alias("h"), "doc_id").groupBy("h").agg(F.max("doc_id").alias("doc_id"))
-    return held_out.select("item_id", digest().alias("h")).join(build, "h").select("item_id", "doc_id")
+    """item_id, side, doc_id: rows of `held_out` (item_id, question, context) whose lower-cased, trimmed question or context
+    is that of a row of `train` (doc_id, question, context), and the last such, for each side by itself."""
+    digest = lambda c: F.md5(F.lower(F.trim(c)))
+    sides = F.array(*(F.struct(F.lit(c).alias("side"), digest(c).alias("h")) for c in ("question", "context")))
+    build = train.select("doc_id", F.explode(sides).alias("s")).where("s.h is not null").groupBy("s.side", "s.h").agg(F.max("doc_id").alias("doc_id"))
+    return held_out.select("item_id", F.explode(sides).alias("s")).select("item_id", "s.side", "s.h").join(build, ["side", "h"]).select("item_id", "side", "doc_id")
+
+
+def leakage_score(hits: DataFrame, held_out: DataFrame) -> DataFrame:
+    """n_hits, score, severe: hits of either side over the rows held out, at most 1, and whether that is over 0.3."""
+    total = held_out.agg(F.count("*").alias("n"))
+    counted = hits.agg(F.count("*").alias("n_hits")).crossJoin(total)  # one row by one row
+    score = F.when(F.col("n") > 0, F.least(F.lit(1.0), F.col("n_hits") / F.col("n"))).otherwise(F.lit(0.0))
+    return counted.select("n_hits", F.round(score, 6).alias("score"), (score > 0.3).alias("severe"))
+
+

@@ -6,3 +6,5 @@ from docloom.plans import reports as reports  # isort: skip
 from docloom.plans import links as links  # isort: skip
 from docloom.plans import guards as guards  # isort: skip
 from docloom.plans import profiles as profiles  # isort: skip
+from docloom.plans import retrieval as retrieval  # isort: skip
+from docloom.plans import synthesis as synthesis  # isort: skip

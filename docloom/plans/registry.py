@@ -93,7 +93,6 @@ _query("vector_topk", "embeddings", """
     WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) + 1e-10), 6) AS score
         FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
     SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5""")(lambda e: search.top_k(e, e.where("vec_id % 100 = 0")))
-_query2("leakage_check", "benchmark", "documents", "SELECT item_id, max(doc_id) AS doc_id FROM benchmark b JOIN documents d ON md5(lower(trim(b.text))) = md5(lower(trim(d.text))) GROUP BY item_id, md5(lower(trim(b.text)))")(search.leakage)
 _query("confusion_matrix", "labels", """
     WITH c AS (SELECT count(*) FILTER (quality = 0 AND toxic = 0) AS tn, count(*) FILTER (quality = 0 AND toxic = 1) AS fp, count(*) FILTER (quality = 1 AND toxic = 0) AS fn, count(*) FILTER (quality = 1 AND toxic = 1) AS tp FROM labels)
     SELECT tn, fp, fn, tp, round((tp + tn) / (tn + fp + fn + tp), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall FROM c""")(lambda t: stats.confusion(t, F.col("quality"), F.col("toxic")))
@@ -125,7 +124,6 @@ _query("feedback_accuracy", "labels", "SELECT CASE WHEN count(*) = 0 THEN 100.0:
 _query("sse_frames", "conversations", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS chunk, count(*) OVER (PARTITION BY conv_id) AS total_chunks FROM conversations")(
     lambda c: c.selectExpr("conv_id", "turn", "cast(row_number() over (partition by conv_id order by turn) - 1 as long) as chunk", "count(*) over (partition by conv_id) as total_chunks")
 )
-_query("rerank_threshold", "events", "SELECT event_id, round(value / 100, 6) AS score FROM events WHERE value / 100 >= 0.5")(lambda e: e.where(F.col("value") / 100 >= 0.5).select("event_id", F.round(F.col("value") / 100, 6).alias("score")))
 _query("grade", "events", "SELECT CASE WHEN s >= 0.9 THEN 'A' WHEN s >= 0.8 THEN 'B' WHEN s >= 0.7 THEN 'C' WHEN s >= 0.6 THEN 'D' ELSE 'F' END AS grade, count(*) AS n FROM (SELECT value / 100 AS s FROM events) GROUP BY 1")(
     lambda e: e.groupBy(stats.grade(F.col("value") / 100).alias("grade")).agg(F.count("*").alias("n"))
 )
