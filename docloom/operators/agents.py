@@ -114,3 +114,28 @@ def topics(text: Column, most: int = 20) -> Column:
     bare = F.transform(F.split(text, r"[ \t\n\r\f\x0B]+"), lambda w: F.btrim(w, F.lit(".,!?;:()\"'")))
     names = F.filter(bare, lambda w: (F.length(w) > 2) & w.rlike(r"^\p{Lu}"))
     return F.slice(F.sort_array(F.array_distinct(F.concat(names, F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1))))), 1, most)
+
+
+def result(reply: Column) -> Column:
+    """The result of a document as structs of extraction, analysis and confidence, from a JSON object; what it lacks is empty or 0."""
+    of = lambda key: F.coalesce(F.get_json_object(reply, f"$.{key}"), F.lit(""))
+    number = lambda key: F.coalesce(F.get_json_object(reply, f"$.{key}").cast("double"), F.lit(0.0))
+    return F.struct(
+        F.struct(of("content").alias("raw_text"), of("tables").alias("tables")).alias("extraction"),
+        F.struct(of("summary").alias("summary"), of("classification").alias("classification")).alias("analysis"),
+        F.struct((number("k") / 100).alias("extraction_confidence"), number("confidence").alias("analysis_confidence")).alias("confidence_scores"),
+    )
+
+
+def workflow(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, kind, n_steps, answered, confidence, iterate: for every user message the route it takes, and what the
+    synthesizer, the validator (analytical questions only) and the reflector make of the assistant's next message."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    ahead = messages.withColumn("next_role", F.lead("role").over(order)).withColumn("next_text", F.lead("text").over(order))
+    asked = ahead.where("role = 'user'").select("conv_id", "turn", "text", route(F.col("text")).alias("kind"), F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("response"))
+    n = F.length("response")
+    sound = (n > 10) & (n > 50) & (n < 5000) & F.contains("response", F.left("text", F.lit(20)))
+    checked = F.col("kind") == "analytical"
+    answered = F.col("response").isNotNull()
+    confidence = F.round(F.when(~answered, 0.0).when(~checked, 0.85).when(sound, 0.95).otherwise(0.65), 6)
+    return asked.select("conv_id", "turn", "kind", F.size(steps(F.col("kind"))).alias("n_steps"), answered.alias("answered"), confidence.alias("confidence"), (checked & answered & (confidence < 0.7)).alias("iterate"))

@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Separators in the order in which they are tried, stop words, and first words that key phrases may not have.
@@ -117,3 +117,15 @@ def summaries(docs: DataFrame, *, most: int = 5, focus: tuple[str, ...] = ()) ->
     made = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("s", shorten("text"))
     ratio = F.when(F.length("text") > 0, F.round(F.length("s.summary") / F.length("text"), 6)).otherwise(F.lit(1.0))
     return made.select("doc_id", "s.summary", "s.key_phrases", ratio.alias("ratio"))
+
+
+def key_phrases(docs: DataFrame, *, most: int = 5, among: int = 20) -> DataFrame:
+    """doc_id, rank, phrase, n: pairs of successive words of three ASCII letters or more that a text of `docs` (doc_id, text)
+    has twice or more: the first `most` of the `among` most frequent that do not begin with a function word; ties by first place."""
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[a-z]{3,}$"))
+    pairs = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))
+    each = docs.select("doc_id", words.alias("w")).where(F.size("w") > 1).select("doc_id", F.posexplode(pairs).alias("i", "phrase")).where("phrase is not null")
+    counts = each.groupBy("doc_id", "phrase").agg(F.count("*").alias("n"), F.min("i").alias("first")).where("n > 1")
+    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "first"))).where(F.col("r") <= among)
+    telling = ranked.where(~F.split_part("phrase", F.lit(" "), F.lit(1)).isin("the", "of", "in", "to", "and", "for"))
+    return telling.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("r"))).where(F.col("rank") <= most).select("doc_id", "rank", "phrase", "n")

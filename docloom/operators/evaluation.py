@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.stats import grade
+
 # Words of a question that say nothing about its subject.
 QUESTION_WORDS = ["the", "a", "an", "is", "are", "was", "were", "what", "how", "why", "when", "where"]
 
@@ -60,20 +62,49 @@ def ndcg(retrieved: Column, truth: Column, scores: Column) -> Column:
     return F.when(F.size(truth) > 0, F.aggregate(gain, F.lit(0.0), add) / F.aggregate(ideal, F.lit(0.0), add))
 
 
-def retrieval_by_label(hits: DataFrame, labelled: DataFrame) -> DataFrame:
-    """query_id, p1, p3, p5, reciprocal_rank, recall5 for ranked `hits` (query_id, vec_id, rank), where rows of the same label
-    in `labelled` (vec_id, label) are true. Labels are compared and counted, so no list of true rows is ever built."""
+def retrieval_by_label(hits: DataFrame, labelled: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """query_id, p1, r1, p3, r3, ..., reciprocal_rank, ndcg, context_precision for ranked `hits` (query_id, vec_id, rank,
+    score), where rows of the same label in `labelled` (vec_id, label) are true; queries without any are left out.
+
+    Gains are the scores and the ideal has a 1 for each true row, so that ndcg may exceed 1. Labels are compared and
+    counted, so no list of true rows is ever built; the ideal is one number for each different size of a label.
+    """
     names = labelled.select("vec_id", "label")
-    sizes = names.groupBy("label").agg(F.count("*").alias("n"))
+    sizes = names.groupBy("label").agg((F.count("*") - 1).alias("others")).where("others > 0")
+    ideal = sizes.select("others").distinct().select("others", F.explode(F.sequence(F.lit(1), F.col("others").cast("int"))).alias("i")).groupBy("others").agg(F.sum(1 / F.log2(F.col("i") + 1)).alias("ideal"))
     asked = names.select(F.col("vec_id").alias("query_id"), F.col("label").alias("asked"))
     judged = hits.join(names, "vec_id").join(asked, "query_id").withColumn("hit", F.col("label") == F.col("asked"))
     within = lambda k: F.count_if(F.col("hit") & (F.col("rank") <= k))
-    scored = judged.groupBy("query_id", "asked").agg(*(within(k).alias(f"h{k}") for k in (1, 3, 5)), F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"))
-    others = F.col("n") - 1
-    return scored.join(sizes, scored.asked == sizes.label).select(
-        "query_id", *(F.round(F.col(f"h{k}") / k, 6).alias(f"p{k}") for k in (1, 3, 5)),
-        F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("reciprocal_rank"), F.round(F.when(others > 0, F.col("h5") / others), 6).alias("recall5"),
+    scored = judged.groupBy("query_id", "asked").agg(
+        *(within(k).alias(f"h{k}") for k in ks), F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"), F.sum(F.col("score") / F.log2(F.col("rank") + 1)).alias("gain"), F.avg(F.col("hit").cast("int")).alias("share")
     )
+    return scored.join(sizes.withColumnRenamed("label", "asked"), "asked").join(ideal, "others").select(
+        "query_id", *(F.round(F.col(f"h{k}") / k, 6).alias(f"p{k}") for k in ks), *(F.round(F.col(f"h{k}") / F.col("others"), 6).alias(f"r{k}") for k in ks),
+        F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("reciprocal_rank"), F.round(F.col("gain") / F.col("ideal"), 6).alias("ndcg"), F.round("share", 6).alias("context_precision"),
+    )
+
+
+def overall(retrieval: DataFrame, generation: DataFrame, latency: DataFrame) -> DataFrame:
+    """score, grade, issues, insights from the means of retrieval (reciprocal_rank, ndcg, context_precision, p1) and generation
+    (faithfulness, relevancy) and one row of latencies (p50, p95)."""
+    mean = lambda frame, *names: frame.agg(*(F.coalesce(F.avg(n), F.lit(0.0)).alias(n) for n in names))
+    one = mean(retrieval, "reciprocal_rank", "ndcg", "context_precision", "p1").crossJoin(mean(generation, "faithfulness", "relevancy")).crossJoin(latency)  # rows of one
+    c = F.col
+    score = 0.25 * (c("reciprocal_rank") + c("ndcg")) / 2 + 0.35 * (c("faithfulness") + c("relevancy")) / 2 + 0.25 * c("context_precision") + 0.15 * (1 - F.least(F.lit(1.0), c("p50") / 5))
+    issues = [
+        F.when(c("reciprocal_rank") < 0.5, "Low MRR indicates relevant documents not ranked highly"),
+        F.when(c("faithfulness") < 0.6, "Low faithfulness - answers may not be grounded in context"),
+        F.when(c("p95") > 3.0, "High P95 latency may impact user experience"),
+        F.when(c("relevancy") < 0.5, "Answers may not be relevant to user queries"),
+    ]
+    insights = [
+        F.when(c("score") > 0.8, "Overall system performance is excellent").when(c("score") > 0.6, "System performs adequately with room for improvement").otherwise("System needs significant improvements"),
+        F.when(c("p1") > 0.8, "Top-1 retrieval is highly accurate"),
+        F.when(c("faithfulness") > c("relevancy"), "Consider improving query understanding for better relevancy"),
+    ]
+    listed = lambda texts: F.array_join(F.array_compact(F.array(*texts)), " | ")
+    rated = one.withColumn("score", score)
+    return rated.select(F.round("score", 6).alias("score"), grade(c("score")).alias("grade"), listed(issues).alias("issues"), listed(insights).alias("insights"))
 
 
 def longest_common(a: list[str], b: list[str]) -> int:

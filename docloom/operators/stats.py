@@ -42,12 +42,39 @@ def histogram(events: DataFrame, value: str, label: str, bounds: list[float]) ->
     return counts.select(label, F.explode("b").alias("b")).select(label, "b.le", "b.n")
 
 
+QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
 def indexed_quantiles(events: DataFrame, value: str, label: str) -> DataFrame:
-    """p50, p95 and p99 as the value at index floor(n * q) of the sorted positive values, by label, and 1 / mean."""
-    order = Window.partitionBy(label).orderBy(value)
-    ranked = events.where(F.col(value) > 0).select(label, value, (F.row_number().over(order) - 1).alias("i"), F.count("*").over(Window.partitionBy(label)).alias("n"))
-    at = lambda q: F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1), F.col(value)))
-    return ranked.groupBy(label).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.round(1 / F.avg(value), 6).alias("throughput"))
+    """p50, p95 and p99 as the value at index floor(n * q) of the sorted positive values, by label, and 1 / mean.
+
+    Values are counted first, each different one once, and these counts are cut into ranges at approximate quantiles of
+    each label; only the range that holds an index is ranked, so no label's values gather in one task.
+    """
+    positive = events.where(F.col(value) > 0).select(label, F.col(value).alias("v"))
+    bounds = positive.groupBy(label).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.percentile_approx("v", F.array(*(F.lit(i / 64) for i in range(1, 64))), 10_000).alias("bounds"))
+    counts = positive.groupBy(label, "v").agg(F.count("*").alias("c")).join(F.broadcast(bounds.select(label, "bounds")), label)  # a row for each label
+    ranged = counts.withColumn("range", F.size(F.filter("bounds", lambda b: b < F.col("v")))).drop("bounds")
+    sizes = ranged.groupBy(label, "range").agg(F.sum("c").alias("size"))
+    before = F.sum("size").over(Window.partitionBy(label).orderBy("range")) - F.col("size")
+    placed = sizes.withColumn("before", before).join(bounds.select(label, "n", "mean"), label)
+    wanted = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1).alias("i")) for p, q in QUANTILES.items())))
+    asked = placed.select(label, "range", "before", "size", "mean", wanted.alias("w")).where("w.i >= before and w.i < before + size")
+    upto = F.sum("c").over(Window.partitionBy(label, "range").orderBy("v"))
+    ranked = ranged.join(F.broadcast(asked.select(label, "range").distinct()), [label, "range"], "left_semi").withColumn("upto", upto)  # three ranges for each label at most
+    found = ranked.join(asked, [label, "range"]).where("w.i < before + upto and w.i >= before + upto - c")
+    return found.groupBy(label).agg(*(F.max(F.when(F.col("w.p") == p, F.col("v"))).alias(p) for p in QUANTILES), F.round(1 / F.max("mean"), 6).alias("throughput"))
+
+
+def bucket_quantile(counts: DataFrame, groups: list[str], q: float) -> DataFrame:
+    """The groups and value: the quantile of cumulative bucket counts (le, n; le null for the last, unbounded one), by linear
+    interpolation inside the bucket that holds it; the greatest bound if that is the unbounded one."""
+    order = Window.partitionBy(*groups).orderBy(F.col("le").asc_nulls_last())
+    total = F.max("n").over(Window.partitionBy(*groups))
+    known = counts.withColumn("low", F.coalesce(F.lag("le").over(order), F.lit(0.0))).withColumn("before", F.coalesce(F.lag("n").over(order), F.lit(0))).withColumn("rank", F.lit(q) * total)
+    held = known.where((F.col("n") >= F.col("rank")) & (F.col("before") < F.col("rank")))
+    inside = F.col("low") + (F.col("le") - F.col("low")) * (F.col("rank") - F.col("before")) / (F.col("n") - F.col("before"))
+    return held.select(*groups, F.round(F.when(F.col("le").isNull(), F.col("low")).otherwise(inside), 6).alias("value"))
 
 
 def over_limit(events: DataFrame, limit: int, width: str = "1 minute") -> DataFrame:

@@ -37,14 +37,21 @@ def combine_context(chunks: DataFrame, *, most: int = 4000) -> DataFrame:
 
 def stratified_split(rows: DataFrame, stratum: str, key: str, *, train: float = 0.7, validation: float = 0.15, seed: str = "42") -> DataFrame:
     """`key`, stratum and split: in every stratum the first floor(n * train) rows by md5(seed, key) train, the next
-    floor(n * validation) validate, the rest test."""
+    floor(n * validation) validate, the rest test.
+
+    Rows are counted by stratum and the first three hexadecimal digits of their hash. A running sum of these small counts
+    says where each such part begins, and rows are ranked within their part alone, so that no stratum gathers in one task.
+    """
     digest = F.md5(F.concat(F.lit(seed), F.lit(":"), F.col(key).cast("string")))
-    shuffled = Window.partitionBy(stratum).orderBy(digest, key)
-    n = F.count("*").over(Window.partitionBy(stratum))
-    at = F.row_number().over(shuffled)
-    first, second = F.floor(n * F.lit(train)), F.floor(n * F.lit(validation))
-    split = F.when(F.col("at") <= F.col("first"), "train").when(F.col("at") <= F.col("first") + F.col("second"), "validation").otherwise("test")
-    return rows.select(key, stratum, at.alias("at"), first.alias("first"), second.alias("second")).select(key, stratum, split.alias("split"))
+    hashed = rows.select(key, stratum, digest.alias("_digest")).withColumn("_part", F.left("_digest", F.lit(3)))
+    parts = hashed.groupBy(stratum, "_part").agg(F.count("*").alias("_c"))  # at most 4,096 for each stratum
+    ordered = Window.partitionBy(stratum).orderBy("_part")
+    begun = parts.withColumn("_before", F.sum("_c").over(ordered) - F.col("_c")).withColumn("_n", F.sum("_c").over(Window.partitionBy(stratum))).withColumnRenamed(stratum, "_stratum")
+    within = F.row_number().over(Window.partitionBy(stratum, "_part").orderBy("_digest", key))
+    ranked = hashed.withColumn("_r", within)
+    placed = ranked.join(begun, (ranked["_part"] == begun["_part"]) & ranked[stratum].eqNullSafe(begun["_stratum"]))
+    at, first, second = F.col("_before") + F.col("_r"), F.floor(F.col("_n") * F.lit(train)), F.floor(F.col("_n") * F.lit(validation))
+    return placed.select(key, stratum, F.when(at <= first, "train").when(at <= first + second, "validation").otherwise("test").alias("split"))
 
 
 def access_intervals(events: DataFrame) -> DataFrame:

@@ -37,12 +37,16 @@ _query2("eval_generation", "benchmark", "documents", f"""
     SELECT item_id, round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, c)) / len(a) END, 6) AS faithfulness, round(CASE WHEN len(q) = 0 THEN 0.5 ELSE len(list_intersect(q, a)) / len(q) END, 6) AS relevancy FROM q""")(
     lambda b, d: _paired(b, d).select("item_id", F.round(evaluation.faithfulness(F.col("d"), F.col("b")), 6).alias("faithfulness"), F.round(evaluation.relevancy(F.col("b"), F.col("d")), 6).alias("relevancy"))
 )
+_ks = (1, 3, 5, 10)
 _query("eval_retrieval", "embeddings", f"""
-    WITH h AS ({ORACLE_SQL['vector_topk']}), j AS (SELECT query_id, rank, q.label AS label, q.label = v.label AS hit FROM h JOIN embeddings q ON q.vec_id = query_id JOIN embeddings v ON v.vec_id = h.vec_id),
-    n AS (SELECT label, count(*) - 1 AS others FROM embeddings GROUP BY label)
-    SELECT query_id, round(count(*) FILTER (hit AND rank <= 1) / 1, 6) AS p1, round(count(*) FILTER (hit AND rank <= 3) / 3, 6) AS p3, round(count(*) FILTER (hit AND rank <= 5) / 5, 6) AS p5,
-        round(coalesce(1 / min(rank) FILTER (hit), 0), 6) AS reciprocal_rank, round(count(*) FILTER (hit AND rank <= 5) / nullif(any_value(others), 0), 6) AS recall5
-    FROM j JOIN n USING (label) GROUP BY query_id""")(lambda e: evaluation.retrieval_by_label(search.top_k(e, e.where("vec_id % 100 = 0")), e))
+    WITH h AS ({ORACLE_SQL['vector_topk'].replace('rank <= 5', 'rank <= 10')}), j AS (SELECT query_id, rank, score, q.label AS label, q.label = v.label AS hit FROM h JOIN embeddings q ON q.vec_id = query_id JOIN embeddings v ON v.vec_id = h.vec_id),
+    n AS (SELECT label, count(*) - 1 AS others FROM embeddings GROUP BY label HAVING count(*) > 1)
+    SELECT query_id, {', '.join(f'round(count(*) FILTER (hit AND rank <= {k}) / {k}, 6) AS p{k}, round(count(*) FILTER (hit AND rank <= {k}) / any_value(others), 6) AS r{k}' for k in _ks)},
+        round(coalesce(1 / min(rank) FILTER (hit), 0), 6) AS reciprocal_rank, round(sum(score / log2(rank + 1)) / any_value((SELECT sum(1 / log2(i + 1)) FROM range(1, others + 1) t(i))), 6) AS ndcg, round(avg(hit::INT), 6) AS context_precision
+    FROM j JOIN n USING (label) GROUP BY query_id""")(lambda e: evaluation.retrieval_by_label(search.top_k(e, e.where("vec_id % 100 = 0"), 10), e))
+_query("eval_context_precision", "embeddings", f"SELECT count(*) AS n, round(avg(context_precision), 6) AS context_precision FROM ({ORACLE_SQL['eval_retrieval']})")(
+    lambda e: evaluation.retrieval_by_label(search.top_k(e, e.where("vec_id % 100 = 0"), 10), e).agg(F.count("*").alias("n"), F.round(F.avg("context_precision"), 6).alias("context_precision"))
+)
 _cases = " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{p}')" for p in phrases) + f" THEN '{kind}'" for kind, phrases in agents.ROUTES.items())
 _query("route_query", "conversations", f"SELECT conv_id, turn, kind, CASE kind WHEN 'analytical' THEN 5 WHEN 'summarization' THEN 2 ELSE 3 END AS n_steps FROM (SELECT *, CASE {_cases} ELSE 'general' END AS kind FROM conversations)")(
     lambda c: c.select("conv_id", "turn", agents.route(F.col("text")).alias("kind")).withColumn("n_steps", F.size(agents.steps(F.col("kind"))))
@@ -85,7 +89,13 @@ def _nodes(spark, sf_dir: str) -> DataFrame:
 
 QUERIES["onto_hierarchy"] = lambda spark, sf_dir: graph.tree_depths(_nodes(spark, sf_dir))
 ORACLE_SQL["onto_hierarchy"] = f"WITH RECURSIVE t AS ({_tree}), h AS (SELECT node, node AS root, 1 AS depth FROM t WHERE parent IS NULL UNION ALL SELECT t.node, root, depth + 1 FROM t JOIN h ON t.parent = h.node) SELECT * FROM h"
-QUERIES["onto_path"] = lambda spark, sf_dir: graph.reachable(_nodes(spark, sf_dir).where("parent is not null").select(F.col("node").alias("source"), F.col("parent").alias("target")), "AFRICA").select("node", "hops", F.array_join("path", " > ").alias("path"))
-ORACLE_SQL["onto_path"] = f"""WITH RECURSIVE t AS ({_tree}), e AS (SELECT node AS a, parent AS b FROM t WHERE parent IS NOT NULL UNION SELECT parent, node FROM t WHERE parent IS NOT NULL),
+_up = lambda spark, sf_dir: _nodes(spark, sf_dir).where("parent is not null").select(F.col("node").alias("source"), F.col("parent").alias("target"))
+QUERIES["onto_related"] = lambda spark, sf_dir: graph.reachable(_up(spark, sf_dir), "AFRICA").select("node", "hops", F.array_join("path", " > ").alias("path"))
+ORACLE_SQL["onto_related"] = f"""WITH RECURSIVE t AS ({_tree}), e AS (SELECT node AS a, parent AS b FROM t WHERE parent IS NOT NULL UNION SELECT parent, node FROM t WHERE parent IS NOT NULL),
     w AS (SELECT 'AFRICA' AS node, 0 AS hops, ['AFRICA'] AS path UNION ALL SELECT b, hops + 1, list_append(path, b) FROM w JOIN e ON a = w.node WHERE hops < 2 AND NOT list_contains(path, b))
     SELECT node, min(hops) AS hops, array_to_string(arg_min(path, (hops, path)), ' > ') AS path FROM w GROUP BY node"""
+# From one customer to another by way of nations and regions, where there is a way of at most six steps.
+QUERIES["onto_path"] = lambda spark, sf_dir: graph.shortest(_up(spark, sf_dir), "Customer#000000000", "Customer#000000007", most=6).select("hops", F.array_join("path", " > ").alias("path"))
+ORACLE_SQL["onto_path"] = f"""WITH RECURSIVE t AS ({_tree}), e AS (SELECT node AS a, parent AS b FROM t WHERE parent IS NOT NULL UNION SELECT parent, node FROM t WHERE parent IS NOT NULL),
+    w AS (SELECT 'Customer#000000000' AS node, 0 AS hops, ['Customer#000000000'] AS path UNION ALL SELECT b, hops + 1, list_append(path, b) FROM w JOIN e ON a = w.node WHERE hops < 6 AND NOT list_contains(path, b) AND (b NOT LIKE 'Customer%' OR b = 'Customer#000000007'))
+    SELECT hops, array_to_string(path, ' > ') AS path FROM w WHERE node = 'Customer#000000007' ORDER BY hops, path LIMIT 1"""
