@@ -70,6 +70,29 @@ def sections(text: Column) -> Column:
     return F.filter(F.transform(cut, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
+def completion(question: Column, answer: Column) -> Column:
+    """A training example as one text: the question, a blank line and the answer."""
+    return F.concat(question, F.lit("\n\n"), answer)
+
+
+def rag_prompt(question: Column, context: Column) -> Column:
+    """The prompt of an answer from a context."""
+    return F.concat(F.lit("Context:\n"), context, F.lit("\n\nQuestion: "), question, F.lit("\n\nAnswer:"))
+
+
+def frames(messages: DataFrame, *, words: int = 5) -> DataFrame:
+    """conv_id, turn, place, event, data: each message as a stream of a start, chunks of so many words, and an end that tells
+    how many chunks and characters there were."""
+    cut = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r\f\x0B]+"), "")
+    starts = F.when(F.size("w") > 0, F.sequence(F.lit(1), F.size("w"), F.lit(words))).otherwise(F.array().cast("array<int>"))
+    chunks = F.transform(starts, lambda i: F.array_join(F.slice("w", i, words), " "))
+    frame = lambda event, data: F.struct(F.lit(event).alias("event"), data.alias("data"))
+    end = F.concat(F.size("c").cast("string"), F.lit(" chunks, "), F.length(F.array_join("c", " ")).cast("string"), F.lit(" characters"))
+    every = F.concat(F.array(frame("start", F.lit(""))), F.transform("c", lambda c: frame("chunk", c)), F.array(frame("end", end)))
+    cut_up = messages.select("conv_id", "turn", cut.alias("w")).select("conv_id", "turn", chunks.alias("c"))
+    return cut_up.select("conv_id", "turn", F.posexplode(every).alias("place", "f")).select("conv_id", "turn", "place", "f.event", "f.data")
+
+
 def instruction(question: Column, answer: Column) -> Column:
     return F.concat(F.lit("### Instruction:\n"), question, F.lit("\n\n### Response:\n"), answer)
 

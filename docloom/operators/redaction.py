@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,9 +41,13 @@ def _holds(kind: str, found: str) -> bool:
     return kind != "IP_ADDRESS" or all(int(p) <= 255 for p in found.split("."))
 
 
-def spans_of(text: str) -> list[tuple[str, int, int, float, str]]:
-    """Spans that do not overlap: by start, then confidence; one that begins before the last kept one ends is left out."""
-    found = [(k, m.start(), m.end(), c, m[0]) for k, p, c in COMPILED for m in p.finditer(text) if _holds(k, m[0])]
+def spans_of(text: str, kinds: frozenset[str] | None = None, custom: tuple[str, ...] = ()) -> list[tuple[str, int, int, float, str]]:
+    """Spans that do not overlap: by start, then confidence; one that begins before the last kept one ends is left out.
+
+    Only of `kinds`, if they are given, and of the caller's own patterns, in either case, as kind CUSTOM.
+    """
+    wanted = [x for x in COMPILED if kinds is None or x[0] in kinds] + [("CUSTOM", re.compile(p, re.IGNORECASE), 0.8) for p in custom]
+    found = [(k, m.start(), m.end(), c, m[0]) for k, p, c in wanted for m in p.finditer(text) if _holds(k, m[0])]
     kept, end = [], 0
     for span in sorted(found, key=lambda s: (s[1], -s[3])):
         if span[1] >= end:
@@ -59,24 +64,26 @@ def _replacement(kind: str, found: str, style: str) -> str:
     return {"category": f"<{kind}>", "remove": ""}.get(style, f"[{kind}]")
 
 
-def detect(docs: DataFrame) -> DataFrame:
+def detect(docs: DataFrame, *, kinds: Sequence[str] | None = None, custom: Sequence[str] = ()) -> DataFrame:
     """doc_id, pii_type, start_pos, end_pos, confidence, original: every span of every text, none for null texts."""
+    only, own = None if kinds is None else frozenset(kinds), tuple(custom)
 
     @F.pandas_udf(SPANS)
     def find(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: spans_of(t) if t else [])
+        return text.map(lambda t: spans_of(t, only, own) if t else [])
 
     return docs.select("doc_id", F.inline(find("text")))
 
 
-def redact(docs: DataFrame, style: str = "mask") -> DataFrame:
+def redact(docs: DataFrame, style: str = "mask", *, kinds: Sequence[str] | None = None, custom: Sequence[str] = ()) -> DataFrame:
     """doc_id, text with each span replaced, and n_spans. Styles: mask, partial, hash, category, remove. Null texts stay null."""
+    only, own = None if kinds is None else frozenset(kinds), tuple(custom)
 
     @F.pandas_udf("text string, n_spans long")
     def replace(text: pd.Series) -> pd.DataFrame:
         out = []
         for t in text:
-            spans = spans_of(t) if t else []
+            spans = spans_of(t, only, own) if t else []
             for kind, start, end, _, found in reversed(spans):
                 t = t[:start] + _replacement(kind, found, style) + t[end:]
             out.append((t, len(spans)))

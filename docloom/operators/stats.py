@@ -95,3 +95,10 @@ def counts_by(table: DataFrame, *sets: str) -> DataFrame:
     """field, value, n for several columns in one pass."""
     pairs = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in sets))
     return table.select(F.explode(pairs).alias("p")).groupBy("p.field", "p.value").agg(F.count("*").alias("n")).select("field", "value", "n")
+
+
+def sizes_by(table: DataFrame, size: str, mean: str, *sets: str) -> DataFrame:
+    """field, value, n, total, mean quality of each value of several columns, and of all rows, in one pass."""
+    pairs = F.array(F.struct(F.lit("all").alias("field"), F.lit("all").alias("value")), *(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in sets))
+    rows = table.select(size, mean, F.explode(pairs).alias("p")).groupBy("p.field", "p.value")
+    return rows.agg(F.count("*").alias("n"), F.sum(size).cast("long").alias("total_chars"), F.round(F.avg(mean), 6).alias("mean_quality")).select("field", "value", "n", "total_chars", "mean_quality")

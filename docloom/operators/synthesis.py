@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,7 +53,6 @@ PARAPHRASES = {
     "Who is": "Which person is",
 }
 QUESTIONS = ["Based on the document, explain: ", "What information is provided about: ", "Summarize the following from the document: ", "Extract key details regarding: "]
-SECTIONS = [r"\n\n+", r"\n(?=[A-Z][a-z]+:)", r"\n(?=\d+\.)"]
 EDGE_ANSWER = "Edge case handling: When dealing with {topic}, the system should gracefully handle missing or malformed data."
 
 
@@ -192,21 +191,9 @@ def validated(pairs: DataFrame, hits: DataFrame) -> DataFrame:
     return judged.select("n_issues", "n_warnings", (F.col("n_issues") == 0).alias("valid"), mark.alias("grade"))
 
 
-def sections(text: Column) -> Column:
-    """The text cut at blank lines, then before headings, then before numbered lines; trimmed, empty ones left out."""
-    found = F.array(text)
-    for pattern in SECTIONS:
-        found = F.flatten(F.transform(found, _cut(pattern)))
-    return F.filter(F.transform(found, lambda s: F.btrim(s, F.lit(" \t\n\r\f\x0b"))), lambda s: s != "")
-
-
-def _cut(pattern: str) -> Callable[[Column], Column]:
-    return lambda s: F.split(s, pattern)
-
-
 def section_questions(docs: DataFrame, *, most: int = 5, shortest: int = 10, longest: int = 4096) -> DataFrame:
     """doc_id, place, question, answer: a question for each of a text's first sections that are of valid length."""
-    each = docs.select("doc_id", F.posexplode(F.slice(sections(F.col("text")), 1, most)).alias("place", "answer"))
+    each = docs.select("doc_id", F.posexplode(F.slice(agents.sections(F.col("text")), 1, most)).alias("place", "answer"))
     topic = F.concat(F.array_join(F.slice(F.array_remove(F.split("answer", r"\s+"), ""), 1, 10), " "), F.lit("..."))
     prefix = drawn(QUESTIONS, draw(F.concat_ws(":", "doc_id", "place"), "prefix"))
     return each.where(F.length("answer").between(shortest, longest)).select("doc_id", "place", F.concat(prefix, F.lit("\n\n"), topic).alias("question"), "answer")

@@ -67,5 +67,10 @@ def sentences(text: Column) -> Column:
     return F.array_remove(F.transform(F.split(text, r"[.!?]+"), lambda s: F.trim(s)), "")
 
 
+def ended_sentences(text: Column, longer: int = 0) -> Column:
+    """The text cut after sentence ends, which stay; only sentences of more than `longer` characters."""
+    return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.length(F.trim(s)) > longer)
+
+
 def truncated(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)

@@ -60,8 +60,12 @@ _query("query_expand", "benchmark", """
     SELECT item_id, q AS query FROM q UNION ALL SELECT item_id, replace(lower(q), 'find', unnest(['search', 'locate', 'get'])) FROM q""")(
     lambda b: b.select("item_id", F.explode(agents.expanded(F.concat(F.lit("Find a summary: "), F.left("text", F.lit(20))))).alias("query"))
 )
-_query("train_format", "documents", r"SELECT doc_id, md5('### Instruction:' || chr(10) || source || chr(10) || chr(10) || '### Response:' || chr(10) || text) AS instruction_md5 FROM documents")(
-    lambda d: d.select("doc_id", F.md5(agents.instruction(F.col("source"), F.col("text"))).alias("instruction_md5"))
+_query("train_format", "documents", r"""SELECT doc_id, md5('### Instruction:' || chr(10) || source || chr(10) || chr(10) || '### Response:' || chr(10) || text) AS instruction_md5, md5(source || chr(10) || chr(10) || text) AS completion_md5,
+    md5('system:Be brief.|user:' || source || '|assistant:' || text) AS chat_md5 FROM documents""")(
+    lambda d: d.select(
+        "doc_id", F.md5(agents.instruction(F.col("source"), F.col("text"))).alias("instruction_md5"), F.md5(agents.completion(F.col("source"), F.col("text"))).alias("completion_md5"),
+        F.md5(F.array_join(F.transform(agents.chat(F.col("source"), F.col("text"), "Be brief."), lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")).alias("chat_md5"),
+    )
 )
 _query("kmeans_step", "embeddings", """
     WITH p AS (SELECT v.vec_id, v.embedding AS e, c.vec_id AS cluster, list_sum(list_transform(range(1, 65), lambda i: (v.embedding[i]::DOUBLE - c.embedding[i]::DOUBLE) ** 2)) AS d FROM embeddings v JOIN embeddings c ON c.vec_id < 4),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import search, stats, text, windows
+from docloom.operators import agents, search, stats, text, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,10 +38,13 @@ def _query2(name: str, first: str, second: str, sql: str) -> Callable:
 _query("chunk_stats", "documents", "SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS total_chars, min(length(text)) AS shortest, max(length(text)) AS longest FROM documents GROUP BY lang")(
     lambda d: d.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("total_chars"), F.min(F.length("text")).cast("long").alias("shortest"), F.max(F.length("text")).cast("long").alias("longest"))
 )
-_query("docs_page", "documents", "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 20")(
-    lambda d: d.where("lang = 'en'").orderBy(F.col("n_chars").desc(), "doc_id").offset(20).limit(20).select("doc_id", "source", "n_chars")
+_query("docs_page", "documents", "SELECT doc_id, source, n_chars, (SELECT count(*) FROM documents WHERE lang = 'en') AS total FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 20")(
+    lambda d: d.where("lang = 'en'").orderBy(F.col("n_chars").desc(), "doc_id").offset(20).limit(20).select("doc_id", "source", "n_chars").crossJoin(d.where("lang = 'en'").agg(F.count("*").alias("total")))  # a page by one row
+)
+_sizes = "count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS total_chars, round(avg(quality), 6) AS mean_quality FROM documents LEFT JOIN labels USING (doc_id)"
+_query2("catalog_stats", "documents", "labels", f"SELECT 'lang' AS field, lang AS value, {_sizes} GROUP BY lang UNION ALL SELECT 'source', source, {_sizes} GROUP BY source UNION ALL SELECT 'all', 'all', {_sizes}")(
+    lambda d, t: stats.sizes_by(d.select("doc_id", "lang", "source", "n_chars").join(t.select("doc_id", "quality"), "doc_id", "left"), "n_chars", "quality", "lang", "source")
 )
-_query("catalog_stats", "documents", "SELECT 'lang' AS field, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source")(lambda d: stats.counts_by(d, "lang", "source"))
 _query("catalog_search", "documents", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') AND n_chars BETWEEN 100 AND 5000")(
     lambda d: d.where(F.lower("text").contains("license") & F.col("n_chars").between(100, 5000)).select("doc_id")
 )
@@ -76,11 +79,12 @@ _query("truncate", "documents", "SELECT doc_id, CASE WHEN length(text) > 200 THE
 _query("text_normalize", "documents", r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ')) AS text_md5 FROM documents")(
     lambda d: d.select("doc_id", F.md5(text.normalised(F.col("text"))).alias("text_md5"))
 )
-_query("sentences", "documents", r"SELECT doc_id, CAST(len(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x, ' ')), lambda x: x <> '')) AS BIGINT) AS n_sentences FROM documents")(
-    lambda d: d.select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+_query("sentences", "documents", r"""SELECT doc_id, CAST(len(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x, ' ')), lambda x: x <> '')) AS BIGINT) AS n_sentences,
+    CAST(len(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ') <> '')) AS BIGINT) AS n_ended, CAST(len(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(trim(x, ' ')) > 20)) AS BIGINT) AS n_long FROM documents""")(
+    lambda d: d.select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("n_sentences"), F.size(text.ended_sentences(F.col("text"))).cast("long").alias("n_ended"), F.size(text.ended_sentences(F.col("text"), 20)).cast("long").alias("n_long"))
 )
-_query("embed_mock", "documents", "SELECT doc_id, round((CAST('0x' || substr(sha256(text), 1, 2) AS INT) - 128) / 128.0::DOUBLE, 6) AS e0, round((CAST('0x' || substr(sha256(text), 31, 2) AS INT) - 128) / 128.0::DOUBLE, 6) AS e15 FROM documents")(
-    lambda d: d.select("doc_id", text.mock_embedding(F.col("text")).alias("e")).select("doc_id", F.round(F.col("e")[0], 6).alias("e0"), F.round(F.col("e")[15], 6).alias("e15"))
+_query("embed_mock", "documents", "SELECT doc_id, " + ", ".join(f"round((CAST('0x' || substr(sha256(text), {2 * (i % 32) + 1}, 2) AS INT) - 128) / 128.0::DOUBLE, 6) AS e{i}" for i in range(40)) + " FROM documents")(
+    lambda d: d.select("doc_id", text.mock_embedding(F.col("text"), 40).alias("e")).select("doc_id", *(F.round(F.col("e")[i], 6).alias(f"e{i}") for i in range(40)))
 )
 _query("guardrail_injection", "conversations", "SELECT conv_id, turn, " + "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN {i}" for i, p in enumerate(text.INJECTION, 1)) + " END AS pattern FROM conversations")(
     lambda c: c.select("conv_id", "turn", text.first_injection(F.col("text")).alias("pattern"))
@@ -115,15 +119,19 @@ _query("daily_counts", "events", "SELECT user_id, CAST(ts AS DATE) AS day, count
 _query("latest_status", "events", "SELECT user_id, event_type AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")(
     lambda e: e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"))
 )
-_query("agent_stats", "events", "SELECT event_type AS agent, count(*) AS executions, count(*) FILTER (value > 10) AS successes, round(avg(value), 6) AS mean_time FROM events GROUP BY event_type")(
-    lambda e: e.groupBy(F.col("event_type").alias("agent")).agg(F.count("*").alias("executions"), F.count_if(F.col("value") > 10).alias("successes"), F.round(F.avg("value"), 6).alias("mean_time"))
+_runs = "count(*) AS executions, count(*) FILTER (value > 10) AS successes, round(100.0::DOUBLE * count(*) FILTER (value > 10) / count(*), 6) AS success_rate, round(avg(value), 6) AS mean_time FROM events"
+_query("agent_stats", "events", f"SELECT event_type AS agent, {_runs} GROUP BY event_type UNION ALL SELECT 'all', {_runs}")(
+    lambda e: e.groupingSets([[F.col("event_type")], []], "event_type")
+    .agg(F.count("*").alias("executions"), F.count_if(F.col("value") > 10).alias("successes"), F.round(100.0 * F.count_if(F.col("value") > 10) / F.count("*"), 6).alias("success_rate"), F.round(F.avg("value"), 6).alias("mean_time"))
+    .select(F.coalesce("event_type", F.lit("all")).alias("agent"), "executions", "successes", "success_rate", "mean_time")
 )
 _query("feedback_accuracy", "labels", "SELECT CASE WHEN count(*) = 0 THEN 100.0::DOUBLE ELSE round(100.0::DOUBLE * count(*) FILTER (quality = 1) / count(*), 6) END AS accuracy FROM labels")(
     lambda t: t.agg(F.when(F.count("*") == 0, F.lit(100.0)).otherwise(F.round(100.0 * F.count_if(F.col("quality") == 1) / F.greatest(F.count("*"), F.lit(1)), 6)).alias("accuracy"))
 )
-_query("sse_frames", "conversations", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS chunk, count(*) OVER (PARTITION BY conv_id) AS total_chunks FROM conversations")(
-    lambda c: c.selectExpr("conv_id", "turn", "cast(row_number() over (partition by conv_id order by turn) - 1 as long) as chunk", "count(*) over (partition by conv_id) as total_chunks")
-)
+_query("sse_frames", "conversations", r"""
+    WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM conversations), c AS (SELECT conv_id, turn, list_transform(range(1, len(w) + 1, 5), lambda i: array_to_string(w[i:i + 4], ' ')) AS c FROM w)
+    SELECT conv_id, turn, 0 AS place, 'start' AS event, '' AS data FROM c UNION ALL SELECT conv_id, turn, CAST(unnest(range(1, len(c) + 1)) AS INT), 'chunk', unnest(c) FROM c
+    UNION ALL SELECT conv_id, turn, CAST(len(c) + 1 AS INT), 'end', len(c) || ' chunks, ' || length(array_to_string(c, ' ')) || ' characters' FROM c""")(agents.frames)
 _query("grade", "events", "SELECT CASE WHEN s >= 0.9 THEN 'A' WHEN s >= 0.8 THEN 'B' WHEN s >= 0.7 THEN 'C' WHEN s >= 0.6 THEN 'D' ELSE 'F' END AS grade, count(*) AS n FROM (SELECT value / 100 AS s FROM events) GROUP BY 1")(
     lambda e: e.groupBy(stats.grade(F.col("value") / 100).alias("grade")).agg(F.count("*").alias("n"))
 )

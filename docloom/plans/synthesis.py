@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators import search, synthesis
+from docloom.operators import agents, search, synthesis
 from docloom.plans.registry import _query
 
 
@@ -95,7 +95,7 @@ def _validated(pairs: DataFrame) -> DataFrame:
 # The three cuts in SQL: a mark is set where a section begins, as that engine's patterns cannot look ahead.
 _cut = r"string_split(regexp_replace(regexp_replace(regexp_replace(text, '\n\n+', chr(1), 'g'), '\n([A-Z][a-z]+:)', chr(1) || '\1', 'g'), '\n(\d+\.)', chr(1) || '\1', 'g'), chr(1))"
 _each = rf"SELECT doc_id, unnest(s) AS answer, unnest(range(0, len(s))) AS place FROM (SELECT doc_id, list_filter(list_transform({_cut}, lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: x <> '') AS s FROM documents)"
-_query("train_sections", "documents", f"SELECT doc_id, CAST(place AS INT) AS place, md5(answer) AS section_md5 FROM ({_each})")(lambda d: d.select("doc_id", F.posexplode(synthesis.sections(F.col("text"))).alias("place", "section")).select("doc_id", "place", F.md5("section").alias("section_md5")))
+_query("train_sections", "documents", f"SELECT doc_id, CAST(place AS INT) AS place, md5(answer) AS section_md5 FROM ({_each})")(lambda d: d.select("doc_id", F.posexplode(agents.sections(F.col("text"))).alias("place", "section")).select("doc_id", "place", F.md5("section").alias("section_md5")))
 _topic = r"array_to_string(list_filter(regexp_split_to_array(answer, '\s+'), lambda x: x <> '')[1:10], ' ') || '...'"
 _query("train_qa", "documents", rf"SELECT doc_id, CAST(place AS INT) AS place, {_drawn(synthesis.QUESTIONS, _draw('prefix', 'key'))} || chr(10) || chr(10) || {_topic} AS question, md5(answer) AS answer_md5 FROM (SELECT *, doc_id || ':' || place AS key FROM ({_each}) WHERE place < 5) WHERE length(answer) BETWEEN 10 AND 4096")(
     lambda d: synthesis.section_questions(d).select("doc_id", "place", "question", F.md5("answer").alias("answer_md5"))

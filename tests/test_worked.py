@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import agents, chunking, entities, evaluation, graph, guardrails, profiles, retrieval, search, stats, synthesis, windows
+from docloom.operators import agents, chunking, entities, evaluation, graph, guardrails, profiles, redaction, retrieval, search, stats, synthesis, windows
 from docloom.plans import registry
 from docloom.sources import files
 
@@ -168,7 +168,7 @@ def test_graphs(spark):
 
 def test_sections_and_paraphrases(spark):
     one = texts(spark, "Intro text here\n\n\nTitle: body of it\nmore\nNext: part two\n1. first item\n2. second", None, "  ")
-    got = one.select(synthesis.sections(F.col("text")).alias("s")).collect()
+    got = one.select(agents.sections(F.col("text")).alias("s")).collect()
     assert got[0].s == ["Intro text here", "Title: body of it\nmore", "Next: part two", "1. first item", "2. second"] and not got[1].s and not got[2].s
     asked = spark.createDataFrame([(1, "What is it?"), (2, "Why might it?"), (3, "what IS what is")], "doc_id long, question string")
     assert {(r.doc_id, r.question) for r in synthesis.paraphrases(asked).collect()} == {(1, "Can you explain it?"), (3, "Can you explain Can you explain")}
@@ -194,3 +194,14 @@ def test_doc_result(spark):
 def test_age(spark):
     row = spark.sql("SELECT timestamp'2024-01-31 12:00:00' AS a, timestamp'2023-01-01 00:00:00' AS b, cast(null as timestamp) AS c, timestamp'2024-02-01 00:00:00' AS now")
     assert list(row.select(*(files.age_class(F.col(c), F.col("now")) for c in "abc")).first()) == ["current (< 1 day)", "stale (> 1 year)", "unknown"]
+
+
+def test_redaction_by_kind_and_own_patterns(spark):
+    one = texts(spark, "mail bob@mail.com, ticket AB-123, net 10.0.0.1")
+    assert {r.pii_type for r in redaction.detect(one, kinds=["EMAIL"], custom=[r"ab-\d+"]).collect()} == {"EMAIL", "CUSTOM"}
+    assert redaction.redact(one, "category", kinds=["EMAIL"], custom=[r"ab-\d+"]).first().text == "mail <EMAIL>, ticket <CUSTOM>, net 10.0.0.1"
+
+
+def test_pii_report(spark):
+    spans = redaction.detect(texts(spark, "a@mail.com b@mail.com 123456789", "call (555) 123-4567"))
+    assert {(r.pii_type, r.n, r.n_high, r.n_low) for r in redaction.report(spans).collect()} == {("EMAIL", 2, 2, 0), ("SSN", 1, 0, 1), ("PHONE", 1, 1, 0)}
