@@ -29,7 +29,7 @@ _query("guardrail_input", "documents", f"""{_base}, d AS (SELECT *, CASE WHEN le
     SELECT doc_id, category, category IN ('pii', 'safe', 'spam') AS valid, md5(CASE category WHEN 'pii' THEN masked WHEN 'safe' THEN text END) AS filtered_md5 FROM d""")(
     lambda d: guardrails.check_input(d).select("doc_id", "category", "valid", F.md5("filtered").alias("filtered_md5"))
 )
-_query("guardrail_spam", "documents", f"{_base} SELECT doc_id, spam AS reason FROM s WHERE spam IS NOT NULL")(lambda d: d.select("doc_id", guardrails.spam(F.col("text")).alias("reason")).where("reason is not null"))
+_query("guardrail_spam", "documents", f"{_base} SELECT doc_id, spam AS reason FROM s")(lambda d: d.select("doc_id", guardrails.spam(F.col("text")).alias("reason")))
 _query("guardrail_output", "documents", f"""{_base} SELECT doc_id, CASE WHEN length(text) <= 3000 AND ({_any}) THEN 'pii' ELSE 'safe' END AS category, md5(CASE WHEN length(text) > 3000 THEN left(text, 3000) || '... [truncated]' ELSE masked END) AS filtered_md5 FROM s""")(
     lambda d: guardrails.check_output(d, longest=3000).select("doc_id", "category", F.md5("filtered").alias("filtered_md5"))
 )

@@ -73,7 +73,7 @@ _query("embed_dedupe", "documents", "SELECT left(sha256('m:' || text), 16) AS ca
     lambda d: d.groupBy(F.left(F.sha2(F.concat(F.lit("m:"), "text").cast("binary"), 256), F.lit(16)).alias("cache_key")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 )
 _query("vector_topk_filtered", "embeddings", _top.replace("WHERE q.vec_id", "WHERE v.label = 1 AND q.vec_id"))(lambda e: search.top_k(e.where("label = 1"), _asked(e)))
-_query("xref_semantic_links", "embeddings", f"SELECT query_id, vec_id, score FROM ({_top}) WHERE score >= 0.4")(lambda e: search.top_k(e, _asked(e)).where("score >= 0.4").select("query_id", "vec_id", "score"))
+_query("xref_semantic_links", "embeddings", f"SELECT query_id, vec_id, score FROM ({_top}) WHERE score >= 0.25")(lambda e: search.top_k(e, _asked(e)).where("score >= 0.25").select("query_id", "vec_id", "score"))
 _query("retrieve_min_score", "embeddings", f"SELECT query_id, count(*) AS n, round(avg(score), 5) AS mean_score FROM ({_top}) WHERE score >= 0.3 GROUP BY query_id")(
     lambda e: search.top_k(e, _asked(e)).where("score >= 0.3").groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), 5).alias("mean_score"))
 )
