@@ -259,7 +259,7 @@ def edges(distinct: DataFrame) -> DataFrame:
     `single` marks pieces that occur once: windows of others are in spans already.
     """
     several = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    asked = distinct.join(several, "anchor", "left_semi")
+    asked = join_spread(distinct, several, ["anchor"])
     return asked.groupBy(F.col("source.key").alias("key")).agg(F.collect_list(F.struct("source.start", "width", (F.col("n") == 1).alias("single"))).alias("ranges"))
 
 
@@ -338,7 +338,8 @@ def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
     on_path = spans(parts, paths, window, used)
     ranges = materialise(edges(distinct), "edges", used)
     concerned = docs.where(maybe_in(ranges)("key"))
-    found = windows(concerned.join(ranges, "key").select("key", "text", "ranges"), window)
+    # Joins with texts are by a shuffle at every size, so that they need the same share of disk at every size.
+    found = windows(concerned.join(ranges.hint("merge"), "key").select("key", "text", "ranges"), window)
     n = F.sum(F.when(F.col("state") < 2, 1).otherwise(0)).over(Window.partitionBy("one", "two"))
     often = found.withColumn("n", n).where("start is not null and (n > 1 or state > 0)").select("key", F.col("start").alias("low"), (F.col("start") + window).alias("high"))
     both = on_path.unionByName(often).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
@@ -358,7 +359,7 @@ def mark_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     runs = repeated_runs(keyed.select("key", text.alias("text")), window)
     keyed = keyed.withColumn("maybe", maybe_in(runs)("key"))
     clear = keyed.where(~F.col("maybe")).withColumn("runs", F.lit(None).cast("array<int>"))
-    joined = keyed.where("maybe").join(runs, "key", "left")
+    joined = keyed.where("maybe").join(runs.hint("merge"), "key", "left")
     return clear.unionByName(joined).select(ROW, text.alias("text"), "runs")
 
 

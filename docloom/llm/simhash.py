@@ -169,5 +169,5 @@ def keep_one(docs: DataFrame, *, shingle: int = 4, distance: int = 4) -> DataFra
     marked = carried(docs).withColumn("key", row_key(F.col(f"{ROW}.doc_id"), F.col(f"{ROW}.text")))
     marked = marked.withColumn("maybe", maybe_in(others)("key"))
     gone = others.where("not stays").select("key")
-    concerned = marked.where("maybe").join(gone, "key", "left_anti").dropDuplicates(["key"])
+    concerned = marked.where("maybe").join(gone.hint("merge"), "key", "left_anti").dropDuplicates(["key"])
     return released(marked.where("not maybe").select(ROW).unionByName(concerned.select(ROW)))
