@@ -94,11 +94,16 @@ def core(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "node string, parent string")
 
 
-def nearest(centroids: Sequence[Sequence[float]]) -> Column:
-    """The number of the centroid nearest to `embedding`, the least of equal ones. The centroids are literals of the plan."""
+def distances(centroids: Sequence[Sequence[float]]) -> Column:
+    """array<struct<d, cluster>>: the squared distances of `embedding` to centroids, which are literals of the plan."""
     at = lambda c: F.array(*map(F.lit, map(float, c)))
     squared = lambda c: F.aggregate(F.zip_with("embedding", at(c), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
-    return F.array_min(F.array(*(F.struct(squared(c).alias("d"), F.lit(i).alias("cluster")) for i, c in enumerate(centroids))))["cluster"]
+    return F.array(*(F.struct(squared(c).alias("d"), F.lit(i).alias("cluster")) for i, c in enumerate(centroids)))
+
+
+def nearest(centroids: Sequence[Sequence[float]]) -> Column:
+    """The number of the centroid nearest to `embedding`, the least of equal ones."""
+    return F.array_min(distances(centroids))["cluster"]
 
 
 def kmeans_step(vectors: DataFrame, centroids: Sequence[Sequence[float]]) -> DataFrame:
