@@ -1,4 +1,7 @@
-"""A corpus pipeline of the training-data operators: quality rules, SimHash near-dedup, substring dedup, secret scan, packing."""
+"""A corpus pipeline of the training-data operators: quality rules, SimHash near-dedup, substring dedup, secret scan, packing.
+
+Every stage gives an empty result for an empty table. All but the last keep the columns of their input, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +12,30 @@ from docloom.llm import common, debruijn, packing, quality, queries, secrets, si
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised rules keep."""
+    """Documents that the weakly supervised rules keep. Null and empty texts go; repeated rows are judged alike."""
     return quality.keep_good(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least doc_id, of each group of near duplicates."""
+    """One document, the one with the least doc_id, of each group of near duplicates. Null doc_ids come last; of rows alike in
+    doc_id and text one stays; null and empty texts are one group."""
     return simhash.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of 35 words or more that repeat."""
+    """All documents, without the passages of 35 words or more that repeat. Null texts stay null; repeated rows lose what
+    they share with each other."""
     return debruijn.without_repeats(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked and n_chars counted anew."""
+    """All documents, with secrets masked and n_chars counted anew. Null texts stay null; repeated rows stay."""
     return secrets.mask_secrets(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, by tokens, with their training sequence and place in it."""
+    """Pieces of documents, by tokens, with their training sequence and place in it. Null texts are empty pieces; repeated
+    rows are packed each by itself."""
     return packing.pack_documents(queries.token_counts(docs), F.col("n_tokens"))
 
 
