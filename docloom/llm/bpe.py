@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from itertools import chain, filterfalse
+from itertools import chain, filterfalse, islice
 
 import pyarrow as pa
 import regex
@@ -68,6 +68,18 @@ def serialise_model(tokens: list[bytes]) -> bytes:
     return b"".join(_field(1, p) for p in pieces) + _field(2, trainer) + _field(3, normaliser)
 
 
+class Sizes(dict):
+    """Numbers of tokens of parts; parts that are not known count 0 and are noted down as often as they are asked for."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        self.new.append(part)
+        return 0
+
+
 class ByteBpe:
     """Encoder and decoder for one process.
 
@@ -86,11 +98,11 @@ class ByteBpe:
         self.names = list(map(str, range(len(self.tokens))))
         self.by_name = dict(zip(self.names, self.tokens, strict=True))
         self.seen: dict[str, str] = {}
-        self.sizes: dict[str, int] = {}
+        self.sizes = Sizes()
 
     def _learn(self, parts: list[str], split: list[list[str]]) -> None:
         """Remember the ids of parts, given their pre-tokens. What is no token itself is merged, all in one call."""
-        ranks, names, table = self.ranks, self.names, self.table
+        ranks, names = self.ranks, self.names
         ids: dict[str, str] = {}
         mapped = []
         for word in {w for words in split for w in words}:
@@ -100,7 +112,7 @@ class ByteBpe:
                 ids[word] = names[rank]
             else:
                 ids[word] = ""
-                mapped.append("\u0120" + word[1:] if word[0] == " " and raw[1:].isalnum() else raw.decode("latin-1").translate(table))
+                mapped.append(self._mapped(word, raw))
         merged = iter(self.model.encode(mapped, num_threads=1) if mapped else ())
         for word, known in ids.items():
             if not known:
@@ -140,26 +152,58 @@ class ByteBpe:
             head += [rank] if rank is not None else self.model.encode(raw.decode("latin-1").translate(self.table))
         return ",".join([*map(str, head), *out])
 
+    def _mapped(self, word: str, raw: bytes) -> str:
+        return "\u0120" + word[1:] if word[0] == " " and raw[1:].isalnum() else raw.decode("latin-1").translate(self.table)
+
+    def _count(self, parts: list[str]) -> None:
+        """Remember how many tokens parts that follow a space have. What is no token itself is merged, all in one call."""
+        ranks, owners, merged = self.ranks, [], []
+        sizes = dict.fromkeys(parts, 0)
+        for part in parts:
+            if part.isalpha():
+                words = (" " + part,)
+            elif part[-1] in ",.!?" and part[:-1].isalpha():
+                sizes[part] = 1
+                words = (" " + part[:-1],)
+            else:
+                words = self.split(" " + part)
+            for word in words:
+                raw = word.encode("utf-8")
+                if raw in ranks:
+                    sizes[part] += 1
+                else:
+                    owners.append(part)
+                    merged.append(self._mapped(word, raw))
+        for part, pieces in zip(owners, self.model.encode(merged, num_threads=1) if merged else (), strict=True):
+            sizes[part] += len(pieces)
+        self.sizes.update(sizes)
+
+    def _plain_count(self, text: str) -> int:
+        words = [w.encode("utf-8") for w in self.split(text)]
+        return sum([1 if raw in self.ranks else len(self.model.encode(raw.decode("latin-1").translate(self.table))) for raw in words])
+
     def counts(self, texts: list[str]) -> list[int]:
-        """How many tokens each text has."""
+        """How many tokens each text has. What is new in the texts is encoded in one call."""
         sizes = self.sizes
-        if len(self.seen) > self.REMEMBERED:
+        if len(sizes) > self.REMEMBERED:
             sizes.clear()
-        out = []
-        for text in texts:
-            parts = text.split(" ")
-            try:
-                n = sum(map(sizes.__getitem__, parts[1:]))
-            except KeyError:
-                out.append(-1)
-                continue
-            out.append(n + sum(1 if w.encode() in self.ranks else len(self.encode(w)) for w in self.split(parts[0])))
-        new = [i for i, n in enumerate(out) if n < 0]
-        for i, joined in zip(new, self.joined_all([texts[i] for i in new]), strict=True):
-            out[i] = joined.count(",") + 1 if joined else 0
-            for part in texts[i].split(" ")[1:]:
-                if part in self.seen and part not in sizes:
-                    sizes[part] = self.seen[part].count(",") + 1
+        new, out, waiting = sizes.new, [], []
+        for i, text in enumerate(texts):
+            parts, before = text.split(" "), len(new)
+            n = sum(map(sizes.__getitem__, islice(parts, 1, None)))
+            out.append(n + self._plain_count(parts[0]))
+            if len(new) > before:
+                waiting.append((i, before, len(new)))
+        parts = set(new)
+        runs = {p for p in parts if not p or p[0].isspace()}  # a run of white space in the text
+        self._count(list(parts - runs))
+        for i, low, high in waiting:
+            own = new[low:high]
+            if runs and not runs.isdisjoint(own):
+                out[i] = self._plain_count(texts[i])
+            else:
+                out[i] += sum(map(sizes.__getitem__, own))
+        new.clear()
         return out
 
     def joined(self, text: str) -> str:

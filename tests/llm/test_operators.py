@@ -618,6 +618,9 @@ def test_token_counts(docs, rows):
 
     encoded = bpe.encode_documents(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).select("doc_id", "n_tokens").collect()
     assert Counter(encoded) == Counter(queries.token_counts(docs).collect())
+    one = bpe.ByteBpe(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    odd = ["a  b\n\n c\t d", "   ", " x", "tail ", "\u00e9\x00\U0001f600  \u6f22\u5b57 's 12 34", "", "\n \n", "one new. one new, one", "one new. one new, one"]
+    assert one.counts(odd) == one.counts(odd) == [len(one.encode(t)) for t in odd]
 
 
 def test_packing_wastes_little():
