@@ -66,7 +66,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "in/a.csv").write_text("x,y\n1,2\n3\n")
     (tmp_path / "in/b.TXT").write_text("one two\nthree\n")
     (tmp_path / "in/c.unknown").write_text("?")
-    assert {(r.name, r.format, r.source_type) for r in files.discover(spark, str(tmp_path / "in")).collect()} == {("a.csv", "csv", "structured"), ("b.TXT", "text", "unstructured")}
+    assert {(r.name, r.format, r.source_type) for r in files.discover(spark, str(tmp_path / "in")).collect()} == {("a.csv", "csv", "structured"), ("b.TXT", "txt", "unstructured")}
     assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "in/a.csv")).collect()] == [("1", "2"), ("3", None)]
     assert tuple(files.text_profile(files.read_texts(spark, str(tmp_path / "in/b.TXT"))).first())[2:4] == (3, 14)
     files.write_splits(spark.createDataFrame([("é", "train"), ("b", "test")], "text string, split string"), str(tmp_path / "out"))
