@@ -6,7 +6,7 @@ pre-tokens of each document and joins them to that dictionary: the most frequent
 and the rest, none of which is frequent, is joined by a shuffle. No ids are made.
 
 Texts are cut into pre-tokens by the tokenizer's own normaliser and pre-tokenizer. Both treat what stands between ASCII
-white space by itself, so that is done once for each such word of a task and remembered.
+white space by itself, so words are counted first and each different one is cut once.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from operator import mul
 
 import pyarrow as pa
 import xxhash
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .bpe import byte_characters
 from .common import discard, materialise
 
 FREQUENT = 200_000  #: pre-tokens that are sent to the tasks, at most
@@ -30,9 +32,13 @@ SPECIAL = "\0"  #: the pre-token that stands for a special token; ASCII white sp
 
 
 class PreTokens:
-    """Cuts words into the pre-tokens of a tokenizer file, and pre-tokens into pieces."""
+    """Cuts words into the pre-tokens of a tokenizer file, and pre-tokens into pieces.
 
-    REMEMBERED = 300_000
+    Most words are letters of Latin-1 with at most one mark after them. Of a tokenizer that puts these in lower case and
+    parts the mark from the letters, no more need be asked; whether it does is found out with every letter and mark.
+    """
+
+    MARKS = ",.!?;:"
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -42,31 +48,41 @@ class PreTokens:
         self.pre_tokenise = tokenizer.pre_tokenizer.pre_tokenize_str
         self.tokenise = tokenizer.model.tokenize
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
-        self.seen: dict[bytes, tuple[str, ...]] = {}
+        self.characters = dict(enumerate(byte_characters()))
+        letters = [c for c in map(chr, range(0x100)) if c.isalpha()]
+        probes = [w for c in letters for w in (c, f"a{c}", f"{c}a", f"Z{c}{c}e")] + [f"aB{m}" for m in self.MARKS] + ["".join(letters)]
+        self.plainly = all(self._simple(w) == self._asked(w) for w in probes)
 
     def cut(self, word: bytes) -> tuple[str, ...]:
         """The pre-tokens of a word (UTF-8); SPECIAL for a special token.
 
         The pre-tokenizer writes bytes as printable characters, so no pre-token holds a control character.
         """
-        found = self.seen.get(word)
-        if found is None:
-            text, parts, at = word.decode("utf-8", "replace"), [], 0
-            for m in self.special.finditer(text):
-                parts += [*self._plain(text[at : m.start()]), SPECIAL]
-                at = m.end()
-            found = tuple(parts + self._plain(text[at:]))
-            if len(self.seen) >= self.REMEMBERED:
-                self.seen.clear()
-            self.seen[word] = found
-        return found
+        if self.plainly and word.isalpha():  # of ASCII letters, as bytes have it
+            return (word.lower().decode("ascii"),)
+        text = word.decode("utf-8", "replace")
+        return self.plainly and self._simple(text) or self._asked(text)
+
+    def _simple(self, word: str) -> tuple[str, ...] | None:
+        body, mark = (word[:-1], (word[-1],)) if word[-1] in self.MARKS else (word, ())
+        if not body.isalpha() or max(body) > "\xff":
+            return None
+        low = body.lower()
+        return (low if low.isascii() else low.encode().decode("latin-1").translate(self.characters), *mark)
+
+    def _asked(self, text: str) -> tuple[str, ...]:
+        parts, at = [], 0
+        for m in self.special.finditer(text):
+            parts += [*self._plain(text[at : m.start()]), SPECIAL]
+            at = m.end()
+        return tuple(parts + self._plain(text[at:]))
 
     def _plain(self, text: str) -> list[str]:
         return [piece for piece, _ in self.pre_tokenise(self.normalise(text))] if text else []
 
-    def of(self, text: bytes) -> Counter[str]:
-        """How often each pre-token is in a text."""
-        words, found = Counter(text.split()), Counter()
+    def of(self, words: Counter[bytes]) -> Counter[str]:
+        """How often each pre-token is in words."""
+        found: Counter[str] = Counter()
         for word, n in words.items():
             for p in self.cut(word):
                 found[p] += n
@@ -82,23 +98,23 @@ def key_of(pre_token: str) -> str:
 
 
 def frequencies(texts: DataFrame, path: str, most: int = 200_000) -> DataFrame:
-    """pre_token, n: how often each pre-token is in all of `texts` (text, binary). A task adds up those it met before the
-    shuffle, at most `most` different ones at a time."""
+    """pre_token, n: how often each pre-token is in all of `texts` (text, binary). A task adds up the words it met before it
+    cuts them, about `most` different ones at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = PreTokens(path), Counter()
+        own, words = PreTokens(path), Counter()
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["pre_token", "n"])
-            total.clear()
-            return batch
+            total = own.of(words)
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["pre_token", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                total.update(own.of(text or b""))
-                if len(total) >= most:
+                words.update((text or b"").split())
+                if len(words) >= most:
                     yield out()
-        if total:
+        if words:
             yield out()
 
     return texts.mapInArrow(run, "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("n"))
@@ -117,9 +133,20 @@ def dictionary(counted: DataFrame, path: str) -> DataFrame:
 
 
 def _least_frequent(known: DataFrame, most: int) -> int:
-    """How often a pre-token must be met to be sent to the tasks: at most `most` are met so often."""
-    total = known.agg(F.sum("n")).first()[0] or 0
-    return total // most + 1
+    """How often a pre-token must be met to be sent to the tasks, so that at most `most` are.
+
+    Pre-tokens are counted by their frequency on a scale of eight steps to the doubling: a few hundred numbers come to the
+    driver. Of those left out none is met more often than about one in `most` of all.
+    """
+    step = F.floor(F.log2("n") * 8)
+    steps = known.groupBy(step.alias("step")).agg(F.min("n").alias("least"), F.count("*").alias("size")).collect()
+    least, sent = 1 + max((r.least for r in steps), default=0) * 2, 0
+    for r in sorted(steps, key=lambda r: -r.step):
+        sent += r["size"]
+        if sent > most:
+            break
+        least = r.least
+    return least
 
 
 def count_tokens(docs: DataFrame, path: str, *, limit: int = 2048, frequent: int = FREQUENT) -> DataFrame:
@@ -147,25 +174,52 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 2048, frequent: int
     return counts.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+class Sizes(dict):
+    """Pieces of words (UTF-8) all of whose pre-tokens are frequent. Others count 0 and are noted down."""
+
+    REMEMBERED = 400_000
+
+    def __init__(self, path: str, known: dict[str, int]):
+        super().__init__()
+        self.own, self.known, self.new = PreTokens(path), known, []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        return 0
+
+    def of(self, text: bytes) -> tuple[int, Counter[str]]:
+        """The pieces of a text's frequent pre-tokens, and how often it has each of the others."""
+        words, rare = Counter(text.split()), Counter()
+        total = sum(map(mul, map(self.__getitem__, words), words.values()))
+        if len(self) > self.REMEMBERED:
+            self.clear()
+        for word in self.new:
+            n, pieces, sure = words[word], 0, True
+            for p in self.own.cut(word):
+                key = key_of(p)
+                size = self.known.get(key)
+                if size is None:
+                    rare[key] += n
+                    sure = False
+                else:
+                    pieces += size
+            total += n * pieces
+            if sure:
+                self[word] = pieces
+        self.new.clear()
+        return total, rare
+
+
 def _summed(texts: DataFrame, path: str, frequent: Callable[[], dict[str, int]], doc_type: str) -> DataFrame:
     """doc_id, n_bytes, sure, rare: the pieces of each text's frequent pre-tokens, and how often it has each of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = PreTokens(path), frequent()
+        own = Sizes(path, frequent())
         for batch in batches:
-            sizes, sure, rare = [], [], []
-            for text in batch.column(1).to_pylist():
-                raw, total, others = text or b"", 0, []
-                for p, n in own.of(raw).items():
-                    pieces = known.get(p) if len(p) <= LONG else known.get(key_of(p))
-                    if pieces is None:
-                        others.append({"key": key_of(p), "n": n})
-                    else:
-                        total += n * pieces
-                sizes.append(len(raw))
-                sure.append(total)
-                rare.append(others)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sure, pa.int64()), pa.array(rare, pa.list_(pa.struct([("key", pa.string()), ("n", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "sure", "rare"])
+            texts = [text or b"" for text in batch.column(1).to_pylist()]
+            found = [own.of(text) for text in texts]
+            rare = [[{"key": key, "n": n} for key, n in others.items()] for _, others in found]
+            columns = [pa.array(map(len, texts), pa.int64()), pa.array([total for total, _ in found], pa.int64()), pa.array(rare, pa.list_(pa.struct([("key", pa.string()), ("n", pa.int64())])))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "sure", "rare"])
 
     return texts.mapInArrow(run, f"doc_id {doc_type}, n_bytes long, sure long, rare array<struct<key:string,n:long>>")
