@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
@@ -24,7 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, materialise
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
+OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
+#: A tag whose quotes are closed, and one that ends at the next ">" whatever its quotes say. Neither gives back what it took.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>""")
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|hidden|style|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 # Fixed sets of HTML element names, by what the HTML standard says of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,34 +64,77 @@ class Node:
         self.name, self.out, self.children = name, out, []
 
 
+BARRIERS = frozenset("article main body td table".split())
+
+
+class _Open:
+    """The open elements, with their places by name, so that a close tag finds its own at once."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.barriers = [root], defaultdict(list), []
+
+    def push(self, node: Node) -> None:
+        self.places[node.name].append(len(self.stack))
+        if node.name in BARRIERS:
+            self.barriers.append(len(self.stack))
+        self.stack.append(node)
+
+    def pop(self) -> None:
+        name = self.stack.pop().name
+        self.places[name].pop()
+        if name in BARRIERS:
+            self.barriers.pop()
+
+    def close(self, name: str) -> None:
+        """Close the innermost element of a name and all within it; one of prose only inside the innermost article or cell."""
+        own = self.places[name]
+        if not own or name in INLINE | PROSE and self.barriers and self.barriers[-1] > own[-1]:
+            return
+        for _ in range(len(self.stack) - own[-1]):
+            self.pop()
+
+
 def parse(page: str) -> Node:
-    """The page as a tree. Unclosed and misnested elements are closed as browsers do in the common cases."""
+    """The page as a tree. Unclosed and misnested elements are closed as browsers do in the common cases.
+
+    The time is in proportion to the page: no part of it is looked at again after a tag was not found there. Where a quote
+    in a tag is never closed, from there on tags end at the next ">"; what follows the last ">" is text.
+    """
     root = Node("", False)
-    stack, at, end = [root], 0, len(page)
+    open_now, at, end, last, tag = _Open(root), 0, len(page), page.rfind(">"), TAG
     while at < end:
-        m = TOKEN.search(page, at)
-        if m is None:
-            stack[-1].children.append(page[at:])
+        m = OPEN.search(page, at)
+        i = m.start() if m else end
+        kind = m[0] if m else ""
+        if kind not in ("<!--", "<![CDATA[") and i > last:
+            i = end
+        if i > at:
+            open_now.stack[-1].children.append(page[at:i])
+        if i == end:
             break
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        if kind in ("<!--", "<![CDATA["):
+            close = "-->" if kind == "<!--" else "]]>"
+            found = page.find(close, i + len(kind))
+            at = found + len(close) if found >= 0 else end
             continue
+        if kind in ("<!", "<?"):
+            at = page.find(">", i) + 1
+            continue
+        m = tag.match(page, i)
+        if m is None:
+            tag = LOOSE_TAG
+            m = tag.match(page, i)
+        at = m.end()
         name = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
-                if stack[k].name in ("article", "main", "body", "td", "table") and name in INLINE | PROSE:
-                    break
+            open_now.close(name)
             continue
+        stack = open_now.stack
         if name in CLOSES_P:
-            while len(stack) > 1 and (stack[-1].name == "p" or stack[-1].name in INLINE and any(x.name == "p" for x in stack)):
-                stack.pop()
+            while len(stack) > 1 and (stack[-1].name == "p" or stack[-1].name in INLINE and open_now.places["p"]):
+                open_now.pop()
         elif name in ("li", "dd", "dt", "tr", "td", "th", "option") and stack[-1].name == name:
-            stack.pop()
+            open_now.pop()
         node = Node(name, name in NOT_TEXT or _marked(name, m[3]))
         stack[-1].children.append(node)
         if name in VOID or m[3].endswith("/"):
@@ -96,7 +143,7 @@ def parse(page: str) -> Node:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        stack.append(node)
+        open_now.push(node)
     return root
 
 
