@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,kind:int,stop:int,hit:string>>"
+BLOCK = 128  #: matches that are placed together
 
 
 def find(text: Column, pattern: str, kind: int) -> Column:
@@ -27,7 +28,18 @@ def find(text: Column, pattern: str, kind: int) -> Column:
         span = F.struct(first.alias("start"), F.lit(kind).alias("kind"), after.alias("stop"), x["hit"].alias("hit"))
         return F.struct(after.alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
 
-    return F.when(text.rlike(pattern), F.aggregate(step, start, add, lambda acc: acc["found"])).otherwise(none)
+    # An array that grows by one is copied each time, so matches are placed within blocks and the blocks one after another.
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(step, b * BLOCK + 1, BLOCK), start, add))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+
+    def follow(acc: Column, block: Column) -> Column:
+        moved = F.transform(
+            block["found"],
+            lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["kind"].alias("kind"), (s["stop"] + acc["at"]).alias("stop"), s["hit"].alias("hit")),
+        )
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["found"], F.array(moved)).alias("found"))
+
+    return F.when(text.rlike(pattern), F.flatten(F.aggregate(blocks, begin, follow, lambda acc: acc["found"]))).otherwise(none)
 
 
 def written(spans: Column, kinds: list[str]) -> Column:
