@@ -25,7 +25,8 @@ KINDS = ["email", "ip", "card", "phone"]
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 LOCAL_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# A run of digits is taken whole or not at all, so that a long one is looked at once.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -45,14 +46,22 @@ ONE_SPELLED = re.compile(rf"(?<![^\W_]){_WORD}(?![^\W_])", re.I)
 RUN = re.compile(rf"(?<![^\W_])(?:{_WORD}(?![^\W_])|[0-9]+)(?:[\x20,.-]{{1,2}}(?:{_WORD}(?![^\W_])|[0-9]+))*", re.I)
 DIGIT_TOKEN = re.compile(rf"({_WORD})(?![^\W_])|[0-9]+", re.I)
 PLUS = re.compile(r"(?<![^\W_])plus\x20+(?=[0-9])", re.I)
-BRACKETED = re.compile(r"\x20?[\[({<]\x20?(?:(at|arroba)|(dot|punkt|point|punto)|(@)|(\.))\x20?[\])}>]\x20?", re.I)
+BRACKETED = re.compile(r"\x20?[\[({<]\x20?(?:(at|arroba|arobase)|(dot|punkt|point|punto)|(@)|(\.))\x20?[\])}>]\x20?", re.I)
 SPACED_DOT = re.compile(r"(?<=[A-Za-z0-9_%+-])\x20(?:dot|punkt|point|punto)\x20(?=[A-Za-z0-9])", re.I)
-SPACED_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])\x20(?:(at)|arroba)\x20(?=[A-Za-z0-9-])", re.I)
-# Fixed list of words that stand before "at" and a site's name in prose.
-BEFORE_AT = frozenset(
-    "look see find us me them now here it more available online visit work works working page out sold buy is are was be him her you read learn meet sign up arrive hosted "
-    "live found only also site shop order register call write stay stop start begin located based aimed arrived looking looked seen listed posted published and or just still".split()
+SPACED_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])\x20(?:(at)|arroba|arobase)\x20(?=[A-Za-z0-9-])", re.I)
+#: An address with its signs written between underscores.
+UNDERSCORED = re.compile(r"(?<![A-Za-z0-9_])([A-Za-z0-9.+-]+)_at_([A-Za-z0-9-]+(?:_dot_[A-Za-z0-9-]+)+)(?![A-Za-z0-9_])", re.I)
+#: The ideographic full stop inside a name in ASCII.
+IDEOGRAPHIC_DOT = re.compile(r"(?<=[A-Za-z0-9])[\u3002\uff61](?=[a-z0-9])")
+SOFT_HYPHEN = "\u00ad"
+#: What stands before the name of a mailbox where an address is given: a word for mail or for writing, and small words.
+CUE = re.compile(
+    r"(?<![^\W_])(?:e-?mails?|mails?|mailto|contact|write|reach|address|forward|courriel|adresse|contactez|[ée]crire|[ée]crivez|kontakt|schreib\w*|schick\w*|correo|escrib\w*|contacto)"
+    r"(?:\x20?[:=]\x20?|\x20(?:(?:to|is|a|à|zu|an|es|est|ist|unter|the|al|von|de)\x20){0,2})\Z",
+    re.I,
 )
+# Fixed list of words that are no mailbox's name even there: "write me at example.com".
+NO_NAME = frozenset("me us him her them you it all one more here now out moi nous lui leur mir uns ihm ihr ihnen nos le les este ellos".split())
 #: A host that ends in letters.
 HOST = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])")
 
@@ -115,6 +124,8 @@ def plain(character: str) -> str:
     """The ASCII characters that a character imitates; itself if it imitates none."""
     if character in _LOOKS:
         return _LOOKS[character]
+    if character == SOFT_HYPHEN:
+        return ""
     if character < "ɐ":
         return character
     if unicodedata.category(character) == "Cf":
@@ -123,6 +134,10 @@ def plain(character: str) -> str:
     return folded if folded.isascii() and len(folded) == 1 else character
 
 
+def imitates(character: str) -> bool:
+    return (character >= "ɐ" or character == SOFT_HYPHEN) and plain(character) != character
+
+
 def folded(text: str) -> str:
     """The text in lower case, as `re.I` sees it."""
     return text.replace("İ", "i").replace("ı", "i").replace("ſ", "s").lower()
@@ -130,13 +145,14 @@ def folded(text: str) -> str:
 
 def disguised(text: str) -> bool:
     """Whether any step of `normalise` has something to undo in the text as it is; if none has, none ever will."""
-    if not text.isascii() and any(c >= "ɐ" and plain(c) != c for c in set(text)):
+    if not text.isascii() and (any(map(imitates, set(text))) or IDEOGRAPHIC_DOT.search(text)):
         return True
     low = folded(text)
     return (
         (" dot " in low or " punkt " in low or " point " in low or " punto " in low) and SPACED_DOT.search(text) is not None
         or ("plus " in low and PLUS.search(text) is not None)
-        or ((" at " in low or " arroba " in low) and bool(_at_edits(text)))
+        or ((" at " in low or " arroba " in low or " arobase " in low) and bool(_at_edits(text)))
+        or ("_at_" in low and UNDERSCORED.search(text) is not None)
         or BRACKETED.search(text) is not None
         or (any(w in low for w in DIGITS) and ONE_SPELLED.search(text) is not None)
     )
@@ -173,11 +189,38 @@ def _digit_edits(text: str, fuse: bool) -> tuple[list[tuple[int, int, str]], boo
     return edits, apart
 
 
+def _underscore_edits(text: str) -> list[tuple[int, int, str]]:
+    """Edits that write "_at_" and "_dot_" in an address as their signs."""
+    edits = []
+    for m in UNDERSCORED.finditer(text):
+        edits.append((m.end(1), m.start(2), "@"))
+        edits += [(*d.span(), ".") for d in re.compile("_dot_", re.I).finditer(text, *m.span(2))]
+    return edits
+
+
+def _is_mailbox(text: str, start: int, end: int, after: int) -> bool:
+    """Whether text[start:end], before an "at" whose host ends at `after`, is the name of a mailbox, by what it looks like and
+    what stands around it."""
+    name = text[start:end].strip(".")
+    if not any(c.isalpha() for c in name):
+        return False
+    # Words have no digits, underscores or plus signs, and no dots between parts of which one is longer than a letter or two.
+    if any(c in "0123456789_%+" for c in name) or "." in name and max(map(len, name.split("."))) > 2:
+        return True
+    if name.lower() in NO_NAME:
+        return False
+    if CUE.search(text, max(0, start - 60), start):
+        return True
+    return text[max(0, start - 1) : start] == "<" and text[after : after + 1] == ">"
+
+
 def _at_edits(text: str, undone: Callable[[int], bool] = lambda i: False) -> list[tuple[int, int, str]]:
     """Edits that write a spaced "at" before a host as its sign.
 
-    Prose says "look at example.com" too: an "at" counts if a dot of the host was disguised in any way, which
-    `undone` says of a place, or if the name before it is no word that prose has there and the host no "www." site.
+    Prose says "we met at example.com" too, so an "at" needs evidence: a dot of the host that was disguised in any way, which
+    `undone` says of a place; or a name that no word looks like, one that a word for mail or writing leads to, or an address
+    in angle brackets, where the host is no "www." site. Other languages' words for the sign
+    are never prose before a host.
     """
     edits = []
     for s in SPACED_AT.finditer(text):
@@ -188,10 +231,9 @@ def _at_edits(text: str, undone: Callable[[int], bool] = lambda i: False) -> lis
             start = s.start()
             while start and text[start - 1] in LOCAL_CHARACTERS:
                 start -= 1
-            name = text[start : s.start()].strip(".")
             dots = (i for i in range(*host.span()) if text[i] == ".")
-            prose = name.lower() in BEFORE_AT or host[0].lower().startswith("www.") or not any(c.isalpha() for c in name)
-            if prose and not any(map(undone, dots)):
+            given = not host[0].lower().startswith("www.") and _is_mailbox(text, start, s.start(), host.end())
+            if not given and not any(map(undone, dots)):
                 continue
         edits.append((*s.span(), "@"))
     return edits
@@ -200,12 +242,14 @@ def _at_edits(text: str, undone: Callable[[int], bool] = lambda i: False) -> lis
 def normalise(text: str, *, fuse: bool = False) -> tuple[Mapped, bool]:
     """Homoglyphs, then spelled digits, then disguised signs; and whether `fuse` would join more digits."""
     m = Mapped(text)
-    m.rewrite([(i, i + 1, p) for i, c in enumerate(m.text) if c >= "ɐ" and (p := plain(c)) != c])
+    m.rewrite([(i, i + 1, plain(c)) for i, c in enumerate(m.text) if imitates(c)])
+    m.rewrite([(*d.span(), ".") for d in IDEOGRAPHIC_DOT.finditer(m.text)])
     edits, apart = _digit_edits(m.text, fuse)
     m.rewrite(edits)
     m.rewrite([(*p.span(), "+") for p in PLUS.finditer(m.text)])
     m.rewrite([(*b.span(), "@" if b[1] or b[3] else ".") for b in BRACKETED.finditer(m.text)])
     m.rewrite([(*d.span(), ".") for d in SPACED_DOT.finditer(m.text)])
+    m.rewrite(_underscore_edits(m.text))
     m.rewrite(_at_edits(m.text, lambda i: text[m.first[i] : m.last[i]] != "."))
     return m, apart
 
