@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, carried, discard, join_spread, map_batches, materialise, maybe_in, released, row_key, whole_text
+from .common import ROW, carried, discard, join_spread, map_batches, materialise, maybe_in, released, row_key, second_key, whole_text
 
 BITS = 64
 
@@ -153,21 +153,22 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, distance: int = 4) ->
 def keep_one(docs: DataFrame, *, shingle: int = 4, distance: int = 4) -> DataFrame:
     """One row, with all columns of `docs`, of each component: the one with the least doc_id, then the least content key.
 
-    Rows are known by a hash of doc_id and text, so rows of one doc_id, or of none, are told apart; of rows alike in both
+    Rows are known by two hashes of doc_id and text, so rows of one doc_id, or of none, are told apart; of rows alike in both
     any one stands for all. Null doc_ids come last: such a row stays if its component has no other. Columns of any other
     names keep their values. An empty table gives an empty result.
     """
     used: list[str] = []
-    key = row_key(docs["doc_id"], docs["text"])
-    prints = materialise(with_fingerprints(docs.select("doc_id", "text", key.alias("key")), shingle), "prints", used)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    named = least_by_component(prints, order, distance, used).select("print", F.col("least.key").alias("least"))
-    keys = join_spread(prints, named, ["print"]).groupBy("key").agg(F.count("*").alias("n"), F.bool_or(F.col("key") == F.col("least")).alias("stays"))
+    keys = lambda doc_id, text: (row_key(doc_id, text).alias("key"), second_key(doc_id, text).alias("second"))
+    prints = materialise(with_fingerprints(docs.select("doc_id", "text", *keys(docs["doc_id"], docs["text"])), shingle), "prints", used)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "second")
+    named = least_by_component(prints, order, distance, used).select("print", F.struct("least.key", "least.second").alias("least"))
+    mine = F.struct("key", "second")
+    found = join_spread(prints, named, ["print"]).groupBy("key", "second").agg(F.count("*").alias("n"), F.bool_or(mine == F.col("least")).alias("stays"))
     # Most rows stay and are alone: only those that a bitmap of the others does not rule out are shuffled.
-    others = materialise(keys.where("n > 1 or not stays"), "others")
+    others = materialise(found.where("n > 1 or not stays"), "others")
     discard(docs.sparkSession, used)
-    marked = carried(docs).withColumn("key", row_key(F.col(f"{ROW}.doc_id"), F.col(f"{ROW}.text")))
+    marked = carried(docs).select(ROW, *keys(F.col(f"{ROW}.doc_id"), F.col(f"{ROW}.text")))
     marked = marked.withColumn("maybe", maybe_in(others)("key"))
-    gone = others.where("not stays").select("key")
-    concerned = marked.where("maybe").join(gone.hint("merge"), "key", "left_anti").dropDuplicates(["key"])
+    gone = others.where("not stays").select("key", "second")
+    concerned = marked.where("maybe").join(gone.hint("merge"), ["key", "second"], "left_anti").dropDuplicates(["key", "second"])
     return released(marked.where("not maybe").select(ROW).unionByName(concerned.select(ROW)))
