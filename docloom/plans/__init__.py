@@ -9,3 +9,4 @@ from docloom.plans import profiles as profiles  # isort: skip
 from docloom.plans import retrieval as retrieval  # isort: skip
 from docloom.plans import synthesis as synthesis  # isort: skip
 from docloom.plans import operations as operations  # isort: skip
+from docloom.plans import catalogue as catalogue  # isort: skip
