@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators import graph
-
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -45,24 +43,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, same: str | Non
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def ann(vectors: DataFrame, queries: DataFrame, k: int = 5, *, lists: int = 16, probes: int = 13, sample: int = 10_000, steps: int = 20) -> DataFrame:
-    """query_id, vec_id, score, rank: about the k most similar of `vectors` (vec_id, embedding) for each of `queries`.
-
-    Vectors of length 1 are dealt to `lists` by the nearest of as many centroids, and a query looks through the `probes` lists
-    nearest to it. Centroids are fitted on at most `sample` vectors, the least by a hash of their number; every vector is
-    indexed. Fewer probes are faster and find less: on vectors without clusters a share of about probes / lists and some.
-    """
-    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
-    unit = lambda frame: frame.withColumn("norm", norm).select("vec_id", F.transform("embedding", lambda x: x / F.col("norm")).alias("embedding"))
-    given = unit(vectors)
-    chosen = given.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
-    centroids = graph.kmeans(chosen, [r.embedding for r in chosen.limit(lists).collect()], most=steps)
-    indexed = given.withColumn("list", graph.nearest(centroids))
-    near = F.slice(F.array_sort(graph.distances(centroids))["cluster"], 1, probes)
-    probed = unit(queries).select("vec_id", "embedding", F.explode(near).alias("list"))
-    return top_k(indexed, probed, k, same="list")
-
-
 def leakage(held_out: DataFrame, train: DataFrame) -> DataFrame:
     """item_id, side, doc_id: rows of `held_out` (item_id, question, context) whose lower-cased, trimmed question or context
     is that of a row of `train` (doc_id, question, context), and the last such, for each side by itself."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import entities, graph, search, text
+from docloom.operators import entities, graph, text, vector_index
 from docloom.plans.registry import ORACLE_SQL, QUERIES, _query
 
 
@@ -116,7 +116,7 @@ _NEAR = 0.5
 def _semantic(b: DataFrame) -> DataFrame:
     """Links from each text to at most five whose mock vectors have a cosine of _NEAR or more."""
     vectors = b.select(F.col("item_id").alias("vec_id"), text.mock_embedding(F.col("text")).alias("embedding"))
-    near = search.top_k(vectors, vectors, 5).where(F.col("score") >= _NEAR)
+    near = vector_index.exact(vectors, vectors, 5).where(F.col("score") >= _NEAR)
     return near.select(F.col("query_id").alias("source"), F.col("vec_id").alias("target"), F.lit("semantic").alias("type"), F.col("score").alias("confidence"), F.lit(0).cast("long").alias("shared"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import retrieval, search
+from docloom.operators import retrieval, search, vector_index
 from docloom.plans.registry import QUERIES, _query, _query2
 
 _cos = "round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) + {eps}), 6)"
@@ -44,7 +44,12 @@ _query("cosine_pairs", "embeddings", f"SELECT q.vec_id, {_cos.format(eps='1e-8')
     lambda e: e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select("vec_id", F.round(search.cosine(F.col("embedding"), F.col("other"), 1e-8), 6).alias("score"))
 )
 # Approximate: a test measures how much of the exact result it finds.
-QUERIES["vector_ann"] = lambda spark, sf_dir: (lambda e: search.ann(e, _asked(e)))(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vector_index.search(vectors, _asked(vectors), vector_index.build(vectors, vector_index.fit(vectors)))
+
+
+QUERIES["vector_ann"] = _near
 _query("rerank", "events", "SELECT user_id AS query_id, event_id AS vec_id, row_number() OVER (PARTITION BY user_id ORDER BY round(value / 100, 6) DESC, event_id) AS rank FROM events")(
     lambda e: retrieval.reranked(e.select(F.col("user_id").alias("query_id"), F.col("event_id").alias("vec_id"), F.round(F.col("value") / 100, 6).alias("score"))).select("query_id", "vec_id", "rank")
 )
