@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.udtf import UserDefinedTableFunction
+
+Length = Callable[[str], int]
 
 # Separators in the order in which they are tried, stop words, and first words that key phrases may not have.
 SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
@@ -19,8 +23,9 @@ WORD = re.compile(r"\b[a-zA-Z]{3,}\b")
 CHUNKS = "array<struct<chunk_index:long,start_char:long,end_char:long,content:string>>"
 
 
-def split_recursively(text: str, separators: list[str], size: int, overlap: int) -> list[str]:
-    """Pieces by the first separator that occurs; those too long are split by the later ones and come first, the rest is merged."""
+def split_recursively(text: str, separators: list[str], size: int, overlap: int, length: Length = len) -> list[str]:
+    """Pieces by the first separator that occurs; those too long by `length` are split by the later ones and come first, the
+    rest is merged. The overlap is in characters."""
     at = next((i for i, s in enumerate(separators) if s in text), len(separators) - 1)
     separator, finer = separators[at], separators[at + 1 :]
     pieces = text.split(separator) if separator else list(text)
@@ -28,37 +33,37 @@ def split_recursively(text: str, separators: list[str], size: int, overlap: int)
     for piece in pieces:
         if small:
             small[-1] += separator
-        if len(piece) < size or not finer:
+        if length(piece) < size or not finer:
             small.append(piece)
         else:
-            out += split_recursively(piece, finer, size, overlap)
+            out += split_recursively(piece, finer, size, overlap, length)
     buffer = ""
     for piece in small:
-        if buffer and len(buffer) + len(piece) > size:
+        if buffer and length(buffer) + length(piece) > size:
             out.append(buffer)
             buffer = buffer[-overlap:] if overlap else ""
         buffer += piece
     return [*out, buffer] if buffer else out
 
 
-def split_sentences(text: str, size: int, overlap: int) -> list[str]:
-    """Whole sentences up to `size`; a longer one is alone. The last sentences that fit in `overlap` are said again."""
+def split_sentences(text: str, size: int, overlap: int, length: Length = len) -> list[str]:
+    """Whole sentences up to `size` by `length`; a longer one is alone. The last sentences that fit in `overlap` are said again."""
     out, held, used = [], [], 0
     for sentence in filter(None, (s.strip() for s in re.split(r"(?<=[.!?])\s+", text))):
-        if len(sentence) > size:
+        if length(sentence) > size:
             out += [" ".join(held)] if held else []
             out.append(sentence)
             held, used = [], 0
             continue
-        if held and used + len(sentence) + 1 > size:
+        if held and used + length(sentence) + 1 > size:
             out.append(" ".join(held))
             first, used = len(held), 0
-            while first and used + len(held[first - 1]) <= overlap:
+            while first and used + length(held[first - 1]) <= overlap:
                 first -= 1
-                used += len(held[first])
+                used += length(held[first])
             held = held[first:]
         held.append(sentence)
-        used += len(sentence) + 1
+        used += length(sentence) + 1
     return [*out, " ".join(held)] if held else out
 
 
@@ -83,6 +88,31 @@ def chunks(docs: DataFrame, *, size: int = 1000, overlap: int = 200, by_sentence
     return docs.select("doc_id", F.inline(cut("text")))
 
 
+def chunk_function(*, size: int = 1000, overlap: int = 200, by_sentence: bool = False, length: Length = len) -> UserDefinedTableFunction:
+    """A table function of a text: its chunks, measured by the caller's `length`, row by row as they are taken.
+
+    For `lateralJoin`, or for SQL under the name that `spark.udtf.register` gives it. Null and blank texts have no chunk.
+    """
+
+    class Cut:
+        def eval(self, text: str) -> Iterator[tuple[int, int, int, str]]:
+            if text:
+                pieces = split_sentences(text, size, overlap, length) if by_sentence else split_recursively(text, SEPARATORS, size, overlap, length)
+                yield from placed(pieces)
+
+    return F.udtf(Cut, returnType="chunk_index long, start_char long, end_char long, content string")
+
+
+def chunks_by(docs: DataFrame, length: Length, *, size: int = 1000, overlap: int = 200, by_sentence: bool = False) -> DataFrame:
+    """doc_id, chunk_index, start_char, end_char, content of `docs` (doc_id, text), with sizes by the caller's `length`."""
+    cut = chunk_function(size=size, overlap=overlap, by_sentence=by_sentence, length=length)
+    return docs.select("doc_id", "text").lateralJoin(cut(F.col("text").outer())).select("doc_id", "chunk_index", "start_char", "end_char", "content")
+
+
+def word_count(text: str) -> int:
+    return len(text.split())
+
+
 def summary_of(text: str, most: int, focus: tuple[str, ...] = ()) -> str:
     """The `most` best sentences in text order; the text itself if it has no more sentences of over 20 characters."""
     found = [s.strip() for s in re.split(r"(?<=[.!?])\s+", text) if len(s.strip()) > 20]

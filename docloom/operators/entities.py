@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators import spans
+from docloom.operators.graph import kept
 
 # Fixed patterns of the entity kinds, in the order in which they are tried, all in either case.
 PATTERNS = {
@@ -93,22 +94,40 @@ def sets(rows: DataFrame, least: int) -> DataFrame:
     return grouped.select("doc_id", F.col("e.entity").alias("members")).where(F.size("members") >= least)
 
 
-def links(rows: DataFrame, least: int, *, classes: bool = True) -> DataFrame:
+def paired(long: DataFrame, most: int | None = None) -> DataFrame:
+    """a, m_a, b, m_b: pairs of rows of `long` (doc_id, members, entity) with the same entity and doc_ids a < b.
+
+    The rows of an entity with more than `most` (a thousandth of all, 1,000 at least) are dealt to cells by doc_id, and each
+    pair of cells is a key of its own: a row goes to as many tasks as there are cells, and no task has all rows of an entity.
+    """
+    long = kept(long)
+    counts = long.groupBy("entity").agg(F.count("*").alias("n"))
+    most = most or max(HOT, (long.count() + HOT - 1) // HOT)
+    hot = F.broadcast(counts.where(F.col("n") > most).select("entity", F.ceil(F.col("n") / most).cast("int").alias("cells")))  # fewer than HOT
+    dealt = long.join(hot, "entity", "left").withColumn("cells", F.coalesce("cells", F.lit(1))).withColumn("cell", F.pmod(F.xxhash64("doc_id"), "cells").cast("int"))
+    left = dealt.select("entity", F.col("cell").alias("low"), F.explode(F.sequence("cell", F.col("cells") - 1)).alias("high"), F.col("doc_id").alias("x"), F.col("members").alias("m_x"))
+    right = dealt.select("entity", F.explode(F.sequence(F.lit(0), "cell")).alias("low"), F.col("cell").alias("high"), F.col("doc_id").alias("y"), F.col("members").alias("m_y"))
+    met = left.join(right, ["entity", "low", "high"]).where((F.col("x") < F.col("y")) | (F.col("low") < F.col("high")) & (F.col("x") > F.col("y")))
+    first = F.col("x") < F.col("y")
+    pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    return met.select(pick("x", "y").alias("a"), pick("m_x", "m_y").alias("m_a"), pick("y", "x").alias("b"), pick("m_y", "m_x").alias("m_b"))
+
+
+def links(rows: DataFrame, least: int, *, classes: bool = True, most: int | None = None) -> DataFrame:
     """a, b (a < b), shared, confidence: documents with at least `least` entities in common; shared / smaller set.
 
     Documents alike in their whole set are one class, told of by its least doc_id, and `members` says whom it stands for;
     without `classes` every document stands for itself. Two
     sets with `least` in common have one in common even without the `least` - 1 most frequent of each, so frequent entities
-    seed pairs only where nothing rarer can.
+    seed pairs only where nothing rarer can. `most` is of `paired`.
     """
     each = sets(rows, least)
     if classes:
         each = each.groupBy("members").agg(F.min("doc_id").alias("doc_id"))
     seeds = F.slice("members", 1, F.size("members") - (least - 1))
     long = each.select("doc_id", "members", F.explode(seeds).alias("entity"))
-    a, b = (long.select(F.col("doc_id").alias(x), F.col("members").alias(f"m_{x}"), "entity") for x in "ab")
     both = F.array_intersect("m_a", "m_b")
-    pairs = a.join(b, "entity").where("a < b").select("a", "b", F.size(both).cast("long").alias("shared"), F.least(F.size("m_a"), F.size("m_b")).alias("smaller"))
+    pairs = paired(long, most).select("a", "b", F.size(both).cast("long").alias("shared"), F.least(F.size("m_a"), F.size("m_b")).alias("smaller"))
     near = pairs.where(F.col("shared") >= least).dropDuplicates(["a", "b"])
     return near.select("a", "b", "shared", F.round(F.col("shared") / F.col("smaller"), 6).alias("confidence"))
 

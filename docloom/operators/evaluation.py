@@ -62,6 +62,14 @@ def ndcg(retrieved: Column, truth: Column, scores: Column) -> Column:
     return F.when(F.size(truth) > 0, F.aggregate(gain, F.lit(0.0), add) / F.aggregate(ideal, F.lit(0.0), add))
 
 
+def ideal_gains(sizes: DataFrame, block: int = 100_000) -> DataFrame:
+    """others, ideal: the sum of 1 / log2(i + 1) for i from 1 to each of `sizes` (others), in blocks of a bounded size."""
+    blocks = sizes.select("others", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(others - 1) div {block}"))).alias("b"))
+    ranks = F.sequence(F.col("b") * block + 1, F.least(F.col("others"), (F.col("b") + 1) * block))
+    each = blocks.select("others", F.aggregate(ranks, F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1)).alias("gain"))
+    return each.groupBy("others").agg(F.sum("gain").alias("ideal"))
+
+
 def retrieval_by_label(hits: DataFrame, labelled: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """query_id, p1, r1, p3, r3, ..., reciprocal_rank, ndcg, context_precision for ranked `hits` (query_id, vec_id, rank,
     score), where rows of the same label in `labelled` (vec_id, label) are true; queries without any are left out.
@@ -71,7 +79,7 @@ def retrieval_by_label(hits: DataFrame, labelled: DataFrame, ks: tuple[int, ...]
     """
     names = labelled.select("vec_id", "label")
     sizes = names.groupBy("label").agg((F.count("*") - 1).alias("others")).where("others > 0")
-    ideal = sizes.select("others").distinct().select("others", F.explode(F.sequence(F.lit(1), F.col("others").cast("int"))).alias("i")).groupBy("others").agg(F.sum(1 / F.log2(F.col("i") + 1)).alias("ideal"))
+    ideal = ideal_gains(sizes.select("others").distinct())
     asked = names.select(F.col("vec_id").alias("query_id"), F.col("label").alias("asked"))
     judged = hits.join(names, "vec_id").join(asked, "query_id").withColumn("hit", F.col("label") == F.col("asked"))
     within = lambda k: F.count_if(F.col("hit") & (F.col("rank") <= k))

@@ -95,6 +95,8 @@ def check_output(docs: DataFrame, *, longest: int = 50_000, suffix: str = "... [
 
 
 def check_context(chunks: DataFrame) -> DataFrame:
-    """group_id, chunks: the masked chunks of each group of `chunks` (group_id, rank, text), by rank."""
-    inorder = F.sort_array(F.collect_list(F.struct("rank", masked(F.col("text")).alias("text"))))
-    return chunks.groupBy("group_id").agg(inorder["text"].alias("chunks"))
+    """group_id, rank, text: every chunk of `chunks` (group_id, rank, text) masked, in a row of its own; null texts stay null.
+
+    A context is read from these rows by rank. No group is put together here, however many chunks it has.
+    """
+    return chunks.select("group_id", "rank", masked(F.col("text")).alias("text"))

@@ -116,9 +116,11 @@ def edge_cases(asked: DataFrame, *, one_in: int = 10) -> DataFrame:
     return chosen.select("doc_id", filled(pattern, topic=F.col("topic")).alias("question"), filled(F.lit(EDGE_ANSWER), topic=F.col("topic")).alias("answer"))
 
 
-def negatives(pairs: DataFrame, *, parts: int = 64) -> DataFrame:
+def negatives(pairs: DataFrame, *, parts: int = 64, largest: int = 50_000) -> DataFrame:
     """doc_id, question, answer, other_id, context: every question beside the context of another pair: the next in order of
-    a hash, in a circle within each of `parts` parts of the pairs; a part of one pair gives none."""
+    a hash, in a circle within each part of the pairs; a part of one pair gives none. There are `parts` parts, or as many as
+    keep them at about `largest` pairs."""
+    parts = max(parts, -(-pairs.count() // largest))
     order = F.md5(F.concat(F.lit("42|negative|"), F.col("doc_id").cast("string")))
     part = F.pmod(F.col("doc_id"), F.lit(parts))
     window = Window.partitionBy("part").orderBy("order", "doc_id")

@@ -66,6 +66,7 @@ def access_intervals(events: DataFrame) -> DataFrame:
 
 
 def first_of_each(rows: DataFrame, content: Column, order: str) -> DataFrame:
-    """The first row by `order` of every group of rows alike in `content`."""
-    rank = F.row_number().over(Window.partitionBy(F.md5(content)).orderBy(order))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """The first row by `order` of every group of rows alike in `content`; groups are put together before the shuffle."""
+    row = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    first = rows.select(F.md5(content).alias("_content"), F.col(order).alias("_order"), row.alias("_row")).groupBy("_content").agg(F.min_by("_row", "_order").alias("_row"))
+    return first.select(*(F.col("_row").getField(c).alias(c) for c in rows.columns))

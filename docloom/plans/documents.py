@@ -14,6 +14,7 @@ _read = lambda spark, sf_dir, table: spark.read.parquet(f"{sf_dir}/{table}.parqu
 # Queries that SQL cannot express: tests hold them against worked cases.
 QUERIES["chunk_recursive"] = lambda spark, sf_dir: chunking.chunks(_read(spark, sf_dir, "documents"))
 QUERIES["chunk_sentence"] = lambda spark, sf_dir: chunking.chunks(_read(spark, sf_dir, "documents"), by_sentence=True)
+QUERIES["chunk_by_words"] = lambda spark, sf_dir: chunking.chunks_by(_read(spark, sf_dir, "documents"), chunking.word_count, size=200, overlap=0)
 QUERIES["summarize"] = lambda spark, sf_dir: chunking.summaries(_read(spark, sf_dir, "documents"))
 QUERIES["pii_detect"] = lambda spark, sf_dir: redaction.detect(_read(spark, sf_dir, "documents"))
 QUERIES["pii_redact"] = lambda spark, sf_dir: redaction.redact(_read(spark, sf_dir, "documents"))

@@ -37,6 +37,6 @@ _value = "CASE type " + " ".join(f"WHEN '{k}' THEN regexp_replace(value, '{p}',
 _findings = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for k, p in _P.items())
 _query("guardrail_pii", "documents", f"SELECT doc_id, type, value, {_value} AS masked FROM ({_findings})")(guardrails.findings)
 # Chunks of a context: the texts of each source, by doc_id.
-_query("guardrail_context", "documents", f"{_base}, x AS (SELECT source AS group_id, s.doc_id, masked FROM s JOIN documents d ON s.doc_id = d.doc_id) SELECT group_id, count(*) AS n, md5(string_agg(masked, chr(10) ORDER BY doc_id)) AS chunks_md5 FROM x GROUP BY group_id")(
-    lambda d: guardrails.check_context(d.select(F.col("source").alias("group_id"), F.col("doc_id").alias("rank"), "text")).select("group_id", F.size("chunks").cast("long").alias("n"), F.md5(F.array_join("chunks", "\n")).alias("chunks_md5"))
+_query("guardrail_context", "documents", f"{_base} SELECT source AS group_id, s.doc_id AS rank, md5(masked) AS chunk_md5 FROM s JOIN documents d ON s.doc_id = d.doc_id")(
+    lambda d: guardrails.check_context(d.select(F.col("source").alias("group_id"), F.col("doc_id").alias("rank"), "text")).select("group_id", "rank", F.md5("text").alias("chunk_md5"))
 )

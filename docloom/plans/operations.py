@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import agents, chunking, evaluation, graph, search, stats
+from docloom.operators import agents, chunking, evaluation, graph, search, stats, typed_graph
 from docloom.plans.registry import ORACLE_SQL, QUERIES, _query, _query2
 
 
@@ -80,3 +80,54 @@ _query("key_phrases", "documents", r"""
     n AS (SELECT doc_id, phrase, count(*) AS n, min(i) AS first FROM p GROUP BY 1, 2 HAVING count(*) > 1), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS r FROM n),
     f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS rank FROM r WHERE r <= 20 AND split_part(phrase, ' ', 1) NOT IN ('the', 'of', 'in', 'to', 'and', 'for'))
     SELECT doc_id, rank, phrase, n FROM f WHERE rank <= 5""")(chunking.key_phrases)
+
+
+def _typed(spark, sf_dir: str) -> DataFrame:
+    """Nations are part of regions, customers live in nations, and suppliers trade with nations, which holds both ways."""
+    read = lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    region, nation, customer, supplier = map(read, ("region", "nation", "customer", "supplier"))
+    names = nation.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("target"))
+    part = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_name").alias("source"), F.col("r_name").alias("target"), F.lit("part_of").alias("relation"), F.lit(False).alias("bidirectional"))
+    lives = customer.join(names, F.col("c_nationkey") == F.col("key")).select(F.col("c_name").alias("source"), "target", F.lit("lives_in").alias("relation"), F.lit(False).alias("bidirectional"))
+    trades = supplier.join(names, F.col("s_nationkey") == F.col("key")).select(F.col("s_name").alias("source"), "target", F.lit("trades_with").alias("relation"), F.lit(True).alias("bidirectional"))
+    return part.unionByName(lives).unionByName(trades)
+
+
+_typed_sql = """
+    SELECT n_name AS source, r_name AS target, 'part_of' AS relation, false AS bidirectional FROM nation JOIN region ON n_regionkey = r_regionkey
+    UNION ALL SELECT c_name, n_name, 'lives_in', false FROM customer JOIN nation ON c_nationkey = n_nationkey
+    UNION ALL SELECT s_name, n_name, 'trades_with', true FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
+_TYPES = ["part_of", "trades_with"]
+QUERIES["onto_related_typed"] = lambda spark, sf_dir: typed_graph.related(_typed(spark, sf_dir), "AFRICA", hops=2, types=_TYPES).select(
+    "node", "hops", F.array_join("path", " > ").alias("path"), F.array_join("relations", " > ").alias("relations")
+)
+ORACLE_SQL["onto_related_typed"] = f"""
+    WITH RECURSIVE e AS (SELECT * FROM ({_typed_sql}) WHERE relation IN ('part_of', 'trades_with')),
+    w AS (SELECT source AS a, target AS b, relation FROM e UNION SELECT target, source, relation FROM e),
+    p AS (SELECT 'AFRICA' AS node, 0 AS hops, ['AFRICA'] AS path, CAST([] AS VARCHAR[]) AS relations
+        UNION ALL SELECT b, hops + 1, list_append(path, b), list_append(relations, relation) FROM p JOIN w ON a = p.node WHERE hops < 2 AND NOT list_contains(path, b))
+    SELECT node, min(hops) AS hops, array_to_string(arg_min(path, (hops, path, relations)), ' > ') AS path, array_to_string(arg_min(relations, (hops, path, relations)), ' > ') AS relations FROM p GROUP BY node"""
+QUERIES["onto_relations"] = lambda spark, sf_dir: typed_graph.adjacency(_typed(spark, sf_dir)).groupBy("node", "relation", "direction").agg(F.count("*").alias("n"), F.min("other").alias("first"))
+ORACLE_SQL["onto_relations"] = f"""
+    WITH e AS ({_typed_sql}), w AS (SELECT source AS node, target AS other, relation, 'out' AS direction FROM e UNION SELECT target, source, relation, 'in' FROM e
+        UNION SELECT target, source, relation, 'out' FROM e WHERE bidirectional UNION SELECT source, target, relation, 'in' FROM e WHERE bidirectional)
+    SELECT node, relation, direction, count(*) AS n, min(other) AS first FROM w GROUP BY node, relation, direction"""
+
+
+def _imported(spark, sf_dir: str) -> DataFrame:
+    """The names and aliases of nations and regions, and their ids, from one graph in JSON for each nation."""
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    both = nation.join(region, nation.n_regionkey == region.r_regionkey)
+    key = lambda kind, column: F.concat(F.lit(kind), F.col(column).cast("string"))
+    node = lambda i, name, parent, aliases: F.struct(i.alias("node_id"), name.alias("name"), parent.alias("parent_id"), aliases.alias("aliases"))
+    none = F.lit(None).cast("string")
+    nodes = F.array(node(key("n", "n_nationkey"), F.col("n_name"), key("r", "r_regionkey"), F.array(F.left("n_name", F.lit(3)))), node(key("r", "r_regionkey"), F.col("r_name"), none, F.array().cast("array<string>")))
+    edge = F.array(F.struct(key("n", "n_nationkey").alias("source_id"), key("r", "r_regionkey").alias("target_id"), F.lit("part_of").alias("relation_type"), F.lit(False).alias("bidirectional")))
+    lines = both.select(F.to_json(F.struct(F.col("n_name").alias("name"), nodes.alias("nodes"), edge.alias("relations"))).alias("line"))
+    return graph.lookup(typed_graph.imported(lines)[0])
+
+
+QUERIES["onto_import"] = _imported
+ORACLE_SQL["onto_import"] = """
+    WITH n AS (SELECT 'n' || n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 'n' || n_nationkey, left(n_name, 3) FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name FROM region JOIN nation ON n_regionkey = r_regionkey)
+    SELECT lower(name) AS name, max(id) AS id FROM n GROUP BY lower(name)"""
