@@ -220,14 +220,13 @@ def search(vectors: DataFrame, queries: DataFrame, index: Index, k: int = 5, *,
     return scored.withColumn("rank", best).where(F.col("rank") <= k)
 
 
-def exact(vectors: DataFrame, queries: DataFrame, k: int = 5, *, eps: float = 1e-10) -> DataFrame:
-    """query_id, vec_id, score, rank: the k most similar of `vectors` (vec_id, embedding) for each of `queries`, itself left out.
+def exact(vectors: DataFrame, queries: DataFrame, k: int = 5, *, eps: float = 1e-10, others: bool = True) -> DataFrame:
+    """query_id, vec_id, score, rank: the k most similar of `vectors` (vec_id, embedding) for each of `queries`; of `others`
+    only, a query does not find the vector of its own number.
 
     A block of queries meets a block of vectors in one row of a join, and sends on its k best for each query. The work grows
     as queries times vectors, in tasks of a bounded size; no side is sent to all tasks.
     """
-    id_type = vectors.schema["vec_id"].dataType.simpleString()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
@@ -235,7 +234,7 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int = 5, *, eps: float = 1e
                 yield pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["list", "id", "data"])
 
     def packs(frame: DataFrame, size: int) -> DataFrame:
-        given = frame.where("embedding is not null").select("vec_id", "embedding")
+        given, id_type = frame.where("embedding is not null").select("vec_id", "embedding"), frame.schema["vec_id"].dataType.simpleString()
         return _packed(given.mapInArrow(run, f"list int, id {id_type}, data binary"), size, id_type)
 
     having = kept(packs(vectors, PACK))
@@ -255,6 +254,8 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int = 5, *, eps: float = 1e
                 row = np.repeat(np.arange(len(x)), min(k + 1, len(y)))
                 yield pa.RecordBatch.from_arrays([asking.values.take(pa.array(row)), having.values.take(pa.array(best)), pa.array(like[row, best], pa.float64())], ["query_id", "vec_id", "score"])
 
-    near = blocks.mapInArrow(score, f"query_id {id_type}, vec_id {id_type}, score double").where("query_id <> vec_id")
+    kinds = [frame.schema["vec_id"].dataType.simpleString() for frame in (queries, vectors)]
+    near = blocks.mapInArrow(score, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
+    near = near.where("query_id <> vec_id") if others else near
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -25,6 +25,15 @@ _base = f"""
         WHEN length(text) > 20 AND length(text) - length(regexp_replace(text, '\\p{{Lu}}+', '', 'g')) > 0.7::DOUBLE * length(text) THEN '{guardrails.CAPITALS}' END AS spam FROM w LEFT JOIN c USING (doc_id))
 """
 _injected = " OR ".join(f"regexp_matches(text, '(?i){p}')" for p in text.INJECTION)
+_category = f"CASE WHEN length(text) > 10000 THEN 'long' WHEN trim(text) = '' THEN 'blank' WHEN {_injected} THEN 'injection' WHEN spam IS NOT NULL THEN 'spam' WHEN {_any} THEN 'pii' ELSE 'safe' END"
+
+
+def checked_sql(table: str) -> str:
+    """doc_id, category, question: the rows of a table (doc_id, text) by what the guardrail of input makes of them."""
+    base = _base.replace("FROM documents", f"FROM {table}")
+    return f"{base} SELECT doc_id, category, CASE category WHEN 'pii' THEN masked WHEN 'safe' THEN text END AS question FROM (SELECT *, {_category} AS category FROM s)"
+
+
 _query("guardrail_input", "documents", f"""{_base}, d AS (SELECT *, CASE WHEN length(text) > 10000 THEN 'long' WHEN trim(text) = '' THEN 'blank' WHEN {_injected} THEN 'injection' WHEN spam IS NOT NULL THEN 'spam' WHEN {_any} THEN 'pii' ELSE 'safe' END AS category FROM s)
     SELECT doc_id, category, category IN ('pii', 'safe', 'spam') AS valid, md5(CASE category WHEN 'pii' THEN masked WHEN 'safe' THEN text END) AS filtered_md5 FROM d""")(
     lambda d: guardrails.check_input(d).select("doc_id", "category", "valid", F.md5("filtered").alias("filtered_md5"))

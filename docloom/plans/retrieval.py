@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import retrieval, search, vector_index
-from docloom.plans.registry import QUERIES, _query, _query2
+from docloom.operators import chat, retrieval, search, text, vector_index
+from docloom.plans import guards
+from docloom.plans.registry import ORACLE_SQL, QUERIES, _query, _query2
 
 _cos = "round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) + {eps}), 6)"
 
@@ -95,3 +96,28 @@ _query("leakage_check", "documents", _leaks + " SELECT * FROM l")(lambda d: _lea
 _query("leakage_score", "documents", _leaks + ", n AS (SELECT (SELECT count(*) FROM l) AS n_hits, (SELECT count(*) FROM documents WHERE doc_id % 5 = 0) AS n) SELECT n_hits, round(CASE WHEN n > 0 THEN least(1.0::DOUBLE, n_hits / n) ELSE 0 END, 6) AS score, CASE WHEN n > 0 THEN n_hits / n > 0.3 ELSE false END AS severe FROM n")(
     lambda d: search.leakage_score(*_leaking(d))
 )
+
+
+def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest question of each conversation, asked of all documents by their mock vectors."""
+    messages, docs = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("conversations", "documents"))
+    chunks = docs.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"), text.mock_embedding(F.col("text")).alias("embedding"))
+    found = chat.chat_context(messages, chunks, text.mock_embedding, most=1500, last=4)
+    return found.select("conv_id", "turn", "category", F.md5("question").alias("question_md5"), "n_sources", F.md5("context").alias("context_md5"), "n_history", F.md5("history").alias("history_md5"), "refusal")
+
+
+QUERIES["chat_context"] = _chat
+_mock = lambda c: "[" + ", ".join(f"(CAST('0x' || substr(sha256({c}), {2 * i + 1}, 2) AS INT) - 128) / 128.0::DOUBLE" for i in range(16)) + "]"
+_chat_found = f"""SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+    SELECT q.doc_id AS query_id, v.doc_id AS vec_id, round(list_dot_product(q.v, v.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(v.v, v.v)) + 1e-10), 6) AS score
+    FROM (SELECT doc_id, {_mock('question')} AS v FROM checked WHERE question IS NOT NULL) q, (SELECT doc_id, {_mock('text')} AS v FROM documents) v)) WHERE rank <= 5"""
+_refusals = " ".join(f"WHEN '{c}' THEN '{told}'" for c, told in chat.REFUSALS.items())
+ORACLE_SQL["chat_context"] = f"""
+    WITH asked AS (SELECT conv_id AS doc_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id),
+    checked AS ({guards.checked_sql('asked')}),
+    r AS ({_context_sql(_chat_found, 1500)}),
+    h AS (SELECT conv_id, count(*) AS n, string_agg(upper(left(role, 1)) || substr(role, 2) || ': ' || text, chr(10) ORDER BY turn) AS history FROM (
+        SELECT c.*, row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn DESC) AS r FROM conversations c JOIN asked a ON a.doc_id = c.conv_id WHERE c.turn < a.turn) WHERE r <= 4 GROUP BY conv_id)
+    SELECT a.doc_id AS conv_id, a.turn, category, md5(question) AS question_md5, coalesce(total_chunks, 0) AS n_sources, CASE WHEN question IS NOT NULL THEN coalesce(context_md5, md5('')) END AS context_md5,
+        coalesce(h.n, 0) AS n_history, md5(coalesce(history, '')) AS history_md5, CASE WHEN question IS NULL THEN CASE category {_refusals} END END AS refusal
+    FROM asked a JOIN checked k ON a.doc_id = k.doc_id LEFT JOIN r ON r.query_id = a.doc_id LEFT JOIN h ON h.conv_id = a.doc_id"""
