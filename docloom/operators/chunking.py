@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -149,6 +149,28 @@ def summaries(docs: DataFrame, *, most: int = 5, focus: tuple[str, ...] = ()) ->
     return made.select("doc_id", "s.summary", "s.key_phrases", ratio.alias("ratio"))
 
 
+# Sentences of a summary by its length; no summary has more than the last number.
+LENGTHS = {"brief": 2, "short": 5, "medium": 10, "long": 20, "comprehensive": 30}
+MOST_SENTENCES = 10
+
+
+def summary_levels(docs: DataFrame, levels: Mapping[str, int] = LENGTHS, *, focus: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, level, summary, words, ratio: a summary of each length of each of `docs` (doc_id, text), and its words over those
+    of the text; a text is cut into sentences once for each different number of them. Null texts count as empty."""
+    sizes = {level: min(n, MOST_SENTENCES) for level, n in levels.items()}
+
+    @F.pandas_udf("array<struct<level:string,summary:string,words:long,ratio:double>>")
+    def shorten(text: pd.Series) -> pd.Series:
+        def of(t: str) -> list[tuple[str, str, int, float]]:
+            made = {n: summary_of(t, n, focus) for n in set(sizes.values())}
+            all_words = len(t.split())
+            return [(level, made[n], len(made[n].split()), round(len(made[n].split()) / all_words, 6) if all_words else 0.0) for level, n in sizes.items()]
+
+        return text.map(of)
+
+    return docs.select("doc_id", F.inline(shorten(F.coalesce("text", F.lit("")))))
+
+
 def key_phrases(docs: DataFrame, *, most: int = 5, among: int = 20) -> DataFrame:
     """doc_id, rank, phrase, n: pairs of successive words of three ASCII letters or more that a text of `docs` (doc_id, text)
     has twice or more: the first `most` of the `among` most frequent that do not begin with a function word; ties by first place."""

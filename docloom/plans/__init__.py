@@ -11,3 +11,4 @@ from docloom.plans import synthesis as synthesis  # isort: skip
 from docloom.plans import operations as operations  # isort: skip
 from docloom.plans import catalogue as catalogue  # isort: skip
 from docloom.plans import sources as sources  # isort: skip
+from docloom.plans import training as training  # isort: skip
