@@ -75,6 +75,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(min(1.0, max(0.0, x @ y / most))) if most else 0.0
 
 
+SAMPLE = 40_000  #: rows whose ids are looked at to cut the order into ranges, about
 SPLIT = 16  #: parts, by a hash of the text, of the rows of one bound (or of no doc_id)
 
 
@@ -84,17 +85,26 @@ def _bucket(doc_id: Column, bounds: list, order: Column) -> Column:
     Ids between two bounds are one range. An id so frequent that its rows would fill a range by themselves is a bound.
     """
 
-    def tree(lo: int, hi: int) -> Column:  # twice the bounds below doc_id, and one more if it is a bound
-        if lo == hi:
-            return F.lit(2 * lo)
-        mid = (lo + hi) // 2
-        return F.when(doc_id < F.lit(bounds[mid]), tree(lo, mid)).when(doc_id == F.lit(bounds[mid]), F.lit(2 * mid + 1)).otherwise(tree(mid + 1, hi))
-
-    place = F.when(doc_id.isNull(), F.lit(-1)).otherwise(tree(0, len(bounds)))
+    # A binary search in one constant array, by steps that halve: how many bounds are no greater than the id.
+    known = F.array(*map(F.lit, bounds))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+    found = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(known, n + step - 1) <= doc_id, n + step).otherwise(n)) if bounds else F.lit(0)
+    # Twice the bounds below the id, and one more if it is a bound.
+    own = 2 * found - F.when(F.get(known, found - 1) == doc_id, 1).otherwise(0) if bounds else found
+    place = F.when(doc_id.isNull(), F.lit(-1)).otherwise(own)
     part = F.when(place % 2 != 0, (F.shiftright(order, 60) + 8).cast("int")).otherwise(F.lit(0))
     return place * SPLIT + part
 
 
+def _bounds(ids: DataFrame, buckets: int) -> list:
+    """Some quantiles of doc_id, of any type that has an order, from a random sample of about SAMPLE rows. They say which rows
+    go through a task together and nothing of the result."""
+    n = ids.count()
+    some = ids if n <= SAMPLE else ids.sample(SAMPLE / n, seed=1)
+    drawn = sorted(r[0] for r in some.where("doc_id is not null").collect())
+    return sorted({drawn[(k + 1) * len(drawn) // buckets] for k in range(buckets - 1)}) if drawn else []
+
+
 def fingerprints(docs: DataFrame, *, buckets: int | None = None) -> DataFrame:
     """For each row of `docs` (doc_id, text) its fingerprint, and how like it are its edited text and the next document.
 
@@ -110,8 +120,7 @@ def fingerprints(docs: DataFrame, *, buckets: int | None = None) -> DataFrame:
     given = docs.select("doc_id", whole_text().alias("text"))
     given = given.withColumn("order", F.xxhash64("text"))
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = F.array(*(F.lit((k + 1) / buckets) for k in range(buckets - 1)))
-    bounds = sorted({b for b in given.agg(F.percentile_approx("doc_id", shares, 20_000)).first()[0] or () if b is not None}) if buckets > 1 else []
+    bounds = _bounds(docs.select("doc_id"), buckets)
     rows = given.withColumn("bucket", _bucket(F.col("doc_id"), bounds, F.col("order")))
     # The row that comes first in each range, by its id and hash: at most SPLIT + 1 for each bound come to the driver.
     heads = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "order")).alias("head")).collect()

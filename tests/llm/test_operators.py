@@ -534,6 +534,9 @@ def test_multiset(spark, docs, rows, empty):
     for buckets in (1, 3, 300):
         got = multiset.fingerprints(table, buckets=buckets).collect()
         assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == expected
+    texts = spark.createDataFrame([(None if i is None else f"id {i:04d}", t) for i, t in more], "doc_id string, text string").repartition(4)
+    got = multiset.fingerprints(texts, buckets=7).collect()
+    assert Counter((None if r.doc_id is None else int(r.doc_id[3:]), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == expected
     for n in (30_000, 40_000, 60_000):  # sums of long repeats do not wrap
         assert abs(multiset.likeness(of("the " * n), of("the " * (n // 2) + "a b " * (n // 4))) - 0.5) < 0.05
     assert multiset.likeness(multiset.read(multiset.written(a)), b) == 1.0
