@@ -30,6 +30,17 @@ PATTERNS = [
 ]
 NAME = ("NAME", r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b", 0.85)
 COMPILED = [(k, re.compile(p, re.IGNORECASE), c) for k, p, c in PATTERNS] + [(NAME[0], re.compile(NAME[1]), NAME[2])]
+#: What a text must hold for a kind to be in it at all. A text is asked once for each of these before its patterns are tried.
+THREE_DIGITS = re.compile(r"\d{3}")
+GATES = {
+    **dict.fromkeys(("SSN", "CREDIT_CARD", "PHONE", "PASSPORT", "BANK_ACCOUNT"), THREE_DIGITS),
+    "EMAIL": re.compile("@"),
+    "IP_ADDRESS": re.compile(r"\d\.\d"),
+    "DATE_OF_BIRTH": re.compile(r"\d[-/]\d"),
+    "DRIVERS_LICENSE": re.compile(r"DL|driver", re.IGNORECASE),
+    "ADDRESS": re.compile(r"\d\s"),
+    "NAME": re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof)\.\s"),
+}
 SPANS = "array<struct<pii_type:string,start_pos:long,end_pos:long,confidence:double,original:string>>"
 
 
@@ -47,7 +58,8 @@ def spans_of(text: str, kinds: frozenset[str] | None = None, custom: tuple[str,
     Only of `kinds`, if they are given, and of the caller's own patterns, in either case, as kind CUSTOM.
     """
     wanted = [x for x in COMPILED if kinds is None or x[0] in kinds] + [("CUSTOM", re.compile(p, re.IGNORECASE), 0.8) for p in custom]
-    found = [(k, m.start(), m.end(), c, m[0]) for k, p, c in wanted for m in p.finditer(text) if _holds(k, m[0])]
+    open_gates = {gate for gate in set(GATES.values()) if gate.search(text)}
+    found = [(k, m.start(), m.end(), c, m[0]) for k, p, c in wanted if k not in GATES or GATES[k] in open_gates for m in p.finditer(text) if _holds(k, m[0])]
     kept, end = [], 0
     for span in sorted(found, key=lambda s: (s[1], -s[3])):
         if span[1] >= end:
