@@ -9,8 +9,9 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
-from docloom.llm import filter_audit, queries, token_counts, vector_codes
+from docloom.llm import classifier, common, filter_audit, multiset, queries, token_counts, vector_codes
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -240,3 +241,57 @@ def test_codes_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
     assert sorted(con.execute(queries.ORACLE_SQL["op13_vector_codes"]).fetchall()) == ours
+
+
+def test_fingerprints_by_a_plain_sum():
+    """Paragraphs one by one, in Python integers: the sum of their vectors modulo 2 ** 32."""
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def vector(paragraph):
+        raw = paragraph.encode()
+        out = [int.from_bytes(hashlib.blake2b(raw, digest_size=64).digest()[4 * i : 4 * i + 4], "little") for i in range(16)] + [0] * 224
+        words = raw.split()
+        h = [xxhash.xxh64_intdigest(w, 7) for w in words]
+        steps = [mixed(h[i] * 0x9E3779B97F4A7C15 + h[i + 1] * 0xC2B2AE3D27D4EB4F + h[i + 2] & mask) for i in range(len(h) - 2)]
+        if 0 < len(words) < 3:
+            steps = [xxhash.xxh64_intdigest(b" ".join(words))]
+        for x in steps:
+            out[16 + x % 224] += 1 if x >> 63 else -1
+        return out
+
+    made = random.Random(4)
+    of = multiset.Fingerprinter().of
+    for _ in range(200):
+        text = "".join(made.choice(["a", "b ", "c\n", " d e f ", "\n\n", "é ", "the quick brown fox\n"]) for _ in range(made.randint(0, 60)))
+        total = [0] * 240
+        for paragraph in text.split("\n"):
+            if paragraph:
+                total = [(a + b) % (1 << 32) for a, b in zip(total, vector(paragraph), strict=True)]
+        assert of(text).tolist() == total
+
+
+def test_scores_by_loops():
+    """The scorer's sums over words of many texts at once against sums over each text's own rows of the table."""
+    settings = classifier.Settings(buckets=1 << 12)
+    made = np.random.default_rng(2)
+    weight = made.normal(size=settings.buckets)
+    words = ["the", "quick", "brown", "été", "x", "12", "fox.", "jumps"]
+    texts = [" ".join(made.choice(words, made.integers(0, 40))) for _ in range(60)] + ["", "one", "a b"]
+    scorer = classifier.Scorer(weight, 0.3, 0.7, settings)
+    for _ in range(2):  # new words, then known ones
+        got = scorer.of(texts)
+        for text, score in zip(texts, got, strict=True):
+            [(rows, counts)] = classifier.text_rows([text], settings)
+            want = 1 / (1 + np.exp(-(sum(weight[r] * n for r, n in zip(rows, counts, strict=True)) / max(1, counts.sum()) + 0.3))) if text.split() else 0.7
+            assert abs(score - want) < 1e-9
+
+
+def test_rows_told_apart_by_both_keys(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a"), (1, None), (1, "a")], "doc_id long, text string")
+    keys = rows.select(common.row_key(rows.doc_id, rows.text).alias("k"), common.second_key(rows.doc_id, rows.text).alias("s")).collect()
+    assert len({(r.k, r.s) for r in keys}) == 4 and len({r.s for r in keys}) == 4 and not {r.k for r in keys} & {r.s for r in keys}
