@@ -122,3 +122,36 @@ ORACLE_SQL["vector_upsert"] = """
     d AS (SELECT *, length(chunk_id) % 2 = 1 AS turned FROM v)
     SELECT chunk_id, CAST(CASE WHEN turned THEN 2 ELSE 1 END AS BIGINT) AS version, document_id, round(CAST(CASE WHEN turned THEN e[64] ELSE e[1] END AS DOUBLE), 6) AS first,
         round(CAST(CASE WHEN turned THEN e[1] ELSE e[64] END AS DOUBLE), 6) AS last FROM d WHERE turned OR document_id <> 'doc_3'"""
+
+
+def _by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by status, their mean progress, and how long the last change lies before the last event, in hours at most."""
+    now = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("ts").alias("now"))  # one row
+    age = (F.unix_timestamp("now") - F.unix_timestamp("updated")) / 3600
+    return status.current(_status(spark, sf_dir)).crossJoin(now).groupBy("status").agg(
+        F.count("*").alias("n"), F.round(F.avg("progress"), 6).alias("mean_progress"), F.sum("n_transitions").alias("n_transitions"), F.round(F.max(age), 4).alias("oldest_hours")
+    )
+
+
+QUERIES["dashboard_status"] = _by_status
+ORACLE_SQL["dashboard_status"] = f"""
+    SELECT status, count(*) AS n, round(avg(progress), 6) AS mean_progress, CAST(sum(n_transitions) AS BIGINT) AS n_transitions,
+        round(max((epoch(date_trunc('second', (SELECT max(ts) FROM events))) - epoch(date_trunc('second', updated))) / 3600), 4) AS oldest_hours
+    FROM ({ORACLE_SQL['status_current']}) GROUP BY status"""
+
+
+def _agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of each agent (the kind of an event): how sure it was (value out of 100) and how many documents it ended."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ended = _status(spark, sf_dir).where("reason = 'event' and status in ('completed', 'failed')").select("event_id", "status")
+    joined = events.join(ended, "event_id", "left")
+    return joined.groupBy(F.col("event_type").alias("agent")).agg(
+        F.count("*").alias("executions"), F.round(F.avg(F.col("value") / 100), 6).alias("confidence"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed")
+    )
+
+
+QUERIES["agent_confidence"] = _agents
+ORACLE_SQL["agent_confidence"] = f"""
+    WITH s AS (SELECT event_id, status FROM ({_status_sql()}) WHERE reason = 'event' AND status IN ('completed', 'failed'))
+    SELECT event_type AS agent, count(*) AS executions, round(avg(value / 100), 6) AS confidence, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed
+    FROM events LEFT JOIN s USING (event_id) GROUP BY event_type"""
