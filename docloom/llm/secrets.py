@@ -24,7 +24,7 @@ KINDS = ["assign", "access", "hex", "markov"]
 
 #: A string that the models judge: key-like characters with a digit and a letter among them.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-THRESHOLD = 1.2  #: mean log-likelihood ratio above which a string is random: held-out random strings have 1.8 or more, names 0.7 or less
+THRESHOLD = 1.2  #: mean log-likelihood ratio above which a string is random: chosen between the random strings (1.8 or more) and names (0.7 or less) of the test
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 # Fixed lists of words of which ordinary identifiers and compounds are made (labelled samples): of programs, and of texts
