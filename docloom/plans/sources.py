@@ -92,7 +92,7 @@ ORACLE_SQL["table_cells"] = """
     SELECT k AS page_id, 0 AS "table", r AS "row", c AS col, text, true AS header, anchor FROM o, h
     UNION ALL SELECT k, 0, r, 0, CAST(k AS VARCHAR), false, r = 2 FROM l UNION ALL SELECT k, 0, r, 1, CAST(l_linenumber AS VARCHAR), false, true FROM l UNION ALL SELECT k, 0, r, 2, CAST(l_partkey AS VARCHAR), false, true FROM l
     UNION ALL SELECT k, 1, 0, 0, 'Status:', false, true FROM o UNION ALL SELECT k, 1, 0, 1, status, false, true FROM o UNION ALL SELECT k, 1, 1, 0, 'Customer :', false, true FROM o UNION ALL SELECT k, 1, 1, 1, CAST(cust AS VARCHAR), false, true FROM o"""
-QUERIES["table_key_values"] = lambda spark, sf_dir: tables.key_values(tables.html_cells(_order_pages(spark, sf_dir)))
+QUERIES["table_key_values"] = lambda spark, sf_dir: tables.html_key_values(_order_pages(spark, sf_dir))
 ORACLE_SQL["table_key_values"] = """
     WITH o AS (SELECT DISTINCT o_orderkey AS k, o_orderstatus AS status, o_custkey AS cust FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
     SELECT k AS page_id, 1 AS "table", 0 AS "row", 'Status' AS key, status AS value FROM o UNION ALL SELECT k, 1, 1, 'Customer', CAST(cust AS VARCHAR) FROM o"""

@@ -67,3 +67,27 @@ def test_analysis(spark):
     assert [tuple(r) for r in tables.analysis_lines(found).collect()] == [(1, 3, 0, "a")]
     assert sorted(map(tuple, tables.analysis_cells(found).collect())) == [(1, 0, 0, 0, "x"), (1, 0, 1, 0, "x")]
     assert tables.analysis_pairs(found).count() == 0
+
+
+def test_plain_pages_as_the_parser_reads_them():
+    def parsed(page):
+        reader = tables._Reader()
+        reader.feed(page)
+        reader.close()
+        return [cell for table in reader.done for cell in table.grid()]
+
+    made, plain = random.Random(1), 0
+    pieces = ["<table>", "</table>", "<tr>", "<td>", "<TD colspan=2>", "<th rowspan='2'>", "</td>", "a b", "&amp;", "<", ">", '<td colspan="3" >', "<br/>", "<!-- x -->", "<td x>", "<script>", "<td colspan=2/>",
+              "<td rowspan=2 rowspan=3>", "<td\x0ba=1>", "<td a='1'b='2'>", "<plaintext>", "<td rowspan=0>", "</ td>"]
+    for i in range(3000):
+        page = "<table><tr><td>" * (i % 2) + "".join(made.choice(pieces) for _ in range(made.randint(1, 9)))
+        plain += tables._plain(page, tables._Reader())
+        assert tables.cells_of(page) == parsed(page), page
+    assert plain > 300
+
+
+def test_key_values_of_pages(spark):
+    two, three = "<table><tr><td>k :<td>v{0}</tr><tr><th>h<th>g</tr></table>", "<table><tr><td colspan=2>a<td>b</table>"
+    pages = spark.createDataFrame([(i, three + two.format(i) + "<table></table>") for i in range(50)] + [(99, None)], "page_id long, html string").coalesce(1)
+    want = tables.key_values(tables.html_cells(pages))
+    assert sorted(tables.html_key_values(pages).collect()) == sorted(want.collect()) == [(i, 1, 0, "k", f"v{i}") for i in range(50)]
