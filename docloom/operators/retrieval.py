@@ -47,10 +47,19 @@ def first_seen(found: DataFrame, *, most: int = 5) -> DataFrame:
 
 
 def source_list(chunks: DataFrame, *, most: int = 5) -> DataFrame:
-    """query_id, context: the best chunks (query_id, vec_id, score, content) of each query under numbered headings with scores."""
+    """query_id, context: the best chunks (query_id, vec_id, score, content) of each query under numbered headings with scores;
+    null contents are left out, and a query with no other has a null context.
+
+    The score is rounded by its binary value, as C and Python print it: 0.1235 is a little less than its decimals and gives
+    0.123. `format_string` rounds the decimals and would give 0.124.
+    """
     top = reranked(chunks, most=most)
-    entry = F.format_string("[Source %d] (score: %.3f)\n%s", "rank", "score", "content")
-    return top.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("rank", entry.alias("e"))))["e"], "\n\n").alias("context"))
+    # `format_number` takes the double just above 0.0005 for a tie with 0.
+    least = F.abs("score").between(0.0005, 0.001)
+    score = F.call_function("format_number", F.when(least, 0.001 * F.signum("score")).otherwise(F.col("score")), F.lit("0.000"))
+    entry = F.concat(F.lit("[Source "), F.col("rank").cast("string"), F.lit("] (score: "), score, F.lit(")\n"), "content")
+    joined = F.array_join(F.sort_array(F.collect_list(F.struct("rank", entry.alias("e"))))["e"], "\n\n")
+    return top.groupBy("query_id").agg(F.when(F.count("content") > 0, joined).alias("context"))
 
 
 def compressed(chunks: DataFrame, *, most: int = 8000) -> DataFrame:

@@ -205,3 +205,10 @@ def test_redaction_by_kind_and_own_patterns(spark):
 def test_pii_report(spark):
     spans = redaction.detect(texts(spark, "a@mail.com b@mail.com 123456789", "call (555) 123-4567"))
     assert {(r.pii_type, r.n, r.n_high, r.n_low) for r in redaction.report(spans).collect()} == {("EMAIL", 2, 2, 0), ("SSN", 1, 0, 1), ("PHONE", 1, 1, 0)}
+
+
+def test_scores_of_sources_as_python_prints_them(spark):
+    scores = [0.1235, 0.3125, 0.0625, 0.0005, 0.9995, 0.0015, 0.5, 1.0, -0.1235, 0.000499, 0.2345, 0.7775]
+    chunks = spark.createDataFrame([(i, 7, s, "x") for i, s in enumerate(scores)], "query_id long, vec_id long, score double, content string")
+    got = {r.query_id: r.context for r in retrieval.source_list(chunks).collect()}
+    assert got == {i: f"[Source 1] (score: {s:.3f})\nx" for i, s in enumerate(scores)}
