@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.graph import kept
-from docloom.operators.search import cosine
+from docloom.operators.search import cosine, top_k
 
 PACK = 4096  #: vectors of one pack of codes
 ASKED = 256  #: queries of one pack
@@ -224,38 +224,7 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int = 5, *, eps: float = 1e
     """query_id, vec_id, score, rank: the k most similar of `vectors` (vec_id, embedding) for each of `queries`; of `others`
     only, a query does not find the vector of its own number.
 
-    A block of queries meets a block of vectors in one row of a join, and sends on its k best for each query. The work grows
-    as queries times vectors, in tasks of a bounded size; no side is sent to all tasks.
+    This is `search.top_k` of the rows that have a vector: pairs of cells of bounded size, no side sent to all tasks.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                rows = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(batch), -1)
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["list", "id", "data"])
-
-    def packs(frame: DataFrame, size: int) -> DataFrame:
-        given, id_type = frame.where("embedding is not null").select("vec_id", "embedding"), frame.schema["vec_id"].dataType.simpleString()
-        return _packed(given.mapInArrow(run, f"list int, id {id_type}, data binary"), size, id_type)
-
-    having = kept(packs(vectors, PACK))
-    cells = max(1, -(-having.count() // CELL))
-    codes = having.select(F.pmod("pack", F.lit(cells)).cast("int").alias("cell"), F.col("ids").alias("vec_ids"), F.col("data").alias("rows"))
-    asked = packs(queries, ASKED).select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.col("ids").alias("query_ids"), F.col("data").alias("queries"))
-    blocks = codes.join(asked, "cell").select("query_ids", "queries", "vec_ids", "rows")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                asking, queries, having, rows = (batch.column(c)[i] for c in range(4))
-                x, y = (np.frombuffer(data.as_py(), np.float64).reshape(len(ids), -1) for ids, data in ((asking.values, queries), (having.values, rows)))
-                like = np.round(x @ y.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1) + eps), 6)
-                # Ids rise within a pack, so a stable sort puts equal scores by id; one more, as a query may find itself.
-                best = np.argsort(-like, axis=1, kind="stable")[:, : k + 1].reshape(-1)
-                row = np.repeat(np.arange(len(x)), min(k + 1, len(y)))
-                yield pa.RecordBatch.from_arrays([asking.values.take(pa.array(row)), having.values.take(pa.array(best)), pa.array(like[row, best], pa.float64())], ["query_id", "vec_id", "score"])
-
-    kinds = [frame.schema["vec_id"].dataType.simpleString() for frame in (queries, vectors)]
-    near = blocks.mapInArrow(score, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
-    near = near.where("query_id <> vec_id") if others else near
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    have = "embedding is not null"
+    return top_k(vectors.where(have), queries.where(have), k, eps=eps, others=others)

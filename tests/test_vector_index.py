@@ -1,7 +1,10 @@
 """The vector index and the exact search in blocks against all pairs."""
 
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.operators import search, vector_index
@@ -82,3 +85,17 @@ def test_exact_is_top_k(spark):
     asked = table.where("vec_id % 100 = 0")
     a, b = (as_best(f(table, asked, 10)) for f in (vector_index.exact, search.top_k))
     assert a.keys() == b.keys()
+
+
+def test_top_k_by_a_plain_version(spark):
+    """Cells of a few rows, copies, ties, repeated numbers, no vectors and none alike: rows and order as by one window."""
+    made = random.Random(2)
+    rows = [(i, [float(made.randint(-1, 1)) for _ in range(3)], made.choice([0, 1, None])) for i in range(60)]
+    rows += [(1000, None, 0), (1001, [None, 1.0, 2.0], 0), (1002, [1e-9, 1e-9, 0.0], 1), (1003, [0.0, 0.0, 0.0], 1), (1004, [0.5, 0.25, 0.125], 0), (1000, None, 0), (3, [1.0, 0.0, 1.0], 1)]
+    table = spark.createDataFrame(rows * 2, "vec_id long, embedding array<double>, label int")
+    for same in (None, "label"):
+        a, b = (table.select(F.col("vec_id").alias(i), F.col("embedding").alias(e), F.col("label").alias(x)) for i, e, x in (("query_id", "q", "l"), ("vec_id", "v", "m")))
+        pairs = a.join(b, F.col("query_id") != F.col("vec_id")).where("true" if same is None else "l = m")
+        score = F.round(search.dot(F.col("q"), F.col("v")) / (F.sqrt(search.dot(F.col("q"), F.col("q"))) * F.sqrt(search.dot(F.col("v"), F.col("v"))) + 1e-10), 6)
+        ranked = pairs.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
+        assert sorted(map(str, search.top_k(table, table, same=same, block=7, given=20).collect())) == sorted(map(str, ranked.where("rank <= 5").collect()))
