@@ -7,11 +7,13 @@ from collections import Counter
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.udtf import UserDefinedTableFunction
 
 Length = Callable[[str], int]
+PIECE = 1_000_000  #: characters of the texts that are worked on together, about: what a task's Python holds
 
 # Separators in the order in which they are tried, stop words, and first words that key phrases may not have.
 SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
@@ -20,7 +22,6 @@ STOP_WORDS = set(
 )
 PHRASE_STARTS = {"the", "of", "in", "to", "and", "for"}
 WORD = re.compile(r"\b[a-zA-Z]{3,}\b")
-CHUNKS = "array<struct<chunk_index:long,start_char:long,end_char:long,content:string>>"
 
 
 def split_recursively(text: str, separators: list[str], size: int, overlap: int, length: Length = len) -> list[str]:
@@ -80,12 +81,41 @@ def placed(pieces: list[str]) -> list[tuple[int, int, int, str]]:
 def chunks(docs: DataFrame, *, size: int = 1000, overlap: int = 200, by_sentence: bool = False) -> DataFrame:
     """doc_id, chunk_index, start_char, end_char, content. Null and blank texts have no chunk."""
 
-    @F.pandas_udf(CHUNKS)
-    def cut(text: pd.Series) -> pd.Series:
-        split = (lambda t: split_sentences(t, size, overlap)) if by_sentence else (lambda t: split_recursively(t, SEPARATORS, size, overlap))
-        return text.map(lambda t: placed(split(t)) if t else [])
+    def cut(text: str) -> list[tuple[int, int, int, str]]:
+        return placed(split_sentences(text, size, overlap) if by_sentence else split_recursively(text, SEPARATORS, size, overlap)) if text else []
 
-    return docs.select("doc_id", F.inline(cut("text")))
+    return _each(docs.select("doc_id", "text"), cut, "chunk_index long, start_char long, end_char long, content string")
+
+
+def _each(docs: DataFrame, work: Callable[[str | None], list[tuple]], columns: str) -> DataFrame:
+    """doc_id and `columns` of the rows that `work` makes of each text of `docs` (doc_id, text).
+
+    Texts are taken out of a batch one by one, and rows go out when they hold about PIECE characters, so that Python's
+    memory does not grow with the batch or the table.
+    """
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    types = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows, held = [], [], 0
+
+            def out() -> pa.RecordBatch:
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), types, strict=True)]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns], ["doc_id", *types.names])
+
+            for i, value in enumerate(batch.column(1)):
+                made = work(value.as_py())
+                at += [i] * len(made)
+                rows += made
+                held += sum(len(x) for row in made for x in row if isinstance(x, str))
+                if held >= PIECE:
+                    yield out()
+                    at, rows, held = [], [], 0
+            if rows:
+                yield out()
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {columns}")
 
 
 def chunk_function(*, size: int = 1000, overlap: int = 200, by_sentence: bool = False, length: Length = len) -> UserDefinedTableFunction:
@@ -159,16 +189,12 @@ def summary_levels(docs: DataFrame, levels: Mapping[str, int] = LENGTHS, *, focu
     of the text; a text is cut into sentences once for each different number of them. Null texts count as empty."""
     sizes = {level: min(n, MOST_SENTENCES) for level, n in levels.items()}
 
-    @F.pandas_udf("array<struct<level:string,summary:string,words:long,ratio:double>>")
-    def shorten(text: pd.Series) -> pd.Series:
-        def of(t: str) -> list[tuple[str, str, int, float]]:
-            made = {n: summary_of(t, n, focus) for n in set(sizes.values())}
-            all_words = len(t.split())
-            return [(level, made[n], len(made[n].split()), round(len(made[n].split()) / all_words, 6) if all_words else 0.0) for level, n in sizes.items()]
-
-        return text.map(of)
+    def shorten(text: str) -> list[tuple[str, str, int, float]]:
+        made = {n: summary_of(text, n, focus) for n in set(sizes.values())}
+        all_words = len(text.split())
+        return [(level, made[n], len(made[n].split()), round(len(made[n].split()) / all_words, 6) if all_words else 0.0) for level, n in sizes.items()]
 
-    return docs.select("doc_id", F.inline(shorten(F.coalesce("text", F.lit("")))))
+    return _each(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), shorten, "level string, summary string, words long, ratio double")
 
 
 def key_phrases(docs: DataFrame, *, most: int = 5, among: int = 20) -> DataFrame:

@@ -120,3 +120,10 @@ def test_negatives_in_more_parts(spark):
 def test_first_of_each(spark):
     rows = spark.createDataFrame([(3, "a", None), (1, "a", 5), (2, "b", 6), (4, None, 7), (5, None, 8)], "n int, text string, `_row` int")
     assert sorted(map(str, windows.first_of_each(rows, F.col("text"), "n").collect())) == sorted(map(str, rows.where("n in (1, 2, 4)").collect()))
+
+
+def test_chunks_go_out_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "PIECE", 300)
+    docs = spark.createDataFrame([(i, f"One sentence {i}. " * 40) for i in range(30)] + [(90, None), (91, "")], "doc_id long, text string").coalesce(1)
+    want = sorted((d, *row) for d, t in docs.collect() if t for row in chunking.placed(chunking.split_recursively(t, chunking.SEPARATORS, 1000, 200)))
+    assert sorted(tuple(r) for r in chunking.chunks(docs).collect()) == want
