@@ -85,7 +85,7 @@ def graph(found: DataFrame, related: DataFrame) -> DataFrame:
 
 def sets(rows: DataFrame, least: int) -> DataFrame:
     """doc_id, members: the documents of `rows` (doc_id, entity) with at least `least` different ones, rare before frequent."""
-    each = rows.select("doc_id", "entity").distinct()
+    each = kept(rows.select("doc_id", "entity").distinct())  # read twice
     counts = each.groupBy("entity").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     hot = counts.join(F.broadcast(total), F.col("n") * HOT > F.col("total")).select("entity", "n")  # fewer than HOT
@@ -121,7 +121,11 @@ def links(rows: DataFrame, least: int, *, classes: bool = True, most: int | None
     sets with `least` in common have one in common even without the `least` - 1 most frequent of each, so frequent entities
     seed pairs only where nothing rarer can. `most` is of `paired`.
     """
-    each = sets(rows, least)
+    return _linked(sets(rows, least), least, classes, most)
+
+
+def _linked(each: DataFrame, least: int, classes: bool = True, most: int | None = None) -> DataFrame:
+    """`links` of sets (doc_id, members)."""
     if classes:
         each = each.groupBy("members").agg(F.min("doc_id").alias("doc_id"))
     seeds = F.slice("members", 1, F.size("members") - (least - 1))
@@ -137,11 +141,11 @@ def members(rows: DataFrame, least: int, salts: int = 16) -> DataFrame:
     number of documents that share `least` entities with it, those of its own class (confidence 1) included.
 
     Two documents are linked if their representatives are equal or linked in `links`, with that confidence. The members
-    of a large class are dealt over `salts` tasks.
+    of a large class are dealt over `salts` tasks. The sets are kept, so that the texts are searched once.
     """
-    each = sets(rows, least)
+    each = kept(sets(rows, least))
     classes = each.groupBy("members").agg(F.min("doc_id").alias("representative"), F.count("*").alias("size"))
-    pairs = links(rows, least).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
+    pairs = _linked(each, least).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
     sizes = classes.select(F.col("representative").alias("other"), "size")
     reached = pairs.select(F.col("p.a").alias("representative"), F.col("p.b").alias("other")).join(sizes, "other").groupBy("representative").agg(F.sum("size").alias("others"))
     counted = classes.join(reached, "representative", "left").select("members", "representative", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
