@@ -43,25 +43,21 @@ def closure(edges: DataFrame, *, types: list[str] | None = None, most_rounds: in
     wanted = edges if types is None else edges.where(F.col("type").isin(types))
     ends = wanted.where("source is not null and target is not null").select("source", "target", F.lit(1).alias("hops"))
     paths = kept(shortest(ends))
-    state = _state(paths)
-    for done in range(1, most_rounds + 1):
-        # After k rounds all paths of up to 2 ** k edges are there: those of up to 2 ** (k + 1) are two of them in a row.
-        first = paths.select("source", F.col("target").alias("middle"), F.col("hops").alias("to_middle"))
+    for done in range(most_rounds + 1):
+        # After k rounds all paths of up to 2 ** k edges are there. A shortest path with more edges begins with one of just
+        # 2 ** k, and what follows is in `paths` too if it has up to as many; so only those need be prolonged.
+        longest = paths.where(F.col("hops") == 2**done)
+        if longest.isEmpty():
+            return Closure(paths, done)
+        first = longest.select("source", F.col("target").alias("middle"), F.col("hops").alias("to_middle"))
         second = paths.select(F.col("source").alias("middle"), "target", "hops")
-        longer = first.join(second, "middle").select("source", "target", (F.col("to_middle") + F.col("hops")).alias("hops"))
+        longer = kept(first.join(second, "middle").select("source", "target", (F.col("to_middle") + F.col("hops")).alias("hops")))
+        if longer.isEmpty():
+            return Closure(paths, done + 1)
         paths = kept(shortest(paths.unionByName(longer)))
-        now = _state(paths)
-        if now == state:
-            return Closure(paths, done)
-        state = now
     raise RuntimeError(f"paths still grow after {most_rounds} rounds")
 
 
-def _state(paths: DataFrame) -> tuple[int, int | None]:
-    """How many paths there are, and the sum of their lengths: both stay as they are only if every path does."""
-    return tuple(paths.agg(F.count("*"), F.sum("hops")).first())
-
-
 def summary(found: Closure) -> DataFrame:
     """target, n_sources, deepest: how many sources descend from each, and over how many edges at most."""
     return found.ancestors().groupBy("target").agg(F.count("*").alias("n_sources"), F.max("hops").alias("deepest"))
