@@ -35,6 +35,28 @@ def combine_context(chunks: DataFrame, *, most: int = 4000) -> DataFrame:
     return whole.withColumn("first", first).where("used > 0 and first").select("group_id", "rank", "used")
 
 
+def contexts(chunks: DataFrame, *, part: int = 1000) -> DataFrame:
+    """group_id, rank, place, n, chunk_md5, context_md5: the chunks of each context in order of `chunks` (group_id, rank,
+    chunk_md5), ranks being numbers: the place from 1, how many the context has, and a digest of all of them in that order.
+
+    A context is cut into parts of `part` ranks, so that none gathers in one task. The digest of a part is the MD5 of its
+    chunks' digests, null ones empty, and that of a context the MD5 of its parts' digests, one to a line. Of equal ranks the
+    lesser digest is first. Nulls, be they ranks or contexts, are a value of their own.
+    """
+    sorted_chunks = F.sort_array(F.collect_list(F.struct("rank", "chunk_md5")))
+    parts = chunks.groupBy("group_id", F.floor(F.col("rank") / part).alias("_part")).agg(sorted_chunks.alias("_chunks"))
+    lines = F.array_join(F.transform("_chunks.chunk_md5", lambda m: F.coalesce(m, F.lit(""))), "\n")
+    # Of the parts only these narrow rows go by whole contexts.
+    sizes = parts.select("group_id", "_part", F.size("_chunks").cast("long").alias("_c"), F.md5(lines).alias("_md5"))
+    before = F.sum("_c").over(Window.partitionBy("group_id").orderBy("_part")) - F.col("_c")
+    begun = sizes.select(F.col("group_id").alias("_group"), F.col("_part").alias("_at"), before.alias("_before"))
+    digest = F.md5(F.array_join(F.sort_array(F.collect_list(F.struct("_part", "_md5")))["_md5"], "\n"))
+    whole = sizes.groupBy(F.col("group_id").alias("_whole")).agg(F.sum("_c").alias("n"), digest.alias("context_md5"))
+    placed = parts.join(begun, F.col("group_id").eqNullSafe(F.col("_group")) & F.col("_part").eqNullSafe(F.col("_at"))).join(whole, F.col("group_id").eqNullSafe(F.col("_whole")))
+    each = placed.select("group_id", "_before", "n", "context_md5", F.posexplode("_chunks").alias("_i", "_chunk"))
+    return each.select("group_id", "_chunk.rank", (F.col("_before") + F.col("_i") + 1).alias("place"), "n", "_chunk.chunk_md5", "context_md5")
+
+
 def stratified_split(rows: DataFrame, stratum: str, key: str, *, train: float = 0.7, validation: float = 0.15, seed: str = "42") -> DataFrame:
     """`key`, stratum and split: in every stratum the first floor(n * train) rows by md5(seed, key) train, the next
     floor(n * validation) validate, the rest test.

@@ -1,5 +1,6 @@
 """Typed graphs, chunks by the caller's length, links over hot entities, and sums in blocks, on worked and brute-force cases."""
 
+import hashlib
 import itertools
 import random
 from collections import Counter
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import chunking, entities, evaluation, synthesis, typed_graph, windows
+from docloom.plans import registry
 
 EDGES = "source string, target string, relation string, bidirectional boolean"
 
@@ -127,3 +129,26 @@ def test_chunks_go_out_in_parts(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"One sentence {i}. " * 40) for i in range(30)] + [(90, None), (91, "")], "doc_id long, text string").coalesce(1)
     want = sorted((d, *row) for d, t in docs.collect() if t for row in chunking.placed(chunking.split_recursively(t, chunking.SEPARATORS, 1000, 200)))
     assert sorted(tuple(r) for r in chunking.chunks(docs).collect()) == want
+
+
+def test_contexts_in_order(spark):
+    made = random.Random(4)
+    rows = [(made.choice(["a", "b", None]), rank, made.choice([None, "x", "y", "z"])) for rank in [*made.sample(range(-50, 400), 200), 7, 7, 7, None, None]]
+    less = lambda v: (v is not None, v)  # noqa: E731 - nulls first
+    md5 = lambda lines: hashlib.md5("\n".join(lines).encode()).hexdigest()
+    want = []
+    for group in ("a", "b", None):
+        chunks = sorted(((r, m) for g, r, m in rows if g == group), key=lambda c: (less(c[0]), less(c[1])))
+        parts = [md5(m or "" for _, m in part) for _, part in itertools.groupby(chunks, lambda c: c[0] if c[0] is None else c[0] // 10)]
+        want += [(group, r, i + 1, len(chunks), m, md5(parts)) for i, (r, m) in enumerate(chunks)]
+    table = spark.createDataFrame(rows, "group_id string, rank long, chunk_md5 string").repartition(4)
+    assert Counter(map(tuple, windows.contexts(table, part=10).collect())) == Counter(want)
+    assert windows.contexts(table.limit(0)).count() == 0
+
+
+def test_guardrail_context_gives_whole_contexts(spark):
+    got = registry.QUERIES["guardrail_context"](spark, "/root/testdata/sf0.001").collect()
+    sizes = Counter(r.group_id for r in got)
+    assert all(r.n == sizes[r.group_id] for r in got) and len({(r.group_id, r.context_md5) for r in got}) == len(sizes)
+    for group, n in sizes.items():
+        assert [r.place for r in sorted((r for r in got if r.group_id == group), key=lambda r: r.rank)] == list(range(1, n + 1))
