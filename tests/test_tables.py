@@ -91,3 +91,31 @@ def test_key_values_of_pages(spark):
     pages = spark.createDataFrame([(i, three + two.format(i) + "<table></table>") for i in range(50)] + [(99, None)], "page_id long, html string").coalesce(1)
     want = tables.key_values(tables.html_cells(pages))
     assert sorted(tables.html_key_values(pages).collect()) == sorted(want.collect()) == [(i, 1, 0, "k", f"v{i}") for i in range(50)]
+
+
+def test_pages_with_the_same_tags(spark, monkeypatch):
+    made = random.Random(9)
+    tags = ["<table>", "</table>", "<tr>", "<td>", "<td colspan=2>", "<th rowspan='2'>", "</td>", "<p>", "<br/>", "<td x>", "<script>", "<td rowspan=0>"]
+    shapes = [["<table>", "<tr>", "<td>", *(made.choice(tags) for _ in range(made.randint(1, 9)))] for _ in range(200)]
+    words = ["", " ", "a", "b  c\n", "&amp;", "d>e", "<", "\xa0f"]
+    pages = ["".join(t + made.choice(words[:3] if i < 3 else words) for t in shape) for i in range(6) for shape in shapes]
+    table = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").repartition(2)
+    for width in (None, 2):
+        wide = lambda cells: {t for t in {c[0] for c in cells} if width is None or max(c[2] for c in cells if c[0] == t) == width - 1}
+        want = sorted((i, *cell) for i, page in enumerate(pages) for cells in [tables.cells_of(page)] for cell in cells if cell[0] in wide(cells))
+        assert sorted(map(tuple, tables.html_cells(table, width=width).collect())) == want
+    read, count = tables._read, []
+    monkeypatch.setattr(tables, "_read", lambda *a: count.append(1) or read(*a))
+    reader, alike = tables._Pages(), as_html([[("t{0}", 1, 2)], [("u", 1, 1), ("{0} v", 2, 1)]])
+    found = [reader.read(alike.format(i)) for i in range(1000)]
+    assert found[999][1] == ["t999", "t999", "u", "999 v"] and len(count) == 2  # the first by itself, the second for the layout
+
+
+def test_room_for_layouts(monkeypatch):
+    monkeypatch.setattr(tables, "ROOM", 2000)
+    reader = tables._Pages()
+    for i in range(300):
+        page = as_html([[(f"t{i}", 1, 1 + i % 30)] * (1 + i % 7)])
+        found = reader.read(page)
+        cells = found if isinstance(found, list) else [(*map(int, c[:3]), t, bool(c[3]), bool(c[4])) for c, t in zip(found[0].columns, found[1], strict=True)]
+        assert cells == tables.cells_of(page) and reader.held <= 2000
