@@ -1,4 +1,5 @@
-"""Chunks of a document, extractive summaries and key phrases. Each text is worked on in its own row: nothing is shuffled."""
+"""Chunks of a document, extractive summaries and key phrases. Each text is worked on in its own row: no text is shuffled
+unless others have its doc_id and their phrases are counted together."""
 
 from __future__ import annotations
 
@@ -8,11 +9,12 @@ from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.udtf import UserDefinedTableFunction
 
 Length = Callable[[str], int]
+BUCKETS = 65_536  #: of doc_ids, of which some may come again
 PIECE = 1_000_000  #: characters of the texts that are worked on together, about: what a task's Python holds
 
 # Separators in the order in which they are tried, stop words, and first words that key phrases may not have.
@@ -93,7 +95,7 @@ def _each(docs: DataFrame, work: Callable[[str | None], list[tuple]], columns: s
     Texts are taken out of a batch one by one, and rows go out when they hold about PIECE characters, so that Python's
     memory does not grow with the batch or the table.
     """
-    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
     types = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in columns.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,11 +162,15 @@ def summary_of(text: str, most: int, focus: tuple[str, ...] = ()) -> str:
     return " ".join(found[i] for i in sorted(sorted(range(len(found)), key=score, reverse=True)[:most]))
 
 
+def frequent_pairs(words: list[str], most: int, among: int) -> list[tuple[str, int]]:
+    """Pairs of neighbouring words said more than once, of the `among` most frequent pairs, and how often; ties by first place."""
+    top = Counter(zip(words, words[1:], strict=False)).most_common(among)
+    return [(f"{a} {b}", n) for (a, b), n in top if n > 1 and a not in PHRASE_STARTS][:most]
+
+
 def phrases_of(text: str, most: int) -> list[str]:
     """Pairs of neighbouring words said more than once, of the 20 most frequent pairs."""
-    words = WORD.findall(text.lower())
-    top = Counter(zip(words, words[1:], strict=False)).most_common(20)
-    return [f"{a} {b}" for (a, b), n in top if n > 1 and a not in PHRASE_STARTS][:most]
+    return [phrase for phrase, _ in frequent_pairs(WORD.findall(text.lower()), most, 20)]
 
 
 def summaries(docs: DataFrame, *, most: int = 5, focus: tuple[str, ...] = ()) -> DataFrame:
@@ -199,11 +205,32 @@ def summary_levels(docs: DataFrame, levels: Mapping[str, int] = LENGTHS, *, focu
 
 def key_phrases(docs: DataFrame, *, most: int = 5, among: int = 20) -> DataFrame:
     """doc_id, rank, phrase, n: pairs of successive words of three ASCII letters or more that a text of `docs` (doc_id, text)
-    has twice or more: the first `most` of the `among` most frequent that do not begin with a function word; ties by first place."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[a-z]{3,}$"))
+    has twice or more: the first `most` of the `among` most frequent that do not begin with a function word; ties by first place.
+
+    A text is counted in its own row. Only texts whose doc_id may come again are counted together by a shuffle: doc_ids are
+    dealt to BUCKETS, and of those with an equal pair the numbers alone go to the tasks.
+    """
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(bucket.alias("_bucket")).distinct()
+    dealt = docs.select("doc_id", "text", bucket.alias("_bucket"))
+
+    def count(words: str | None) -> list[tuple[int, str, int]]:
+        return [(i + 1, phrase, n) for i, (phrase, n) in enumerate(frequent_pairs(words.split(), most, among))] if words else []
+
+    alone = dealt.join(F.broadcast(again), "_bucket", "left_anti").select("doc_id", F.array_join(_words(), " ").alias("text"))
+    return _each(alone, count, "rank int, phrase string, n long").unionByName(_shared_phrases(dealt.join(F.broadcast(again), "_bucket", "left_semi"), most, among))
+
+
+def _words() -> Column:
+    """The words of `text` of three ASCII letters or more."""
+    return F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[a-z]{3,}$"))
+
+
+def _shared_phrases(docs: DataFrame, most: int, among: int) -> DataFrame:
+    """`key_phrases` where texts share a doc_id: all their pairs are counted together."""
     pairs = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))
-    each = docs.select("doc_id", words.alias("w")).where(F.size("w") > 1).select("doc_id", F.posexplode(pairs).alias("i", "phrase")).where("phrase is not null")
+    each = docs.select("doc_id", _words().alias("w")).where(F.size("w") > 1).select("doc_id", F.posexplode(pairs).alias("i", "phrase")).where("phrase is not null")
     counts = each.groupBy("doc_id", "phrase").agg(F.count("*").alias("n"), F.min("i").alias("first")).where("n > 1")
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "first"))).where(F.col("r") <= among)
-    telling = ranked.where(~F.split_part("phrase", F.lit(" "), F.lit(1)).isin("the", "of", "in", "to", "and", "for"))
+    telling = ranked.where(~F.split_part("phrase", F.lit(" "), F.lit(1)).isin(*sorted(PHRASE_STARTS)))
     return telling.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("r"))).where(F.col("rank") <= most).select("doc_id", "rank", "phrase", "n")
