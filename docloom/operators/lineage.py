@@ -10,7 +10,7 @@ on a cycle.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,8 +98,31 @@ def _doubled(paths: DataFrame, most_rounds: int) -> tuple[DataFrame, int]:
 
 
 def summary(found: Closure) -> DataFrame:
-    """target, n_sources, deepest: how many sources descend from each, and over how many edges at most."""
-    return found.ancestors().groupBy("target").agg(F.count("*").alias("n_sources"), F.max("hops").alias("deepest"))
+    """target, n_sources, deepest: how many sources descend from each, and over how many edges at most.
+
+    The paths of twigs are not made: twigs are counted where they hang, with all that hangs on them.
+    """
+    parts: list[DataFrame] = []
+
+    def told(ways: DataFrame) -> DataFrame:
+        """target, n_sources, deepest of `ways` (source, target, hops), with what hangs on their sources."""
+        if parts:
+            hung = _summed(reduce(DataFrame.union, parts)).withColumnRenamed("target", "node")
+            ways = ways.join(hung, F.col("source") == F.col("node"), "left")
+            n, deep = F.coalesce("n_sources", F.lit(0)), F.coalesce("deepest", F.lit(0))
+        else:
+            n, deep = F.lit(0), F.lit(0)
+        return _summed(ways.select("target", (n + 1).cast("long").alias("n_sources"), (F.col("hops") + deep).alias("deepest")))
+
+    for twigs in found.layers:
+        parts.append(folders.written(told(twigs.withColumn("hops", F.lit(1))), "hung"))
+    if not parts or not found.core.isEmpty():
+        parts.append(told(found.core.where("source <> target")))
+    return _summed(reduce(DataFrame.union, parts))
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("target").agg(F.sum("n_sources").alias("n_sources"), F.max("deepest").alias("deepest"))
 
 
 def relationships(edges: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def test_rounds_grow_with_the_logarithm_of_the_depth(spark):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_twigs_are_set_aside(spark, monkeypatch, seed):
-    """A forest, alone and with a cycle it grows on and a leaf of two parents: the paths, and what is written."""
+    """A forest, alone and with a cycle it grows on and a leaf of two parents: the paths and their counts, and what is written."""
     made = random.Random(seed)
     forest = [(f"l{i}", f"o{made.randrange(12)}") for i in range(60)] + [(f"o{i}", f"c{made.randrange(4)}") for i in range(12)] + [(f"c{i}", "r") for i in range(4)]
     rows, written = [], lineage.folders.written
@@ -60,9 +60,15 @@ def test_twigs_are_set_aside(spark, monkeypatch, seed):
     monkeypatch.setattr(lineage.folders, "written", counted)
     for edges in (forest, [*forest, ("r", "s"), ("s", "t"), ("t", "r"), ("t", "u"), ("two", "o1"), ("two", "c2")]):
         want = plain_closure(edges)
+        ends = {}
+        for (source, target), hops in want.items():
+            if source != target:
+                n, deepest = ends.get(target, (0, 0))
+                ends[target] = (n + 1, max(deepest, hops))
         found = lineage.closure(spark.createDataFrame([(*e, "made_of") for e in edges + edges[:5]], EDGES))
+        assert {r.target: (r.n_sources, r.deepest) for r in lineage.summary(found).collect()} == ends
         if edges is forest:
-            assert {name for name, _ in rows} == {"edges"} and sum(n for _, n in rows) < len(want) and len(found.layers) == 3
+            assert {name for name, _ in rows} == {"edges", "hung"} and sum(n for _, n in rows) < len(want) and len(found.layers) == 3
         got = found.paths.collect()
         assert {(r.source, r.target): r.hops for r in got} == want and len(got) == len(want)
         assert {r.source: r.hops for r in found.cycles().collect()} == {a: n for (a, b), n in want.items() if a == b}
