@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pandas as pd
 import pyarrow as pa
@@ -145,11 +145,14 @@ def word_count(text: str) -> int:
     return len(text.split())
 
 
-def summary_of(text: str, most: int, focus: tuple[str, ...] = ()) -> str:
-    """The `most` best sentences in text order; the text itself if it has no more sentences of over 20 characters."""
+def summaries_of(text: str, sizes: Iterable[int], focus: tuple[str, ...] = ()) -> dict[int, str]:
+    """For each of `sizes` so many of the best sentences in text order; the text itself where it has no more sentences of over 20
+    characters. Sentences are scored once for all sizes."""
     found = [s.strip() for s in re.split(r"(?<=[.!?])\s+", text) if len(s.strip()) > 20]
-    if len(found) <= most:
-        return text
+    made = dict.fromkeys(sizes, text)
+    fewer = [n for n in made if n < len(found)]
+    if not fewer:
+        return made
     counts = Counter(w for w in WORD.findall(text.lower()) if w not in STOP_WORDS)
     top = max(counts.values(), default=1)
 
@@ -159,7 +162,13 @@ def summary_of(text: str, most: int, focus: tuple[str, ...] = ()) -> str:
         mean = sum(counts[w] / top for w in words) / len(words) if words else 0.0
         return mean * 1.5 ** sum(f.lower() in lower for f in focus) * (1 + 0.1 * (1 - i / len(found)))
 
-    return " ".join(found[i] for i in sorted(sorted(range(len(found)), key=score, reverse=True)[:most]))
+    best = sorted(range(len(found)), key=score, reverse=True)
+    return made | {n: " ".join(found[i] for i in sorted(best[:n])) for n in fewer}
+
+
+def summary_of(text: str, most: int, focus: tuple[str, ...] = ()) -> str:
+    """The `most` best sentences in text order; the text itself if it has no more sentences of over 20 characters."""
+    return summaries_of(text, [most], focus)[most]
 
 
 def frequent_pairs(words: list[str], most: int, among: int) -> list[tuple[str, int]]:
@@ -185,20 +194,20 @@ def summaries(docs: DataFrame, *, most: int = 5, focus: tuple[str, ...] = ()) ->
     return made.select("doc_id", "s.summary", "s.key_phrases", ratio.alias("ratio"))
 
 
-# Sentences of a summary by its length; no summary has more than the last number.
+# Sentences of a summary by its length; the last number is the most of any summary where the caller gives no other.
 LENGTHS = {"brief": 2, "short": 5, "medium": 10, "long": 20, "comprehensive": 30}
 MOST_SENTENCES = 10
 
 
-def summary_levels(docs: DataFrame, levels: Mapping[str, int] = LENGTHS, *, focus: tuple[str, ...] = ()) -> DataFrame:
+def summary_levels(docs: DataFrame, levels: Mapping[str, int] = LENGTHS, *, focus: tuple[str, ...] = (), most: int = MOST_SENTENCES) -> DataFrame:
     """doc_id, level, summary, words, ratio: a summary of each length of each of `docs` (doc_id, text), and its words over those
-    of the text; a text is cut into sentences once for each different number of them. Null texts count as empty."""
-    sizes = {level: min(n, MOST_SENTENCES) for level, n in levels.items()}
+    of the text. No summary has more than `most` sentences. Null texts count as empty."""
+    sizes = {level: min(n, most) for level, n in levels.items()}
 
     def shorten(text: str) -> list[tuple[str, str, int, float]]:
-        made = {n: summary_of(text, n, focus) for n in set(sizes.values())}
+        made = {n: (s, len(s.split())) for n, s in summaries_of(text, sizes.values(), focus).items()}
         all_words = len(text.split())
-        return [(level, made[n], len(made[n].split()), round(len(made[n].split()) / all_words, 6) if all_words else 0.0) for level, n in sizes.items()]
+        return [(level, *made[n], round(made[n][1] / all_words, 6) if all_words else 0.0) for level, n in sizes.items()]
 
     return _each(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), shorten, "level string, summary string, words long, ratio double")
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import chat, chunking, entities, rendering, templates
+from docloom.plans import registry
 
 
 def test_templates(spark):
@@ -54,6 +55,22 @@ def test_summary_levels(spark):
     assert found[2, "long"].summary == "" and found[2, "long"].ratio == 0.0 and found[3, "long"].ratio == 1.0
 
 
+def test_summary_levels_are_whole(spark):
+    text = " ".join(f"Sentence number {i} tells of {'something' if i % 7 else 'matters'} else entirely." for i in range(40))
+    rows = chunking.summary_levels(spark.createDataFrame([(1, text)], "doc_id int, text string"), most=25).collect()
+    assert {r.level: r.summary.count("Sentence") for r in rows} == {"brief": 2, "short": 5, "medium": 10, "long": 20, "comprehensive": 25}
+    assert {r.level: r.summary for r in rows} == {level: chunking.summary_of(text, min(n, 25)) for level, n in chunking.LENGTHS.items()}
+
+
+def test_summary_levels_query(spark):
+    """Each level has as many sentences as it is to have, where the text has more."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = {(r.doc_id, r.level): r.summary for r in registry.QUERIES["summary_levels"](spark, sf).collect()}
+    assert found == {(doc_id, level): chunking.summary_of(text, n) for doc_id, text in texts.items() for level, n in chunking.LENGTHS.items()}
+    assert sum(found[d, "medium"] != found[d, "long"] != found[d, "comprehensive"] for d in texts) > len(texts) / 10
+
+
 def drawn(frame):
     return [r.line for r in frame.orderBy("section", "place").collect()]
 
